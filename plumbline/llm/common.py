@@ -54,6 +54,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers by the thousand rows, so that many long ones at once don't exhaust an executor."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(min(1000, int(spark.conf.get(key)) or 1000)))
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; none of a null text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), "")

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, quality_rules, sharding, url_filters
+from plumbline.llm import decontaminate, quality_rules, sharding, substring_dedup, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_debruijn_repeats": substring_dedup.op1_debruijn_repeats,
         "op2_ring_shards": sharding.op2_ring_shards,
         "op5_line_frequency": quality_rules.op5_line_frequency,
         "op6_redirect_verdicts": url_filters.op6_redirect_verdicts,
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_debruijn_repeats": substring_dedup.OP1_SQL,
         "op5_line_frequency": quality_rules.OP5_SQL,
         "op6_redirect_verdicts": url_filters.OP6_SQL,
         "op7_spaced_seeds": decontaminate.OP7_SQL,
