@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, quality_rules, sharding, substring_dedup, url_filters
+from plumbline.llm import decontaminate, quality_rules, sharding, substring_dedup, suffix_dedup, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_frequency": quality_rules.op5_line_frequency,
         "op6_redirect_verdicts": url_filters.op6_redirect_verdicts,
         "op7_spaced_seeds": decontaminate.op7_spaced_seeds,
+        "op8_radix_windows": suffix_dedup.op8_radix_windows,
     }
 
 
