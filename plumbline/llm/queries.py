@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, quality_rules, sharding, substring_dedup, suffix_dedup, url_filters
+from plumbline.llm import decontaminate, packing, quality_rules, sharding, substring_dedup, suffix_dedup, token_files, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_debruijn_repeats": substring_dedup.op1_debruijn_repeats,
         "op2_ring_shards": sharding.op2_ring_shards,
+        "op3_retrieval_packing": packing.op3_retrieval_packing,
         "op5_line_frequency": quality_rules.op5_line_frequency,
         "op6_redirect_verdicts": url_filters.op6_redirect_verdicts,
         "op7_spaced_seeds": decontaminate.op7_spaced_seeds,
         "op8_radix_windows": suffix_dedup.op8_radix_windows,
+        "op9_wavelet_shards": token_files.op9_wavelet_shards,
     }
 
 

@@ -40,7 +40,7 @@ def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the words, offsets of each text's words)."""
     data, offsets = arrays.buffer(batch.column("text"))
     starts, ends, of = arrays.word_bounds(data, offsets)
-    return arrays.span_hashes(data, starts, ends), of
+    return arrays.word_hashes(data, starts, ends), of
 
 
 def _anchored(hashes: np.ndarray, of: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
