@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, packing, quality_rules, sharding, substring_dedup, suffix_dedup, token_files, url_filters
+from plumbline.llm import decontaminate, near_dedup, packing, quality_rules, sharding, substring_dedup, suffix_dedup, token_files, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_debruijn_repeats": substring_dedup.op1_debruijn_repeats,
         "op2_ring_shards": sharding.op2_ring_shards,
         "op3_retrieval_packing": packing.op3_retrieval_packing,
+        "op4_dart_minhash": near_dedup.op4_dart_minhash,
         "op5_line_frequency": quality_rules.op5_line_frequency,
         "op6_redirect_verdicts": url_filters.op6_redirect_verdicts,
         "op7_spaced_seeds": decontaminate.op7_spaced_seeds,
