@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BLANKS, WORD_BREAK, table, words
+from plumbline.llm.common import BLANKS, WORD_BREAK, materialise, table, words
 
 SYMBOLS = "#*$%&|<>"
 LEAST_DOCS, SHARE, LEAST_LEFT = 20, 0.05, 0.3
@@ -60,8 +60,6 @@ def judge(
     measured = split.select(
         "doc_id",
         "row",
-        "host",
-        "copy",
         "blank_free",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
@@ -69,27 +67,16 @@ def judge(
         (F.size("blank_free") - F.size(F.array_distinct("blank_free"))).cast("long").alias("n_dup_lines"),
         to_sort.alias("_windows"),
     ).withColumn("n_repeat_words", n_repeat)
-    lines = F.transform(
-        "blank_free",
-        lambda x: F.struct(
-            F.xxhash64("host", F.trim(F.regexp_replace(F.lower(x), WORD_BREAK, " "))).alias("k"), F.size(words(x)).alias("n")
-        ),
+    measured = measured.drop("blank_free", "_windows")
+    normal = F.transform(
+        F.filter(F.split("text", "\n"), lambda x: F.trim(F.translate(x, BLANKS, " ")) != ""),
+        lambda x: F.trim(F.regexp_replace(F.lower(x), WORD_BREAK, " ")),
     )
-    measured = measured.withColumn("lines", lines).drop("blank_free", "_windows")
-    # Line hashes without the word counts: the same few cheap steps over the text again, instead of keeping them.
-    keys = named.select(
-        "host",
-        "copy",
-        row.alias("row"),
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.filter(F.split("text", "\n"), lambda x: F.trim(F.translate(x, BLANKS, " ")) != ""),
-                    lambda x: F.xxhash64("host", F.trim(F.regexp_replace(F.lower(x), WORD_BREAK, " "))),
-                )
-            )
-        ).alias("k"),
+    line = F.col("line")
+    keys = named.select("host", "copy", row.alias("row"), F.posexplode(normal).alias("i", "line")).select(
+        "host", "copy", "row", "i", F.xxhash64("host", line).alias("k"), (F.length(line) - F.length(F.translate(line, " ", "")) + 1).cast("long").alias("n")
     )
+    keys = materialise(keys, "lines")
     copies = named.select("host", "copy").distinct().groupBy("host").agg(F.count("*").alias("n_docs"))
     counted = keys.select("host", "k", "copy").distinct().groupBy("host", "k").agg(F.count("*").alias("n"))
     frequent = (
@@ -98,12 +85,9 @@ def judge(
         .where(F.col("n") > F.lit(share) * F.col("n_docs"))
         .select("k")
     )
-    found = keys.join(frequent, "k", "left_semi").groupBy("row").agg(F.collect_set("k").alias("_boilerplate"))
-    joined = measured.join(found, "row", "left")
-    gone = F.aggregate(
-        F.filter("lines", lambda x: F.array_contains("_boilerplate", x["k"])), F.lit(0).cast("long"), lambda s, x: s + x["n"]
-    )
-    joined = joined.withColumn("n_removed_words", F.when(F.col("_boilerplate").isNull(), F.lit(0).cast("long")).otherwise(gone))
+    found = keys.join(frequent, "k", "left_semi").select("row", "i", "n").distinct()
+    found = found.groupBy("row").agg(F.sum("n").alias("_gone"))
+    joined = measured.join(found, "row", "left").withColumn("n_removed_words", F.coalesce("_gone", F.lit(0).cast("long")))
     joined = joined.withColumn("n_words_left", F.col("n_words") - F.col("n_removed_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return joined.select(
