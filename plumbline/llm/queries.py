@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, near_dedup, packing, quality_rules, sharding, substring_dedup, suffix_dedup, token_files, url_filters
+from plumbline.llm import decontaminate, near_dedup, packing, quality_cnn, quality_rules, sharding, substring_dedup, suffix_dedup, token_files, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_debruijn_repeats": substring_dedup.op1_debruijn_repeats,
+        "op10_byte_cnn": quality_cnn.op10_byte_cnn,
         "op2_ring_shards": sharding.op2_ring_shards,
         "op3_retrieval_packing": packing.op3_retrieval_packing,
         "op4_dart_minhash": near_dedup.op4_dart_minhash,
