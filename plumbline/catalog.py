@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "flagship"
+from plumbline.plans import tone
+
+FLAGSHIP = "rng_draws"
+MODULES = (tone,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for m in MODULES for name, (run, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for m in MODULES for name, (_, text) in m.QUERIES.items() if text}
