@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import tone
+from plumbline.plans import fields, tone
 
 FLAGSHIP = "rng_draws"
-MODULES = (tone,)
+MODULES = (tone, fields)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
