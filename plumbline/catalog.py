@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import fields, tone
+from plumbline.plans import fields, hatching, strokes, tone
 
-FLAGSHIP = "rng_draws"
-MODULES = (tone, fields)
+FLAGSHIP = "tone_bands_hatching"
+MODULES = (tone, fields, strokes, hatching)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

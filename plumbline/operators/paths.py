@@ -14,11 +14,12 @@ def _along(by: list[str] = KEY) -> Window:
     return Window.partitionBy(*by).orderBy("seq")
 
 
-def with_length(paths: DataFrame) -> DataFrame:
+def with_length(paths: DataFrame, by: list[str] = KEY) -> DataFrame:
     """``paths`` with ``s``, the length of the path up to each point."""
-    dx, dy = F.col("x") - F.lag("x").over(_along()), F.col("y") - F.lag("y").over(_along())
+    order = _along(by)
+    dx, dy = F.col("x") - F.lag("x").over(order), F.col("y") - F.lag("y").over(order)
     step = F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0))
-    return paths.withColumn("step", step).withColumn("s", F.sum("step").over(_along().rowsBetween(Window.unboundedPreceding, 0))).drop("step")
+    return paths.withColumn("step", step).withColumn("s", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("step")
 
 
 def resampled(paths: DataFrame, step: float) -> DataFrame:
@@ -69,7 +70,7 @@ def runs(paths: DataFrame, jump: float) -> DataFrame:
 def ends_of(paths: DataFrame, by: list[str]) -> DataFrame:
     """One row for each path: its ends, length and number of points."""
     return (
-        with_length(paths)
+        with_length(paths, [*by, "path_id"])
         .groupBy(*by, "path_id")
         .agg(
             F.min_by(F.struct("x", "y"), "seq").alias("a"),
