@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import arrays
 from plumbline.llm.common import materialise, scratch, small_batches, table
-from plumbline.llm.tokens import WordEncoder, default_path
+from plumbline.llm.tokens import default_path, encoder
 
 MAGIC = b"WVM1"
 END_ID = 2
@@ -160,10 +160,10 @@ def write_shards(folder: str, path: str) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         from pyarrow import fs
 
-        encoder, ids, doc_ids, lengths = WordEncoder(path), [], [], []
+        words, ids, doc_ids, lengths = encoder(path), [], [], []
         for batch in arrays.pieces(batches):
-            got, of = encoder.encode(*arrays.buffer(batch.column("text")))
-            ended = np.insert(got.astype(np.uint16) if encoder.ends_word.size <= 1 << 16 else got, of[1:], END_ID)
+            got, of = words.encode(*arrays.buffer(batch.column("text")))
+            ended = np.insert(got.astype(np.uint16) if words.ends_word.size <= 1 << 16 else got, of[1:], END_ID)
             ids.append(ended)
             lengths.append(np.diff(of) + 1)
             doc_ids.append(batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False))

@@ -9,6 +9,7 @@ the library, and kept for the texts that follow; the rest is array work.
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -159,3 +160,9 @@ class WordEncoder:
         self.n_ids += len(ids)
         self.known += len(first)
         self._place(key[first], word.astype(np.int32))
+
+
+@lru_cache(1)
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder: words that one task has learnt serve the tasks after it."""
+    return WordEncoder(path)
