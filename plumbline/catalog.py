@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import fields, hatching, strokes, tone
+from plumbline.plans import fields, hatching, marks, strokes, tone
 
 FLAGSHIP = "tone_bands_hatching"
-MODULES = (tone, fields, strokes, hatching)
+MODULES = (tone, fields, strokes, hatching, marks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
