@@ -184,3 +184,25 @@ def covered(starts: np.ndarray, width: int | np.ndarray, total: int) -> np.ndarr
 def as_long(x: np.ndarray) -> pa.Array:
     """64-bit hashes as Spark's signed longs."""
     return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[pa.Table]:
+    """Rows sorted by the long column ``key`` in tables of about ``most`` bytes that part no key's rows."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size < most:
+            continue
+        whole = pa.Table.from_batches(held)
+        keys = whole.column(key).to_numpy()
+        stop = int(np.searchsorted(keys, keys[-1], "left"))
+        if stop:  # the last key may go on in the next batch
+            yield whole.slice(0, stop).combine_chunks()
+            held = whole.slice(stop).combine_chunks().to_batches()
+            size = sum(b.nbytes for b in held)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

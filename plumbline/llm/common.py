@@ -54,6 +54,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete what :func:`materialise` wrote, once nothing reads it any more."""
+    for df in tables:
+        if files := df.inputFiles():
+            session = df.sparkSession
+            path = session._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+            path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts go to Python workers by the thousand rows, so that many long ones at once don't exhaust an executor."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

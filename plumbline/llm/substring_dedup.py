@@ -6,13 +6,14 @@ last. Only edges that start in two documents or more are of interest:
 1. Anchors. The smallest hash of the ``anchor``-word sequences in a window is the same wherever the window stands, so
    only windows whose anchor occurs in two documents can repeat. Neighbouring windows mostly share their anchor, which
    makes this pass some five times smaller than one over windows.
-2. Edges. Documents that hold such anchors give the edges there, as (source node, target node), two 64-bit hashes.
-   Edges of one document alone go; the first occurrence (smallest ``doc_id``, then place) is an edge's source
-   coordinate.
-3. Compaction. Nodes with more than one edge in or out end paths; a join on nodes hands every other edge the one before
-   it, and edges whose source coordinates follow on from each other become one path: a passage of its source document.
-4. Spans. Occurrences in later documents are joined with their paths and gathered to spans that run in step with the
-   path's source coordinates; those spans are removed.
+2. Runs. Documents that hold such anchors give the runs of edges there, as lists of nodes (64-bit hashes; an edge is a
+   pair of them). Equal runs are one run with its first place and last document, aggregated before the shuffle.
+3. Edges. Distinct runs are dealt by anchor, which all occurrences of an edge share. The smallest (doc_id, place) of a
+   repeated edge is its source coordinate; edges of one document alone go, and those whose source coordinates follow on
+   from each other stay together as pieces of paths.
+4. Compaction. Joins on nodes find those with several edges in or out; paths end there, and pieces are cut.
+5. Spans. Occurrences of a run in documents later than its pieces' sources become spans, and spans that go on in step
+   with their source coordinates, without a branching node between, are joined to long ones; these are removed.
 
 Edge cases: a null text has no words; documents without ``doc_id`` are neither source nor target of a removal and keep
 their words; rows with the same ``doc_id`` don't repeat each other, and each gets the spans of its own text; texts
@@ -30,9 +31,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import arrays
-from plumbline.llm.common import materialise, small_batches, table
+from plumbline.llm.common import materialise, release, small_batches, table
 
 WIDTH, ANCHOR = 13, 5
+#: Distinct runs that a task looks at together, in bytes; one anchor's runs are never parted.
+SOLVE_BYTES = 8 << 20
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -71,38 +74,94 @@ def _distinct(doc: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], m[new]
 
 
-def edges_of(width: int, anchor: int) -> Callable[[Batches], Batches]:
-    """Runs of windows whose anchor is among the row's ``ms``: their place and the nodes they pass, one more than
-    windows."""
+def runs_of(width: int, anchor: int) -> Callable[[Batches], Batches]:
+    """Runs of windows with one anchor that is among the row's ``ms``: their place, the nodes they pass, one more than
+    windows, and two hashes of those."""
 
     def run(batches: Batches) -> Batches:
         for batch in arrays.pieces(batches):
             hashes, of = _words(batch)
             m, ok = _anchored(hashes, of, width, anchor)
-            first, number = arrays.runs(m, ok)
-            doc = np.searchsorted(of, first, "right") - 1
+            lo, n = arrays.runs(m, ok)
+            doc = np.searchsorted(of, lo, "right") - 1
             wanted = batch.column("ms")
             which = np.repeat(np.arange(batch.num_rows), wanted.value_lengths().to_numpy(zero_copy_only=False))
             mark = arrays.mix(which.astype(np.uint64)) ^ wanted.flatten().to_numpy().view(np.uint64)
-            good = np.isin(arrays.mix(doc.astype(np.uint64)) ^ m[first], mark)
-            mask = arrays.covered(first[good], number[good], len(m))
-            lo, n = arrays.runs(mask, mask & ok)
-            doc = np.searchsorted(of, lo, "right") - 1
-            nodes = arrays.window_hashes(hashes, width - 1)[arrays.expand(lo, n + 1)]
+            good = np.isin(arrays.mix(doc.astype(np.uint64)) ^ m[lo], mark)
+            lo, n, doc = lo[good], n[good], doc[good]
+            nodes = arrays.window_hashes(hashes, width - 1)
+            keys = [arrays.as_long(arrays.span_hashes(nodes, lo, lo + n + 1, which)) for which in (0, 1)]
             ends = np.concatenate([[0], np.cumsum(n + 1)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(doc)),
                     batch.column("row").take(pa.array(doc)),
                     pa.array((lo - of[doc]).astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(ends), arrays.as_long(nodes)),
+                    arrays.as_long(m[lo]),
+                    *keys,
+                    pa.ListArray.from_arrays(pa.array(ends), arrays.as_long(nodes[arrays.expand(lo, n + 1)])),
                 ],
-                ["doc_id", "row", "lo", "nodes"],
+                ["doc_id", "row", "lo", "m", "k1", "k2", "nodes"],
             )
 
     return run
 
 
+RUNS = "doc_id long, row long, lo int, m long, k1 long, k2 long, nodes array<long>"
+PIECES = "k1 long, k2 long, i int, n int, f_doc long, f_row long, f_home int, f_at int, nodes array<long>"
+
+
+def repeated_pieces(batches: Batches) -> Batches:
+    """For each distinct run, sorted by anchor, the pieces of repeated edges in step with their source coordinates:
+    from the run's edge ``i`` on ``n`` edges, which stand first in document ``f_doc`` from ``f_at`` on, in its run that
+    begins at ``f_home``. ``nodes`` is empty unless this is that run."""
+    for whole in arrays.whole_groups(batches, "m", SOLVE_BYTES):
+        run = {c: whole.column(c).to_numpy() for c in ("k1", "k2", "doc_id", "row", "lo", "last")}
+        lists = whole.column("nodes").combine_chunks()
+        nodes = lists.flatten().to_numpy()
+        size = lists.value_lengths().to_numpy()
+        base = np.cumsum(size) - size
+        r = np.repeat(np.arange(len(size)), size - 1)
+        at = arrays.expand(base, size - 1)
+        i = at - base[r]
+        place = run["lo"][r] + i
+        src, dst = nodes[at], nodes[at + 1]
+        order = np.lexsort((place, run["row"][r], run["doc_id"][r], dst, src))
+        new = np.ones(len(order), bool)
+        new[1:] = (src[order[1:]] != src[order[:-1]]) | (dst[order[1:]] != dst[order[:-1]])
+        head = np.flatnonzero(new)
+        if not len(head):
+            continue
+        last = np.maximum.reduceat(run["last"][r[order]], head)
+        first = np.empty(len(order), np.int64)
+        first[order] = order[head][np.cumsum(new) - 1]
+        again = np.empty(len(order), bool)
+        again[order] = (run["doc_id"][r[order[head]]] < last)[np.cumsum(new) - 1]
+        home, f_at = r[first], place[first]
+        begin = again.copy()
+        begin[1:] &= ~(again[:-1] & (r[1:] == r[:-1]) & (home[1:] == home[:-1]) & (f_at[1:] == f_at[:-1] + 1))
+        begin = np.flatnonzero(begin)
+        number = np.diff(np.append(np.searchsorted(np.flatnonzero(again), begin), np.count_nonzero(again)))
+        own = home[begin] == r[begin]
+        length = np.where(own, number + 1, 0)
+        ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+        run_of, home = r[begin], home[begin]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(run["k1"][run_of]),
+                pa.array(run["k2"][run_of]),
+                pa.array(i[begin].astype(np.int32)),
+                pa.array(number.astype(np.int32)),
+                pa.array(run["doc_id"][home]),
+                pa.array(run["row"][home]),
+                pa.array(run["lo"][home].astype(np.int32)),
+                pa.array(f_at[begin].astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(nodes[arrays.expand(at[begin], length)])),
+            ],
+            ["k1", "k2", "i", "n", "f_doc", "f_row", "f_home", "f_at", "nodes"],
+        )
+
+
 def cut_spans(width: int) -> Callable[[Batches], Batches]:
     """The text without the words that the row's ``spans`` of windows cover."""
 
@@ -146,41 +205,43 @@ def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFr
     shared = materialise(shared, "anchors")
     wanted = anchors.join(shared, "m", "left_semi").groupBy("doc_id").agg(F.collect_list("m").alias("ms"))
     runs = docs.join(wanted, "doc_id").select("doc_id", "row", "text", "ms")
-    runs = materialise(runs.mapInArrow(edges_of(width, anchor), "doc_id long, row long, lo int, nodes array<long>"), "runs")
-    step = F.expr("inline(transform(sequence(0, size(nodes) - 2), i -> struct(lo + i AS at, nodes[i] AS src, nodes[i + 1] AS dst)))")
-    edges = runs.select("doc_id", "row", step)
-    first = F.min(F.struct("doc_id", "at", "row")).alias("f")
-    graph = edges.groupBy("src", "dst").agg(first, F.max("doc_id").alias("last")).where("f.doc_id < last")
-    graph = materialise(graph.select("src", "dst", F.col("f.doc_id").alias("f_doc"), F.col("f.row").alias("f_row"), F.col("f.at").alias("f_at")), "edges")
-    # A node's edges in and out, and the source coordinate of an edge in; a node with one of each joins them.
-    ends = graph.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("dst").alias("node"), F.lit(1).alias("n_in"), F.lit(0).alias("n_out"), F.struct("f_doc", "f_row", "f_at").alias("before")),
-                F.struct(F.col("src").alias("node"), F.lit(0).alias("n_in"), F.lit(1).alias("n_out"), F.lit(None).cast("struct<f_doc:bigint,f_row:bigint,f_at:int>").alias("before")),
-            )
-        ).alias("e")
-    ).select("e.*")
-    nodes = ends.groupBy("node").agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"), F.max("before").alias("before"))
-    linked = graph.join(nodes.where("n_in = 1 and n_out = 1").select("node", "before"), F.col("src") == F.col("node"), "left")
-    goes_on = (F.col("before.f_doc") == F.col("f_doc")) & (F.col("before.f_row") == F.col("f_row")) & (F.col("before.f_at") == F.col("f_at") - 1)
-    along = Window.partitionBy("f_doc", "f_row").orderBy("f_at")
-    paths = linked.withColumn("path", F.last(F.when(~F.coalesce(goes_on, F.lit(False)), F.col("f_at")), ignorenulls=True).over(along))
-    later = edges.join(paths.select("src", "dst", "f_doc", "f_row", "f_at", "path"), ["src", "dst"]).where("doc_id > f_doc")
+    runs = materialise(runs.mapInArrow(runs_of(width, anchor), RUNS), "runs")
+    place = F.min(F.struct("doc_id", "row", "lo")).alias("f")
+    distinct = runs.groupBy("m", "k1", "k2").agg(place, F.max("doc_id").alias("last"), F.first("nodes").alias("nodes"))
+    dealt = distinct.select("m", "k1", "k2", "f.*", "last", "nodes").repartition("m").sortWithinPartitions("m")
+    made = materialise(dealt.mapInArrow(repeated_pieces, PIECES), "pieces")
+    breaks = materialise(broken(made), "breaks")
+    pieces = made.select(*made.columns[:-1]).join(breaks, ["f_doc", "f_row", "f_home"], "left")
+    # A piece is cut at the breaks inside it; each part knows whether a path begins with it.
+    inside = F.filter(F.coalesce("breaks", F.array().cast("array<int>")), lambda b: (b > F.col("f_at")) & (b < F.col("f_at") + F.col("n")))
+    cuts = F.array_sort(F.concat(F.array("f_at"), inside, F.array(F.col("f_at") + F.col("n"))))
+    pieces = pieces.select("k1", "k2", "i", "f_doc", "f_row", "f_at", F.coalesce(F.array_contains("breaks", F.col("f_at")), F.lit(False)).alias("new"), cuts.alias("cuts"))
+    part = F.expr("inline(transform(sequence(0, size(cuts) - 2), j -> struct(i + cuts[j] - f_at AS at, cuts[j] AS from, cuts[j + 1] - cuts[j] AS n, j > 0 OR new AS begins)))")
+    pieces = pieces.select("k1", "k2", "f_doc", "f_row", part)
+    later = runs.select("doc_id", "row", "lo", "k1", "k2").join(pieces, ["k1", "k2"]).where("doc_id > f_doc")
+    later = later.select("doc_id", "row", (F.col("lo") + F.col("at")).alias("at"), "n", "f_doc", "f_row", F.col("from").alias("f_at"), "begins")
     in_step = Window.partitionBy("doc_id", "row").orderBy("at")
-    same = (
-        (F.lag("at").over(in_step) == F.col("at") - 1)
-        & (F.lag("f_doc").over(in_step) == F.col("f_doc"))
-        & (F.lag("f_row").over(in_step) == F.col("f_row"))
-        & (F.lag("path").over(in_step) == F.col("path"))
-        & (F.lag("f_at").over(in_step) == F.col("f_at") - 1)
-    )
-    marked = later.withColumn("begin", F.when(~F.coalesce(same, F.lit(False)), F.col("at")))
+    before = {c: F.lag(c).over(in_step) for c in ("at", "n", "f_doc", "f_row", "f_at")}
+    same = (before["at"] + before["n"] == F.col("at")) & (before["f_doc"] == F.col("f_doc")) & (before["f_row"] == F.col("f_row")) & (before["f_at"] + before["n"] == F.col("f_at"))
+    marked = later.withColumn("begin", F.when(F.col("begins") | ~F.coalesce(same, F.lit(False)), F.col("at")))
     marked = marked.withColumn("start", F.last("begin", ignorenulls=True).over(in_step))
     spans = marked.groupBy("doc_id", "row", "start").agg(
-        (F.max("at") - F.col("start") + 1).alias("n"), F.min(F.struct("f_doc", "f_at")).alias("source")
+        F.max(F.col("at") + F.col("n") - F.col("start")).alias("n"), F.min("f_doc").alias("source_doc_id"), F.min("f_at").alias("source_start")
     )
-    return spans.select("doc_id", "row", "start", "n", F.col("source.f_doc").alias("source_doc_id"), F.col("source.f_at").alias("source_start"))
+    spans = materialise(spans, "spans")
+    release(shared, runs, made, breaks)
+    return spans
+
+
+def broken(pieces: DataFrame) -> DataFrame:
+    """(f_doc, f_row, f_home, breaks): the places in each source run at whose first node a path ends, because the graph
+    of repeated edges has several edges in or several out there."""
+    own = pieces.where("size(nodes) > 0")
+    edges = own.select("f_doc", "f_row", "f_home", F.posexplode("nodes").alias("j", "node"), "f_at", "n")
+    node = edges.select("node", (F.col("j") > 0).cast("int").alias("n_in"), (F.col("j") < F.col("n")).cast("int").alias("n_out"))
+    branching = node.groupBy("node").agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out")).where("n_in > 1 or n_out > 1").select("node")
+    at = edges.where("j < n").join(branching, "node", "left_semi").select("f_doc", "f_row", "f_home", (F.col("f_at") + F.col("j")).alias("at"))
+    return at.groupBy("f_doc", "f_row", "f_home").agg(F.collect_set("at").alias("breaks"))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:

@@ -145,7 +145,6 @@ def repeated_in_blocks(width: int) -> Callable[[Batches], Batches]:
     """(block_key, spans): the windows of each block that repeat, as runs; blocks come sorted by anchor."""
 
     def solve(batch: pa.Table) -> pa.RecordBatch:
-        batch = batch.combine_chunks()
         data, offsets = arrays.buffer(batch.column("block"))
         anchor = batch.column("m").to_numpy()
         twice = batch.column("places").to_numpy() > 1
@@ -159,24 +158,8 @@ def repeated_in_blocks(width: int) -> Callable[[Batches], Batches]:
         return pa.RecordBatch.from_arrays([key.take(pa.array(block)), pa.array(lo - first[block]), pa.array(n)], ["key", "at", "n"])
 
     def run(batches: Batches) -> Batches:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += batch.column("block").nbytes
-            if size < SORT_BYTES:
-                continue
-            whole = pa.Table.from_batches(held)
-            m = whole.column("m").to_numpy()
-            stop = int(np.searchsorted(m, m[-1], "left")) if (m[1:] >= m[:-1]).all() else 0
-            if stop:  # the last anchor may go on in the next batch
-                yield solve(whole.slice(0, stop))
-                held = whole.slice(stop).combine_chunks().to_batches()
-                size = sum(b.column("block").nbytes for b in held)
-        if held:
-            yield solve(pa.Table.from_batches(held))
+        for whole in arrays.whole_groups(batches, "m", SORT_BYTES):
+            yield solve(whole)
 
     return run
 
