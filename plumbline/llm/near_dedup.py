@@ -8,10 +8,17 @@ weighted Jaccard similarity of the documents as probability. Regions of doubling
 of darts each, so an element only looks at regions that its document can reach.
 
 Joining: exact copies are one node. ``BANDS`` bands of ``ROWS`` coordinates put nodes into buckets; a pair of
-similarity 0.8 shares one with probability over 0.9999999. Within a bucket no pairs are listed: first each node is
-compared with the bucket's first node, pairs that reach the threshold by their shingles are linked, and connected
-components are taken; then further nodes of the bucket, an eightfold number in each round, are compared with those
-that aren't in their component yet, until none is left. A pair is thus either compared or in one component already.
+similarity 0.8 shares one with probability over 0.9999999. Within a bucket no pairs are listed:
+
+1. Each node is compared with the bucket's most central one, that with the largest buckets in all bands; pairs whose
+   shingles reach the threshold are linked, and connected components are taken.
+2. In buckets of several components, a node of which less than the threshold's share of shingles stands in other
+   components has no link there, whatever the partner, and leaves the bucket.
+3. What is left falls into zones, nodes joined by sharing such buckets. A zone is cut in blocks of ``BLOCK`` nodes, and
+   each pair of blocks is a task's work: every node outside the largest component there looks its shingles up in an
+   inverted index of the blocks and gives the links that reach the threshold, one for each other component.
+
+A pair is thus compared, or ruled out by its shingles, or in one component already; only links leave a task.
 
 Edge cases: a text of fewer than five words is one shingle; null and blank texts have none, and only equal ones are
 copies of each other; rows that share a ``doc_id`` are one document; rows without ``doc_id`` have a null class; an
@@ -25,7 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import arrays
@@ -39,8 +46,8 @@ K = BANDS * ROWS
 DARTS = K * math.log(K) + 2 * K
 #: The first region of rank; each further one is as wide as all before it.
 FIRST_RANK = 2.0**-8
-#: Later rounds of a bucket take so many times the nodes of the round before.
-GROWTH = 8
+#: Nodes of a block, of which a task holds two, and bytes of text that a task takes at once.
+BLOCK, ZONE_BYTES = 1000, 8 << 20
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -172,6 +179,91 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, weights: str)
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(similar_pairs(threshold, weights), "a long, b long")
 
 
+def mixed(buckets: DataFrame, groups: DataFrame) -> DataFrame:
+    """(bucket, node, part): the rows of buckets of several components."""
+    named = buckets.select("bucket", "node").join(groups, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
+    several = named.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
+    return named.join(several.select("bucket"), "bucket", "left_semi")
+
+
+def shingles_of(weights: str) -> Callable[[Batches], Batches]:
+    """(node, part, h, w, total): each text's shingles with their weights, and the sum of those."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in arrays.pieces(batches):
+            row, value, weight = shingles(batch.column("text"), weights)
+            total = np.bincount(row, weights=weight, minlength=batch.num_rows).astype(np.int64)
+            taken = [batch.column(c).take(pa.array(row)) for c in ("node", "part")]
+            yield pa.RecordBatch.from_arrays([*taken, arrays.as_long(value), pa.array(weight), pa.array(total[row])], ["node", "part", "h", "w", "total"])
+
+    return run
+
+
+def may_link(open_: DataFrame, texts: DataFrame, threshold: float, weights: str) -> DataFrame:
+    """The rows of ``open_`` (bucket, node, part) whose node could have a link to another component: at least the
+    threshold's share of its shingles stands in other components. A link needs that, since the shingles in common are
+    at most those, and all of both texts are at least the node's own."""
+    nodes = open_.select("node", "part").distinct()
+    parts = texts.join(nodes, "node").select("node", "part", "text").mapInArrow(shingles_of(weights), "node long, part long, h long, w long, total long")
+    parts = materialise(parts, "shingles")
+    wide = parts.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("h")
+    could = parts.join(wide, "h", "left_semi").groupBy("node").agg(F.sum("w").alias("w"), F.max("total").alias("total"))
+    return open_.join(could.where(F.col("w") >= threshold * F.col("total") - 1e-9).select("node"), "node", "left_semi")
+
+
+def cross_links(threshold: float, weights: str) -> Callable[[Batches], Batches]:
+    """Of rows (g, node, part, side, text), sorted by g, links (a, b) between nodes of one g and several parts: within
+    side 2, or from side 0 to side 1."""
+
+    def run(batches: Batches) -> Batches:
+        for whole in arrays.whole_groups(batches, "g", ZONE_BYTES):
+            g, node, part, side = (whole.column(c).to_numpy() for c in ("g", "node", "part", "side"))
+            row, value, weight = shingles(whole.column("text").combine_chunks(), weights)
+            total = np.bincount(row, weights=weight, minlength=len(g))
+            _, group = np.unique(g, return_inverse=True)
+            key = arrays.mix(group.astype(np.uint64)[row]) ^ value
+            order = np.argsort(key, kind="stable")
+            posted, posted_w, sorted_key = row[order], weight[order], key[order]
+            lo, hi = np.searchsorted(sorted_key, key, "left"), np.searchsorted(sorted_key, key, "right")
+            first = np.searchsorted(row, np.arange(len(g) + 1))
+            starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            ends = np.append(starts[1:], len(g))
+            links: list[tuple[int, int]] = []
+            for a, z in zip(starts, ends, strict=True):
+                names, sizes = np.unique(part[a:z], return_counts=True)
+                if len(names) < 2:
+                    continue
+                for x in np.flatnonzero(part[a:z] != names[sizes.argmax()]) + a:
+                    s = slice(first[x], first[x + 1])
+                    place = arrays.expand(lo[s], hi[s] - lo[s])
+                    least = np.minimum(np.repeat(weight[s], hi[s] - lo[s]), posted_w[place])
+                    both = np.bincount(posted[place] - a, weights=least, minlength=z - a)
+                    other = (part[a:z] != part[x]) & ((side[x] == 2) | (side[a:z] != side[x]))
+                    hit = np.flatnonzero(other & (both > 0) & (both >= threshold * (total[a:z] + total[x] - both) - 1e-9)) + a
+                    if len(hit):
+                        _, one = np.unique(part[hit], return_index=True)
+                        links += [(int(node[x]), int(node[y])) for y in hit[one]]
+            pairs = np.sort(np.array(links, np.int64).reshape(-1, 2), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
+def zone_links(open_: DataFrame, texts: DataFrame, threshold: float, weights: str) -> DataFrame:
+    """(a, b): links between nodes of different parts that are joined by buckets of ``open_`` (bucket, node, part)."""
+    open_ = materialise(open_, "zones")
+    heads = open_.groupBy("bucket").agg(F.min("node").alias("head"))
+    zones = components(open_.join(heads, "bucket").select(F.col("head").alias("a"), F.col("node").alias("b")))
+    nodes = open_.select("node", "part").distinct().join(zones.withColumnRenamed("component", "zone"), "node")
+    blocks = nodes.groupBy("zone").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = nodes.join(blocks, "zone").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    dealt = placed.select(F.xxhash64("zone", F.least("block", "other"), F.greatest("block", "other")).alias("g"), "node", "part", side.alias("side"))
+    rows = dealt.join(texts, "node").select("g", "node", "part", "side", "text").repartition("g").sortWithinPartitions("g")
+    return rows.mapInArrow(cross_links(threshold, weights), "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "set") -> DataFrame:
     """(doc_id, class_id) of every row: the smallest doc_id of its component of links."""
     small_batches(docs.sparkSession)
@@ -181,31 +273,21 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "set")
     nodes = materialise(nodes, "nodes")
     own = signed.join(nodes, (signed["copy"] == nodes["copy"]) & (signed["doc_id"] == nodes["node"]), "left_semi")
     buckets = own.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket")).distinct()
-    first = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
-    buckets = materialise(buckets.join(first, "bucket"), "buckets")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = materialise(buckets.join(shared, "bucket"), "buckets")
+    central = buckets.groupBy("node").agg(F.sum("n").alias("central"))
+    best = buckets.join(central, "node").groupBy("bucket").agg(F.max(F.struct("central", (-F.col("node")).alias("minus"))).alias("h"))
+    heads = best.select("bucket", (-F.col("h.minus")).alias("head"))
+    pairs = buckets.join(heads, "bucket").where("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
     texts = docs.select(F.col("doc_id").alias("node"), "copy", "text").join(nodes, ["node", "copy"], "left_semi").dropDuplicates(["node", "copy"])
     texts = texts.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "text")
     texts = materialise(texts, "texts")
-    pairs = buckets.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     links = materialise(verified(pairs, texts, threshold, weights), "links")
     groups = components(links)
-    done = 1
-    # Nodes not yet in one component with their bucket's first: the only buckets that later rounds look at.
-    at = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "node"), "node")
-    while True:
-        named = buckets.join(groups, "node", "left").withColumn("part", F.coalesce("component", "node")).select("bucket", "node", "part")
-        mixed = named.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where(f"lo < hi and n > {done}")
-        left = materialise(named.join(mixed.select("bucket"), "bucket", "left_semi").withColumn("i", F.row_number().over(at)), "mixed")
-        if left.isEmpty():
-            break
-        heads = left.where(f"i >= {done} and i < {done * GROWTH}").select("bucket", F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("i").alias("i_a"))
-        pairs = heads.join(left, "bucket").where("part <> part_a and i > i_a")
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        more = materialise(verified(pairs, texts, threshold, weights), "links")
-        links = links.unionByName(more)
-        if not more.isEmpty():
-            groups = components(links)
-        done *= GROWTH
+    open_ = materialise(may_link(mixed(buckets, groups), texts, threshold, weights), "open")
+    more = materialise(zone_links(mixed(open_, groups), texts, threshold, weights), "more")
+    if not more.isEmpty():
+        groups = components(links.unionByName(more))
     named = nodes.join(groups, "node", "left").select("copy", F.coalesce("component", "node").alias("class_id"))
     # Rows of one doc_id are one document: their classes are one.
     members = signed.select("doc_id", "copy").join(named, "copy", "left")
