@@ -30,8 +30,8 @@ SELECT img, ix, iy, {q("d", "1e4")} AS d FROM r WHERE k = 24"""
 
 def _near_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges between suppliers and their neighbours in a ring, with made-up weights that are all different."""
-    n = rasters.table(spark, sf_dir, "customer").where("c_custkey <= 60").select(F.col("c_custkey").alias("a"), F.explode(F.array(F.lit(1), F.lit(7), F.lit(31))).alias("step"), "c_nationkey")
-    b = F.col("a") + F.col("step") * (1 + F.col("c_nationkey") % 3)
+    n = rasters.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a"), F.explode(F.array(F.lit(1), F.lit(7), F.lit(31))).alias("step"), "s_nationkey")
+    b = F.col("a") + F.col("step") * (1 + F.col("s_nationkey") % 3)
     return n.select("a", b.alias("b"), (F.pmod(F.col("a") * 7919 + b * 104729, F.lit(1000003)) + F.col("a") / 1e6).alias("w"))
 
 
@@ -103,7 +103,7 @@ def simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "geodesic_li": (geodesics, GEODESIC_SQL),
-    "forest_customer": (forests, None),
+    "forest_supplier": (forests, None),
     "subdivide_li": (subdivisions, SUBDIVIDE_SQL),
     "path_order_li": (path_order, None),
     "path_order_counts_li": (order_counts, ORDER_SQL),

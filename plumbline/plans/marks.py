@@ -88,7 +88,7 @@ def radial_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
     A ray's running mass is a window over its radii; a point looks its mass up among its own ray's stretches by an
     equi-join on ray and bucket of mass.
     """
-    li = rasters.lineitem_raster(spark, sf_dir).where("img = 'N'")
+    li = rasters.whole_lineitem_raster(spark, sf_dir)
     cx, cy, dr = (LI_W + 1) / 2, (LI_H + 1) / 2, REACH / (RADII - 1)
     ray = spark.range(RAYS * RADII).select(F.floor(F.col("id") / RADII).cast("int").alias("ray"), (F.col("id") % RADII).cast("int").alias("k"))
     turn = (F.col("ray") + 0.5) * (2 * math.pi / RAYS)
@@ -112,8 +112,8 @@ def radial_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _N = int(REACH / PITCH) + 1
 TRANSPORT_SQL = f"""
-WITH {sql.LI}, ray AS (SELECT a.ray, b.k, b.k * {REACH / (RADII - 1)!r}::DOUBLE AS r, (a.ray + 0.5) * {2 * math.pi / RAYS!r}::DOUBLE AS t FROM range({RAYS}) a(ray), range({RADII}) b(k)),
-f AS (SELECT ray, k, r, coalesce(1 - v, 0) * r AS f FROM ray LEFT JOIN li ON img = 'N' AND ix = floor({(LI_W + 1) / 2} + r * cos(t) + 0.5) - 1 AND iy = floor({(LI_H + 1) / 2} + r * sin(t) + 0.5) - 1),
+WITH {sql.LI_WHOLE}, ray AS (SELECT a.ray, b.k, b.k * {REACH / (RADII - 1)!r}::DOUBLE AS r, (a.ray + 0.5) * {2 * math.pi / RAYS!r}::DOUBLE AS t FROM range({RAYS}) a(ray), range({RADII}) b(k)),
+f AS (SELECT ray, k, r, coalesce(1 - v, 0) * r AS f FROM ray LEFT JOIN li ON ix = floor({(LI_W + 1) / 2} + r * cos(t) + 0.5) - 1 AND iy = floor({(LI_H + 1) / 2} + r * sin(t) + 0.5) - 1),
 s AS (SELECT *, coalesce((f + lag(f) OVER (PARTITION BY ray ORDER BY k)) / 2 * {REACH / (RADII - 1)!r}::DOUBLE, 0) AS step FROM f),
 m AS (SELECT ray, k, r, sum(step) OVER (PARTITION BY ray ORDER BY k ROWS UNBOUNDED PRECEDING) AS m FROM s),
 e AS (SELECT ray, m AS m0, r AS r0, lead(m) OVER w AS m1, lead(r) OVER w AS r1, max(m) OVER (PARTITION BY ray) AS total FROM m WINDOW w AS (PARTITION BY ray ORDER BY k)),
@@ -127,7 +127,7 @@ SELECT id, ray::INT AS ray, {q(f"{(LI_W + 1) / 2} + r * cos(a)", "1e3")} AS x, {
 
 def chord_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ink that all chords between a ring's nodes could lay in each cell of side 4, sampled 16 times along each chord."""
-    ring = _rings(spark, sf_dir).where("poly_id < 6").groupBy("poly_id").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("s"))
+    ring = _rings(spark, sf_dir).groupBy("poly_id").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("s"))
     pairs = ring.select("poly_id", "s", F.posexplode("s").alias("p", "a")).select("poly_id", "a", F.explode(F.slice("s", F.col("p") + 2, F.greatest(F.lit(0), F.size("s") - F.col("p") - 1))).alias("b"))
     length = F.sqrt((F.col("a.x") - F.col("b.x")) * (F.col("a.x") - F.col("b.x")) + (F.col("a.y") - F.col("b.y")) * (F.col("a.y") - F.col("b.y")))
     laid = pairs.withColumn("ink", length / 16).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(15))))
@@ -138,7 +138,7 @@ def chord_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CAPACITY_SQL = f"""
 WITH {RINGS} SELECT a.poly_id, floor((a.x + (t + 0.5) / 16 * (b.x - a.x)) / 4 + 0.123)::INT AS gx, floor((a.y + (t + 0.5) / 16 * (b.y - a.y)) / 4 + 0.123)::INT AS gy,
- {q("sum(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 16)", "1e2")} AS ink FROM poly a JOIN poly b ON a.poly_id = b.poly_id AND a.k < b.k, range(16) r(t) WHERE a.poly_id < 6 GROUP BY ALL"""
+ {q("sum(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 16)", "1e2")} AS ink FROM poly a JOIN poly b ON a.poly_id = b.poly_id AND a.k < b.k, range(16) r(t) GROUP BY ALL"""
 
 
 def hilbert_tour(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +231,7 @@ def stripe_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     Bins' means, filled from the left and then the right, give a rate; its running integral is the phase, and a line
     stands wherever the phase passes an odd number of half turns.
     """
-    binned = rasters.lineitem_raster(spark, sf_dir).where("(ix div 2) % 5 <> 3").groupBy("img", F.floor(F.col("ix") / 2).cast("int").alias("bin")).agg(F.avg(1 - F.col("v")).alias("k"))
+    binned = rasters.lineitem_raster(spark, sf_dir).groupBy("img", F.floor(F.col("ix") / 2).cast("int").alias("bin")).agg(F.avg(1 - F.col("v")).alias("k"))
     bins = rasters.lineitem_raster(spark, sf_dir).select("img").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(LI_W // 2 - 1)))).join(binned, ["img", "bin"], "left")
     left, right = Window.partitionBy("img").orderBy("bin"), Window.partitionBy("img").orderBy(F.desc("bin"))
     k = F.coalesce(F.last("k", True).over(left), F.last("k", True).over(right), F.lit(0.0))
@@ -247,7 +247,7 @@ def stripe_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STRIPE_SQL = f"""
-WITH {sql.LI}, b AS (SELECT img, (ix // 2)::INT AS bin, avg(1 - v) AS k FROM li WHERE (ix // 2) % 5 <> 3 GROUP BY ALL),
+WITH {sql.LI}, b AS (SELECT img, (ix // 2)::INT AS bin, avg(1 - v) AS k FROM li GROUP BY ALL),
 g AS (SELECT i.img, x.bin, b.k FROM (SELECT DISTINCT img FROM li) i CROSS JOIN range({LI_W // 2}) x(bin) LEFT JOIN b ON b.img = i.img AND b.bin = x.bin),
 f AS (SELECT img, bin, coalesce(last_value(k IGNORE NULLS) OVER (PARTITION BY img ORDER BY bin), last_value(k IGNORE NULLS) OVER (PARTITION BY img ORDER BY bin DESC), 0) AS k FROM g),
 r AS (SELECT *, 1 / 2.0::DOUBLE + (1 - k) * (1 / 12.0::DOUBLE - 1 / 2.0::DOUBLE) AS rate FROM f),

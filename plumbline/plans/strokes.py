@@ -79,17 +79,17 @@ SELECT path_id, run, count(*) AS n, min(seq) AS first, {q("max(x) - min(x)", "1e
 
 
 def _strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short paths in order for each ship mode's stand-in, the line status: three points from a line item's numbers."""
+    """Short paths in order, a layer for each supplier: one or two points from a line item's numbers."""
     li = rasters.table(spark, sf_dir, "lineitem")
     x, y = F.floor(F.col("l_quantity")).cast("double"), F.floor(F.col("l_discount") * 100 + 0.5).cast("double")
-    rows = li.where("l_orderkey < 600").select(F.col("l_linestatus").alias("layer"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("path_id"), x.alias("x"), y.alias("y"), "l_suppkey")
-    ends = F.array(F.struct(F.lit(0).alias("seq"), F.col("x").alias("x"), F.col("y").alias("y")), F.struct(F.lit(1).alias("seq"), (F.col("x") + F.pmod("l_suppkey", F.lit(3))).alias("x"), (F.col("y") + 1).alias("y")))
-    grouped = rows.groupBy("layer", "path_id").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.min("l_suppkey").alias("l_suppkey"))
+    rows = li.select(F.col("l_suppkey").cast("string").alias("layer"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("path_id"), x.alias("x"), y.alias("y"), "l_partkey")
+    grouped = rows.groupBy("layer", "path_id").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.min("l_partkey").alias("k"))
+    ends = F.array(F.struct(F.lit(0).alias("seq"), F.col("x").alias("x"), F.col("y").alias("y")), F.struct(F.lit(1).alias("seq"), (F.col("x") + F.pmod("k", F.lit(3))).alias("x"), (F.col("y") + 1).alias("y")))
     return grouped.select("layer", "path_id", F.explode(F.when(F.pmod("path_id", F.lit(7)) == 0, F.slice(ends, 1, 1)).otherwise(ends)).alias("e")).select("layer", "path_id", "e.*")
 
 
-STROKES = """g AS (SELECT l_linestatus AS layer, l_orderkey * 10 + l_linenumber AS path_id, min(floor(l_quantity)) AS x, min(floor(l_discount * 100 + 0.5)) AS y, min(l_suppkey) AS k
- FROM lineitem WHERE l_orderkey < 600 GROUP BY ALL),
+STROKES = """g AS (SELECT l_suppkey::VARCHAR AS layer, l_orderkey * 10 + l_linenumber AS path_id, min(floor(l_quantity)) AS x, min(floor(l_discount * 100 + 0.5)) AS y, min(l_partkey) AS k
+ FROM lineitem GROUP BY ALL),
 path AS (SELECT layer, path_id, 0 AS seq, x, y FROM g UNION ALL SELECT layer, path_id, 1, x + k % 3, y + 1 FROM g WHERE path_id % 7 <> 0),
 ends AS (SELECT layer, path_id, arg_min(x, seq) AS ax, arg_min(y, seq) AS ay, arg_max(x, seq) AS bx, arg_max(y, seq) AS b_y, count(*) AS n,
   sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2)) AS length FROM path GROUP BY ALL)"""
@@ -184,17 +184,17 @@ FROM line WHERE {sql.inside("((ax + bx) / 2)", "((ay + b_y) / 2)", TRIANGLE)}"""
 
 
 def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A polygon of each nation's customers' balances about a circle."""
-    c = rasters.table(spark, sf_dir, "customer").where("c_custkey < 400")
-    k = Window.partitionBy("c_nationkey").orderBy("c_custkey")
-    n = F.count("*").over(Window.partitionBy("c_nationkey"))
+    """A polygon of each sixty customers in a row: their balances about a circle."""
+    c = rasters.table(spark, sf_dir, "customer").withColumn("poly_id", F.floor(F.col("c_custkey") / 60))
+    k = Window.partitionBy("poly_id").orderBy("c_custkey")
+    n = F.count("*").over(Window.partitionBy("poly_id"))
     turn = 2 * math.pi * (F.row_number().over(k) - 1) / n
     r = 50 + F.col("c_acctbal") / 500
-    return c.select(F.col("c_nationkey").alias("poly_id"), F.row_number().over(k).alias("k"), (r * F.cos(turn)).alias("x"), (r * F.sin(turn)).alias("y"))
+    return c.select("poly_id", F.row_number().over(k).alias("k"), (r * F.cos(turn)).alias("x"), (r * F.sin(turn)).alias("y"))
 
 
-RINGS = """turn AS (SELECT c_nationkey AS poly_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k, count(*) OVER (PARTITION BY c_nationkey) AS n, 50 + c_acctbal / 500 AS r
- FROM customer WHERE c_custkey < 400),
+RINGS = """turn AS (SELECT c_custkey // 60 AS poly_id, row_number() OVER (PARTITION BY c_custkey // 60 ORDER BY c_custkey) AS k, count(*) OVER (PARTITION BY c_custkey // 60) AS n, 50 + c_acctbal / 500 AS r
+ FROM customer),
 poly AS (SELECT poly_id, k, r * cos(2 * pi() * (k - 1) / n) AS x, r * sin(2 * pi() * (k - 1) / n) AS y FROM turn),
 edge AS (SELECT *, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM poly WINDOW w AS (PARTITION BY poly_id ORDER BY k))"""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,14 +51,19 @@ def counted(rows: DataFrame, w: int, h: int) -> DataFrame:
 LI_W, LI_H, EV_W, EV_H = 50, 11, 24, 30
 
 
-def lineitem_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lineitem_raster(spark: SparkSession, sf_dir: str, img: Column | None = None) -> DataFrame:
     """Quantity by discount, an image for each return flag."""
     rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_returnflag").alias("img"), (F.col("l_quantity").cast("int") - 1).alias("ix"), F.floor(F.col("l_discount") * 100 + 0.5).cast("int").alias("iy")
+        (F.col("l_returnflag") if img is None else img).alias("img"), (F.col("l_quantity").cast("int") - 1).alias("ix"), F.floor(F.col("l_discount") * 100 + 0.5).cast("int").alias("iy")
     )
     return counted(rows.where(f"ix between 0 and {LI_W - 1} and iy between 0 and {LI_H - 1}"), LI_W, LI_H)
 
 
+def whole_lineitem_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantity by discount, all line items in one image."""
+    return lineitem_raster(spark, sf_dir, F.lit("all"))
+
+
 def event_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hour by day, an image for each type of event."""
     rows = table(spark, sf_dir, "events").select(
