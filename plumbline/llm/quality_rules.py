@@ -28,22 +28,30 @@ def removed_length(text: str, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def repeated_words(w: Column) -> tuple[Column, Column]:
-    """Two steps to the number of words in 3-word windows that occur twice or more: the windows' hashes in order, to be
-    given a name, and the count over that name."""
+def window_hashes(w: Column) -> Column:
+    """A hash of each three words in a row."""
     at = F.when(F.size(w) >= 3, F.sequence(F.lit(0), F.size(w) - 3)).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(at, lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
-    ordered = F.col("_windows")
+    return F.transform(at, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+
+
+def ordered_windows(hashes: Column) -> Column:
+    """(hash, place) of a text's windows by hash; nothing for a text without a repeated one, as most are."""
+    placed = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    return F.when(F.size(hashes) > F.size(F.array_distinct(hashes)), F.sort_array(placed)).otherwise(none)
+
+
+def repeated_words(ordered: Column) -> Column:
+    """Number of words in windows that occur twice or more, from :func:`ordered_windows`."""
     again = F.filter(ordered, lambda x, j: (F.get(ordered, j - 1)["h"] == x["h"]) | (F.get(ordered, j + 1)["h"] == x["h"]))
-    starts = F.array_sort(F.transform(again, lambda x: x["i"]))
+    starts = F.sort_array(F.transform(again, lambda x: x["i"]))
     state = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last"))
-    count = F.aggregate(
+    return F.aggregate(
         starts,
         state,
         lambda s, i: F.struct((s["n"] + F.least(F.lit(3), i - s["last"])).cast("long").alias("n"), i.alias("last")),
         lambda s: s["n"],
     )
-    return F.array_sort(windows), count
 
 
 def judge(
@@ -56,7 +64,6 @@ def judge(
     row = F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "host", "copy"))
     split = named.withColumn("row", row).withColumn("w", words(F.col("text")))
     split = split.withColumn("blank_free", F.filter(F.split("text", "\n"), lambda x: F.trim(F.translate(x, BLANKS, " ")) != ""))
-    to_sort, n_repeat = repeated_words(F.col("w"))
     measured = split.select(
         "doc_id",
         "row",
@@ -65,9 +72,10 @@ def judge(
         F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
         removed_length("text", SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("blank_free") - F.size(F.array_distinct("blank_free"))).cast("long").alias("n_dup_lines"),
-        to_sort.alias("_windows"),
-    ).withColumn("n_repeat_words", n_repeat)
-    measured = measured.drop("blank_free", "_windows")
+        window_hashes(F.col("w")).alias("_hashes"),
+    )
+    measured = measured.withColumn("_windows", ordered_windows(F.col("_hashes"))).withColumn("n_repeat_words", repeated_words(F.col("_windows")))
+    measured = measured.drop("blank_free", "_hashes", "_windows")
     normal = F.transform(
         F.filter(F.split("text", "\n"), lambda x: F.trim(F.translate(x, BLANKS, " ")) != ""),
         lambda x: F.trim(F.regexp_replace(F.lower(x), WORD_BREAK, " ")),
@@ -113,7 +121,9 @@ def row_key() -> Column:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that :func:`judge` keeps, with their columns and texts as they are."""
-    good = judge(docs).where("kept").select(F.col("row").alias("_row")).distinct()
+    # Written first: a filter on the verdict would otherwise be pushed into its parts and repeat their work.
+    verdicts = materialise(judge(docs).select("row", "kept"), "verdicts")
+    good = verdicts.where("kept").select(F.col("row").alias("_row")).distinct()
     return docs.withColumn("_row", row_key()).join(good, "_row", "left_semi").drop("_row")
 
 
