@@ -20,8 +20,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality_rules.keep(docs).select(*COLUMNS)
+    """Documents that the quality rules reject go, and boilerplate lines of the others; texts without any stay as they are."""
+    kept = quality_rules.keep(docs)
+    n_chars = F.when(F.col("n_removed_lines") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

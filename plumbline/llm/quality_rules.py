@@ -58,7 +58,7 @@ def judge(
     docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE, least_left: float = LEAST_LEFT
 ) -> DataFrame:
     """One row for each document: its counts, ``base_failed``, ``n_removed_words`` (in boilerplate lines),
-    ``n_words_left`` and ``kept``."""
+    ``n_words_left`` and ``kept``; ``removed_lines`` has the numbers of its boilerplate lines, from 0, and is null for none."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("-")).alias("host"))
     named = docs.withColumn("copy", F.md5("text"))
     row = F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "host", "copy"))
@@ -76,12 +76,9 @@ def judge(
     )
     measured = measured.withColumn("_windows", ordered_windows(F.col("_hashes"))).withColumn("n_repeat_words", repeated_words(F.col("_windows")))
     measured = measured.drop("blank_free", "_hashes", "_windows")
-    normal = F.transform(
-        F.filter(F.split("text", "\n"), lambda x: F.trim(F.translate(x, BLANKS, " ")) != ""),
-        lambda x: F.trim(F.regexp_replace(F.lower(x), WORD_BREAK, " ")),
-    )
+    normal = F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), WORD_BREAK, " ")))
     line = F.col("line")
-    keys = named.select("host", "copy", row.alias("row"), F.posexplode(normal).alias("i", "line")).select(
+    keys = named.select("host", "copy", row.alias("row"), F.posexplode(normal).alias("i", "line")).where(line != "").select(
         "host", "copy", "row", "i", F.xxhash64("host", line).alias("k"), (F.length(line) - F.length(F.translate(line, " ", "")) + 1).cast("long").alias("n")
     )
     keys = materialise(keys, "lines")
@@ -94,7 +91,7 @@ def judge(
         .select("k")
     )
     found = keys.join(frequent, "k", "left_semi").select("row", "i", "n").distinct()
-    found = found.groupBy("row").agg(F.sum("n").alias("_gone"))
+    found = found.groupBy("row").agg(F.sum("n").alias("_gone"), F.collect_list("i").alias("removed_lines"))
     joined = measured.join(found, "row", "left").withColumn("n_removed_words", F.coalesce("_gone", F.lit(0).cast("long")))
     joined = joined.withColumn("n_words_left", F.col("n_words") - F.col("n_removed_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -110,6 +107,7 @@ def judge(
         "n_removed_words",
         "n_words_left",
         "row",
+        "removed_lines",
     )
 
 
@@ -120,15 +118,23 @@ def row_key() -> Column:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that :func:`judge` keeps, with their columns and texts as they are."""
+    """The documents that :func:`judge` keeps, with their columns, ``n_removed_lines``, and ``kept_text``, the text
+    without its boilerplate lines; all other lines, blank ones too, stay as they are."""
     # Written first: a filter on the verdict would otherwise be pushed into its parts and repeat their work.
-    verdicts = materialise(judge(docs).select("row", "kept"), "verdicts")
-    good = verdicts.where("kept").select(F.col("row").alias("_row")).distinct()
-    return docs.withColumn("_row", row_key()).join(good, "_row", "left_semi").drop("_row")
+    verdicts = materialise(judge(docs).select("row", "kept", "removed_lines"), "verdicts")
+    none = F.array().cast("array<int>")
+    good = verdicts.where("kept").select(F.col("row").alias("_row"), F.coalesce("removed_lines", none).alias("_removed")).dropDuplicates(["_row"])
+    found = docs.withColumn("_row", row_key()).join(good, "_row")
+    found = found.withColumn("n_removed_lines", F.size("_removed"))
+    lines = F.when(F.col("n_removed_lines") > 0, F.split("text", "\n")).otherwise(F.array().cast("array<string>"))
+    found = found.withColumn("_lines", lines)
+    left = F.when(F.col("n_removed_lines") > 0, F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_removed")).otherwise(none)
+    text = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
+    return found.withColumn("kept_text", F.when(F.col("n_removed_lines") > 0, text).otherwise(F.col("text"))).drop("_row", "_removed", "_lines")
 
 
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents")).drop("row")
+    return judge(table(spark, sf_dir, "documents")).drop("row", "removed_lines")
 
 
 OP5_SQL = rf"""

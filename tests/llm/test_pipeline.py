@@ -70,6 +70,21 @@ def test_empty_table(spark, planted, tmp_path):
             break
 
 
+def test_boilerplate_lines_leave_kept_documents(spark, tmp_path):
+    rng = random.Random(9)
+    footer = "All  rights reserved\tby the host"
+    bodies = {k: prose(rng, 80) for k in range(30)}
+    made = {k: f"{footer}\n{b}\n \n{footer.upper()}\n{b[::-1]}" for k, b in bodies.items()}
+    left = {k: f"{b}\n \n{b[::-1]}" for k, b in bodies.items()}
+    made[100] = left[100] = f"{prose(rng, 70)}\n\n{prose(rng, 70)}\r\n"
+    rows = [(i, t, "en", "h", -1) for i, t in made.items()] + [(3, made[3], "en", "h", -1), (200, f"{footer}\n{bodies[0]}", "en", "other", -1)]
+    left[200] = f"{footer}\n{bodies[0]}"
+    got = corpus_pipeline.drop_low_quality(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    assert {r.doc_id: r.text for r in got} == left
+    assert {r.doc_id: r.n_chars for r in got} == {i: -1 if i >= 100 else len(t) for i, t in left.items()}
+
+
 def test_queries_are_named_by_operator():
     names = list(queries.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
