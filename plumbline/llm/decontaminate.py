@@ -9,33 +9,58 @@ All of it is DataFrame operations. Items' seeds are broadcast only after a count
 ``BROADCAST_SEEDS``; beyond it the seeds meet in a shuffled join. Hits of a document are reduced to (item, diagonal)
 before texts are read again.
 
+Masks of a fixed span can't hit every pattern of ``spare`` substitutions in a short item. For each length of the items
+at hand where they don't, :func:`covering` adds masks over the whole length that hit all of them.
+
 Edge cases: null texts have no tokens; an item shorter than the window is matched whole, and one with fewer tokens
-than the shortest mask has no seed; repeated documents or items each count; empty tables give no rows; other columns
+than the shortest mask only where a document has all of its tokens, even if that is a single one; repeated documents or items each count; empty tables give no rows; other columns
 are ignored; a null ``doc_id`` or ``item_id`` is carried as it is.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import table, words
 
-#: Masks over consecutive tokens; a pair with at most two substitutions in 13 tokens meets one of them with high odds.
+#: Masks over consecutive tokens; a pair with at most two substitutions in 12 or 13 tokens meets one of them.
 MASKS = ("1101011", "111000111")
 WINDOW, SPARE = 13, 2
 BROADCAST_SEEDS = 2_000_000
 
 
-def seeds(w: Column, masks: tuple[str, ...] = MASKS) -> Column:
-    """array<struct<i, h>> of every mask at every place of the token array ``w``."""
+def seeds(w: Column, masks: tuple[str, ...] = MASKS, whole: tuple[str, ...] = (), need: Column | None = None) -> Column:
+    """array<struct<i, h>> of every mask at every place of the token array ``w``; those of ``whole`` only where ``need``,
+    if given, is their length."""
 
-    def laid(m: int, mask: str) -> Column:
-        at = F.when(F.size(w) >= len(mask), F.sequence(F.lit(0), F.size(w) - len(mask))).otherwise(F.array().cast("array<int>"))
+    def laid(m: int | str, mask: str, here: Column) -> Column:
+        at = F.when(here & (F.size(w) >= len(mask)), F.sequence(F.lit(0), F.size(w) - len(mask))).otherwise(F.array().cast("array<int>"))
         taken = [k for k, c in enumerate(mask) if c == "1"]
         return F.transform(at, lambda i: F.struct(i.alias("i"), F.xxhash64(F.lit(m), *[F.get(w, i + k) for k in taken]).alias("h")))
 
-    return F.concat(*[laid(m, mask) for m, mask in enumerate(masks)])
+    parts = [laid(m, mask, F.lit(True)) for m, mask in enumerate(masks)]
+    return F.concat(*parts, *[laid(mask, mask, F.lit(True) if need is None else need == len(mask)) for mask in whole])
+
+
+def spared(need: int, masks: tuple[str, ...], spare: int) -> int:
+    """Substitutions allowed in ``need`` tokens: none in fewer than the shortest mask's."""
+    return spare if need >= min(map(len, masks)) else 0
+
+
+def covering(need: int, masks: tuple[str, ...] = MASKS, spare: int = SPARE) -> tuple[str, ...]:
+    """Masks of ``need`` tokens that hit what ``masks`` miss: none if those hit every pattern of up to ``spare``
+    substitutions in ``need`` tokens. The tokens are cut into two parts more than there are substitutions, so that two
+    parts at least are whole; there is a mask for each choice of two."""
+    allowed = spared(need, masks, spare)
+    laid = [{i + k for k, c in enumerate(mask) if c == "1"} for mask in masks for i in range(need - len(mask) + 1)]
+    if all(any(taken.isdisjoint(lost) for taken in laid) for lost in combinations(range(need), min(allowed, need))):
+        return ()
+    n = min(allowed + 2, need)
+    part = [k * n // need for k in range(need)]
+    return tuple("".join("01"[x in whole] for x in part) for whole in combinations(range(n), max(1, n - allowed)))
 
 
 def tokens(text: Column) -> Column:
@@ -51,11 +76,15 @@ def leaks(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, win
     of the best window in the document, ``n_equal`` the tokens that agree in it."""
     spark = docs.sparkSession
     items = items.select("item_id", tokens(F.col("text")).alias("w_item"))
-    item_seeds = items.select("item_id", "w_item", F.explode(seeds(F.col("w_item"), masks)).alias("s")).select("item_id", "w_item", F.col("s.i").alias("i_item"), "s.h")
+    need = F.least(F.lit(window), F.size("w_item"))
+    # One number for each length up to the window.
+    lengths = sorted(r[0] for r in items.select(need).distinct().collect() if r[0])
+    whole = tuple(mask for n in lengths for mask in covering(n, masks, spare))
+    item_seeds = items.select("item_id", "w_item", F.explode(seeds(F.col("w_item"), masks, whole, need)).alias("s")).select("item_id", "w_item", F.col("s.i").alias("i_item"), "s.h")
     if item_seeds.select("h").count() <= BROADCAST_SEEDS:
         item_seeds = F.broadcast(item_seeds)
     named = docs.select("doc_id", row_key().alias("row"), "text")
-    exploded = named.select("row", tokens(F.col("text")).alias("w")).select("row", F.explode(seeds(F.col("w"), masks)).alias("s"))
+    exploded = named.select("row", tokens(F.col("text")).alias("w")).select("row", F.explode(seeds(F.col("w"), masks, whole)).alias("s"))
     hits = exploded.select("row", "s.i", "s.h").join(item_seeds, "h").select("row", "item_id", "w_item", (F.col("i") - F.col("i_item")).alias("shift"))
     hits = hits.distinct().groupBy("row").agg(F.collect_list(F.struct("item_id", "w_item", "shift")).alias("hits"))
     laid = named.join(hits, "row").select("doc_id", "row", tokens(F.col("text")).alias("w"), "hits")
@@ -73,7 +102,6 @@ def leaks(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, win
     )
     laid = laid.select("doc_id", "row", F.explode(part).alias("p")).select("doc_id", "row", "p.*")
     same = F.transform("under", lambda x, j: (x == F.get("w_item", F.col("lo") - F.col("shift") + j)).cast("int"))
-    need = F.least(F.lit(window), F.size("w_item"))
     laid = laid.withColumn("same", same).withColumn("need", need).where(F.size("same") >= F.col("need"))
     sums = F.transform(
         F.sequence(F.lit(0), F.size("same") - F.col("need")),
@@ -81,7 +109,8 @@ def leaks(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, win
             F.aggregate(F.slice("same", s + 1, F.col("need")), F.lit(0), lambda a, x: a + x).alias("n_equal"), (-(s + F.col("lo"))).alias("minus_at")
         ),
     )
-    best = laid.select("doc_id", "row", "item_id", "need", F.array_max(sums).alias("b")).where(F.col("b.n_equal") >= F.col("need") - spare)
+    allowed = F.when(F.col("need") >= min(map(len, masks)), F.lit(spare)).otherwise(F.lit(0))
+    best = laid.select("doc_id", "row", "item_id", "need", F.array_max(sums).alias("b")).where(F.col("b.n_equal") >= F.col("need") - allowed)
     best = best.groupBy("doc_id", "row", "item_id").agg(F.max("b").alias("b"))
     return best.select("doc_id", "row", "item_id", (-F.col("b.minus_at")).cast("long").alias("first_token"), F.col("b.n_equal").cast("long").alias("n_equal"))
 

@@ -1,6 +1,7 @@
 """Each operator against a plain version on small tables with nulls, empty texts, repeats and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -285,6 +286,41 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.leaks(empty, items).count() == 0 and decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_seeds_cover_every_substitution():
+    for need in range(1, 14):
+        allowed = decontaminate.spared(need, decontaminate.MASKS, decontaminate.SPARE)
+        assert allowed == (2 if need >= 7 else 0)
+        masks = [*decontaminate.MASKS, *decontaminate.covering(need)]
+        laid = [{i + k for k, c in enumerate(m) if c == "1"} for m in masks for i in range(need - len(m) + 1)]
+        for lost in itertools.chain.from_iterable(itertools.combinations(range(need), k) for k in range(allowed + 1)):
+            assert any(taken.isdisjoint(lost) for taken in laid), (need, lost)
+    assert not decontaminate.covering(12) and not decontaminate.covering(13)
+
+
+def test_decontamination_against_all_places(spark):
+    rng = random.Random(5)
+    items = [(n, [f"i{n}t{k}" for k in range(n)]) for n in range(1, 16)]
+    made, texts = [], {}
+    for n, w in items:
+        for lost in itertools.chain.from_iterable(itertools.combinations(range(n), k) for k in range(4)):
+            if len(lost) < 3 or rng.random() < 0.05:
+                texts[len(texts)] = ["pre"] * rng.randint(0, 3) + ["x" if k in lost else t for k, t in enumerate(w)] + ["post"] * rng.randint(0, 2)
+    made = [(i, " ".join(t), "s") for i, t in texts.items()]
+    expected = {}
+    for i, t in texts.items():
+        for n, w in items:
+            need, best = min(13, n), (0, 0)
+            for shift in range(-n, len(t)):
+                for s in range(n - need + 1):
+                    if 0 <= s + shift and s + shift + need <= len(t):
+                        best = max(best, (sum(w[s + k] == t[s + shift + k] for k in range(need)), -(s + shift)))
+            if best[0] >= need - (2 if n >= 7 else 0):
+                expected[i, n] = (-best[1], best[0])
+    table = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
+    got = decontaminate.leaks(frame(spark, made), table).collect()
+    assert {(r.doc_id, r.item_id): (r.first_token, r.n_equal) for r in got} == expected and len(got) == len(expected)
+
+
 def brute_bytes(rows, width):
     raw = [(t or "").encode() for _, t, _ in rows]
     seen = Counter(b[k : k + width] for b in raw for k in range(len(b) - width + 1))
