@@ -152,6 +152,34 @@ def test_packing_takes_similar_documents_together():
     assert sorted(map(sorted, sequences.values())) == [[0], [1]]
 
 
+def test_packing_queries_hold_all_terms():
+    heavy = np.arange(100, 140)
+    light = np.arange(200, 203)
+    texts = [np.concatenate([heavy, light]), heavy, *[np.append(light, 300 + k) for k in range(5)], np.array([900])]
+    offsets = np.cumsum([0] + [len(t) for t in texts])
+    for idf in (None, np.ones(1000)):
+        assert set(packing.Index(np.concatenate(texts), offsets, idf).neighbours(0, len(texts))) == set(range(7))
+
+
+def test_packing_deals_related_texts_to_one_shard(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    common, made = [word() for _ in range(100)], []
+    for group in range(40):
+        own = [word() for _ in range(30)]
+        for copy in range(5):
+            w = own + rng.sample(common, 10)
+            w[copy] = word()
+            made.append((group * 5 + copy, " ".join(w), "s"))
+    rng.shuffle(made)
+    size = sum(len(t) for _, t, _ in made)
+    got = packing.pieces(frame(spark, made), window=512, shard_bytes=size // 10).collect()
+    shard = {r.doc_id: r.sequence_id >> 32 for r in got}
+    assert len(shard) == 200 and len(set(shard.values())) >= 8
+    pairs = [(5 * g + a, 5 * g + b) for g in range(40) for a, b in itertools.combinations(range(5), 2)]
+    assert sum(shard[a] == shard[b] for a, b in pairs) > 0.5 * len(pairs)
+
+
 def brute_classes(rows, threshold=0.8):
     sets = {}
     for i, t, _ in rows:
