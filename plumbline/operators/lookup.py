@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.rounds import materialise
+
 
 def bilinear(points: DataFrame, raster: DataFrame, w: int, h: int) -> DataFrame:
     """(img, pid, v) of ``points`` (pid, x, y; pixels from 1 on), for the points inside the raster: each point asks for the four
@@ -69,9 +71,9 @@ def nearest_seed(pixels: DataFrame, seeds: DataFrame, cell: float, w: int, h: in
         best = asked.join(placed, ["bx", "by"]).groupBy("ix", "iy").agg(F.min(F.struct(d2.alias("d2"), F.col("pid").alias("pid"))).alias("b"))
         # A seed outside the cells asked is at least ``reach`` cells away.
         sure = best.where(F.col("b.d2") <= (reach * cell) ** 2) if reach < most else best
-        sure = sure.select("ix", "iy", "b.pid", "b.d2").checkpoint()
+        sure = materialise(sure.select("ix", "iy", "b.pid", "b.d2"))
         found = sure if found is None else found.unionByName(sure)
-        pending = pending.join(sure, ["ix", "iy"], "left_anti").checkpoint()
+        pending = materialise(pending.join(sure, ["ix", "iy"], "left_anti"))
         if reach >= most or pending.isEmpty():
             return found
         reach *= 2

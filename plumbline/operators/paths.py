@@ -67,31 +67,42 @@ def runs(paths: DataFrame, jump: float) -> DataFrame:
     return paths.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
+def gathered(paths: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each path: its points ``p`` in order, its ends ``a`` and ``b``, ``length`` and ``n`` points. A path is
+    one pen stroke, so its points fit in a row; what follows needs no further shuffle of points."""
+    g = paths.groupBy(*by, "path_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
+    after = F.slice("p", 2, F.greatest(F.lit(0), F.size("p") - 1))
+    step = F.zip_with(after, F.slice("p", 1, F.greatest(F.lit(0), F.size("p") - 1)), lambda q, o: F.sqrt((q["x"] - o["x"]) * (q["x"] - o["x"]) + (q["y"] - o["y"]) * (q["y"] - o["y"])))
+    end = lambda e: F.struct(e["x"].alias("x"), e["y"].alias("y"))
+    return g.select(
+        *by,
+        "path_id",
+        "p",
+        end(F.get("p", F.lit(0))).alias("a"),
+        end(F.element_at("p", -1)).alias("b"),
+        F.aggregate(step, F.lit(0.0), lambda s, d: s + d).alias("length"),
+        F.size("p").cast("long").alias("n"),
+    )
+
+
 def ends_of(paths: DataFrame, by: list[str]) -> DataFrame:
     """One row for each path: its ends, length and number of points."""
-    return (
-        with_length(paths, [*by, "path_id"])
-        .groupBy(*by, "path_id")
-        .agg(
-            F.min_by(F.struct("x", "y"), "seq").alias("a"),
-            F.max_by(F.struct("x", "y"), "seq").alias("b"),
-            F.max("s").alias("length"),
-            F.count("*").alias("n"),
-        )
-    )
+    return gathered(paths, by).drop("p")
 
 
 def joined(paths: DataFrame, by: list[str], tolerance: float) -> DataFrame:
     """Paths of each layer, in order of their ids, appended to the one before where they start closer than
     ``tolerance`` to its end; the repeated point goes, and a dot is never appended."""
-    e = ends_of(paths, by)
+    e = gathered(paths, by)
     order = Window.partitionBy(*by).orderBy("path_id")
     dx, dy = F.col("a.x") - F.lag("b.x").over(order), F.col("a.y") - F.lag("b.y").over(order)
     near = F.coalesce((dx * dx + dy * dy < tolerance * tolerance) & (F.col("n") > 1), F.lit(False))
     e = e.withColumn("near", near).withColumn("group", F.sum((~F.col("near")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = paths.join(e.select(*by, "path_id", "near", "group"), [*by, "path_id"]).where("not (near and seq = 0)")
-    whole = Window.partitionBy(*by, "group").orderBy("path_id", "seq")
-    return out.select(*by, F.col("group").alias("path_id"), (F.row_number().over(whole) - 1).alias("seq"), "x", "y")
+    e = e.withColumn("p", F.when(F.col("near"), F.slice("p", 2, F.size("p"))).otherwise(F.col("p")))
+    before = Window.partitionBy(*by, "group").orderBy("path_id").rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("at", F.coalesce(F.sum(F.size("p")).over(before), F.lit(0)))
+    out = e.select(*by, F.col("group").alias("path_id"), "at", F.posexplode_outer("p").alias("i", "q")).where("q is not null")
+    return out.select(*by, "path_id", (F.col("at") + F.col("i")).alias("seq"), "q.x", "q.y")
 
 
 def metrics(paths: DataFrame, by: list[str]) -> DataFrame:
@@ -122,13 +133,17 @@ def svg_paths(paths: DataFrame, by: list[str]) -> DataFrame:
     return g.select(*by, "path_id", F.when(F.size("s") == 1, F.concat(text, F.lit(" l0.001 0"))).otherwise(text).alias("d"))
 
 
-def svg_document(paths: DataFrame, by: str, width: float, height: float, pen: float) -> DataFrame:
-    """One row for each layer: its group of an SVG drawing in millimetres."""
-    lines = svg_paths(paths, [by]).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("path_id", "d"))).alias("s"))
-    body = F.array_join(F.transform("s", lambda p: F.concat(F.lit('<path d="'), p["d"], F.lit('"/>'))), "\n")
+def svg_lines(paths: DataFrame, by: str, width: float, height: float, pen: float) -> DataFrame:
+    """(layer, line, text): the lines of each layer's SVG drawing in millimetres, one for each path between a head and a
+    foot, so that a drawing of any size is rows to be written in order and never one string."""
+    order = Window.partitionBy(by).orderBy("path_id")
+    body = svg_paths(paths, [by]).select(by, (F.row_number().over(order) + 1).cast("long").alias("line"), F.concat(F.lit('<path d="'), "d", F.lit('"/>')).alias("text"))
+    last = body.groupBy(by).agg(F.max("line").alias("last"))
     head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{width:g}mm" height="{height:g}mm" viewBox="0 0 {width:g} {height:g}">'
     group = f'<g fill="none" stroke="#000" stroke-linecap="round" stroke-linejoin="round" stroke-width="{pen:g}">'
-    return lines.select(by, F.concat(F.lit(f"{head}\n{group}\n"), body, F.lit("\n</g>\n</svg>\n")).alias("svg"))
+    frame = [(F.lit(0), head), (F.lit(1), group), (F.col("last") + 1, "</g>"), (F.col("last") + 2, "</svg>")]
+    around = last.select(by, F.explode(F.array(*[F.struct(n.cast("long").alias("line"), F.lit(t).alias("text")) for n, t in frame])).alias("e"))
+    return body.unionByName(around.select(by, "e.line", "e.text"))
 
 
 def _area_kept(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:

@@ -39,17 +39,27 @@ def forests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iterative.forest(_near_edges(spark, sf_dir)).select("a", "b", S.quantised(F.col("w"), 1e3).alias("w"))
 
 
+#: An edge belongs to the least forest unless lighter edges already join its ends.
+FOREST_SQL = f"""
+WITH RECURSIVE n AS (SELECT s_suppkey AS a, s_suppkey + step * (1 + s_nationkey % 3) AS b FROM supplier, (VALUES (1), (7), (31)) k(step)),
+e AS (SELECT a, b, min((a * 7919 + b * 104729) % 1000003 + a / 1e6::DOUBLE) AS w FROM n GROUP BY ALL),
+both_ AS (SELECT a AS x, b AS y, a, b, w FROM e UNION ALL SELECT b, a, a, b, w FROM e),
+r(ea, eb, ew, node) AS (SELECT a, b, w, a FROM e UNION SELECT r.ea, r.eb, r.ew, o.y FROM r JOIN both_ o ON o.x = r.node AND (o.w, o.a, o.b) < (r.ew, r.ea, r.eb))
+SELECT a, b, {q("w", "1e3")} AS w FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.ea = e.a AND r.eb = e.b AND r.node = e.b)"""
+
+
 def subdivisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = iterative.subdivided(rasters.lineitem_raster(spark, sf_dir), 60)
+    li = rasters.lineitem_raster(spark, sf_dir).withColumn("m", S.quantised(1 - F.col("v")))
+    p = iterative.subdivided(li, 60)
     return p.select("img", "path", "n", S.quantised(F.col("x"), 1e4).alias("x"), S.quantised(F.col("y"), 1e4).alias("y"))
 
 
 SUBDIVIDE_SQL = f"""
-WITH RECURSIVE {sql.LI}, ink AS (SELECT img, ix, iy, 1 - v AS m FROM li WHERE v < 1),
+WITH RECURSIVE {sql.LI}, ink AS (SELECT img, ix, iy, {q("1 - v")} AS m FROM li WHERE {q("1 - v")} > 0),
 n AS (SELECT img, least(60, count(*))::INT AS n FROM ink GROUP BY img),
 t AS (SELECT img, '' AS path, n, list({{'x': ix, 'y': iy, 'm': m}}) AS p FROM ink JOIN n USING (img) GROUP BY img, n
  UNION ALL SELECT img, path || h, CASE h WHEN 'A' THEN na ELSE n - na END, CASE h WHEN 'A' THEN pa ELSE pb END FROM (
-  SELECT *, CASE WHEN mb <= 0 THEN n WHEN ma <= 0 THEN 0 ELSE (floor(n * ma / (ma + mb) + 1e-9) + CASE WHEN n * ma / (ma + mb) - floor(n * ma / (ma + mb) + 1e-9) >= 0.5 - 1e-9 THEN 1 ELSE 0 END)::INT END AS na FROM (
+  SELECT *, ((2 * n * ma + ma + mb) // (2 * (ma + mb)))::INT AS na FROM (
   SELECT *, coalesce(list_sum(list_transform(pa, lambda c: c.m)), 0) AS ma, coalesce(list_sum(list_transform(pb, lambda c: c.m)), 0) AS mb FROM (
   SELECT img, path, n, list_filter(p, lambda c: CASE WHEN wide THEN c.x < cx ELSE c.y < cy END) AS pa, list_filter(p, lambda c: NOT CASE WHEN wide THEN c.x < cx ELSE c.y < cy END) AS pb FROM (
   SELECT *, hx - lx >= hy - ly AS wide, lx + (hx - lx + 2) // 2 AS cx, ly + (hy - ly + 2) // 2 AS cy FROM (
@@ -103,7 +113,7 @@ def simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "geodesic_li": (geodesics, GEODESIC_SQL),
-    "forest_supplier": (forests, None),
+    "forest_supplier": (forests, FOREST_SQL),
     "subdivide_li": (subdivisions, SUBDIVIDE_SQL),
     "path_order_li": (path_order, None),
     "path_order_counts_li": (order_counts, ORDER_SQL),

@@ -72,7 +72,7 @@ class Method:
 
 def _hatch(target: DataFrame, w: int, h: int, params: Mapping[str, float]) -> DataFrame:
     layout = hatching.Layout(w, h, params["pen"], math.radians(params["angle"]))
-    return hatching.hatched(target, layout, 1 << max(1, round(math.log2(params["levels"]))))
+    return hatching.hatched(target, layout, 1 << max(1, math.ceil(math.log2(params["levels"]))))
 
 
 METHODS = (

@@ -133,6 +133,21 @@ WITH {STROKES} SELECT layer, path_id, string_agg(CASE WHEN seq = 0 THEN 'M' ELSE
  || CASE WHEN count(*) = 1 THEN ' l0.001 0' ELSE '' END AS d FROM path GROUP BY ALL"""
 
 
+def svg_drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each layer as the lines of an SVG file."""
+    scaled = _strokes(spark, sf_dir).select("layer", "path_id", "seq", (F.col("x") / 8.0 - 2).alias("x"), (F.col("y") / 16.0).alias("y"))
+    return paths.svg_lines(scaled, "layer", 210.0, 297.0, 0.5)
+
+
+DRAWING_SQL = f"""
+WITH p AS ({SVG_SQL}), b AS (SELECT layer, row_number() OVER (PARTITION BY layer ORDER BY path_id) + 1 AS line, '<path d="' || d || '"/>' AS text FROM p),
+n AS (SELECT layer, max(line) AS last FROM b GROUP BY layer)
+SELECT layer, line, text FROM b
+UNION ALL SELECT layer, 0, '<svg xmlns="http://www.w3.org/2000/svg" width="210mm" height="297mm" viewBox="0 0 210 297">' FROM n
+UNION ALL SELECT layer, 1, '<g fill="none" stroke="#000" stroke-linecap="round" stroke-linejoin="round" stroke-width="0.5">' FROM n
+UNION ALL SELECT layer, last + 1, '</g>' FROM n UNION ALL SELECT layer, last + 2, '</svg>' FROM n"""
+
+
 def merged_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shipping spans of each supplier, in days, joined across gaps of up to 5 days."""
     days = F.datediff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date")).cast("double")
@@ -172,7 +187,8 @@ def _crossings(ring: list[tuple[float, float]]) -> str:
     det = "((x2 - x1) * (qy - py) - (y2 - y1) * (qx - px))"
     return f"""ring(px, py, qx, qy) AS (VALUES {rows}),
 hit AS (SELECT seg_id, ((px - x1) * (qy - py) - (py - y1) * (qx - px)) / {det} AS t, ((px - x1) * (y2 - y1) - (py - y1) * (x2 - x1)) / {det} AS u FROM seg, ring WHERE abs({det}) > 1e-12),
-stop AS (SELECT DISTINCT seg_id, round(t, 12) AS t FROM (SELECT seg_id, t FROM hit WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 UNION ALL SELECT seg_id, 0.0 FROM seg UNION ALL SELECT seg_id, 1.0 FROM seg)),
+stop AS (SELECT seg_id, min(t) AS t FROM (SELECT seg_id, t FROM hit WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 UNION ALL SELECT seg_id, 0.0 FROM seg UNION ALL SELECT seg_id, 1.0 FROM seg) JOIN seg USING (seg_id)
+ GROUP BY seg_id, floor((x1 + t * (x2 - x1)) * 1e10 + 0.5), floor((y1 + t * (y2 - y1)) * 1e10 + 0.5)),
 piece AS (SELECT seg_id, t AS a, lead(t) OVER (PARTITION BY seg_id ORDER BY t) AS b FROM stop),
 line AS (SELECT seg_id, a, x1 + a * (x2 - x1) AS ax, y1 + a * (y2 - y1) AS ay, x1 + b * (x2 - x1) AS bx, y1 + b * (y2 - y1) AS b_y FROM piece JOIN seg USING (seg_id) WHERE b IS NOT NULL)"""
 
@@ -319,6 +335,7 @@ QUERIES = {
     "join_paths_li": (joined_paths, JOIN_SQL),
     "path_metrics_li": (path_metrics, METRIC_SQL),
     "svg_paths_li": (svg_texts, SVG_SQL),
+    "svg_lines_li": (svg_drawing, DRAWING_SQL),
     "merge_intervals_li": (merged_intervals, MERGE_SQL),
     "clip_segments_orders": (clipped_segments, CLIP_SQL),
     "polygon_measures_customer": (polygon_measures, POLYGON_SQL),

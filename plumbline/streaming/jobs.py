@@ -3,16 +3,16 @@ is counted in windows of event time."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.rounds import shared_folder
+
 
 def _folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-plumbline-")
-    return f"{root.rstrip('/')}/plumbline-{uuid.uuid4().hex}/{name}"
+    return f"{shared_folder(spark)}/plumbline-{uuid.uuid4().hex}/{name}"
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +40,8 @@ def drained(made: DataFrame, mode: str, name: str) -> DataFrame:
 
 
 def windowed(events: DataFrame, every: str = "6 hours", late: str = "2 days") -> DataFrame:
-    """Number and sum of events of each type in windows of event time; events later than ``late`` don't count."""
+    """Number and sum of events of each type in windows of event time. In append or update mode, windows older than ``late``
+    are closed and events for them dropped; in complete mode, as :func:`stream_windows` runs it, all events count."""
     w = events.withWatermark("at", late).groupBy(F.window("at", every), "event_type").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("value") * 1000 + 0.5)).alias("total"))
     return w.select(F.unix_timestamp(F.col("window.start")).alias("start"), "event_type", "n", "total")
 

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from plumbline.operators import geometry, iterative, kernels, paths, raster
+from plumbline.operators import geometry, iterative, kernels, paths, raster, rounds
 from plumbline.plans.hatching import Layout
 
 
@@ -33,6 +33,37 @@ def test_geodesic_agrees_with_a_heap(spark):
     assert got.keys() == best.keys() and all(abs(got[p] - best[p]) < 1e-9 for p in best)
 
 
+def test_knights_do_not_jump_over_gaps(spark):
+    w, h, rng = 9, 8, random.Random(5)
+    cost = {(x, y): 1 + rng.random() for x in range(w) for y in range(h) if rng.random() < 0.75 or (x, y) == (0, 0)}
+    rows = spark.createDataFrame([("a", x, y, c) for (x, y), c in cost.items()], "img string, ix int, iy int, v double")
+    got = {(r.ix, r.iy): r.d for r in iterative.geodesic(rows, spark.createDataFrame([("a", 0, 0)], "img string, ix int, iy int"), 16).collect()}
+    best, heap = {}, [(0.0, (0, 0))]
+    while heap:
+        d, p = heapq.heappop(heap)
+        if p in best:
+            continue
+        best[p] = d
+        for dx, dy in iterative.KING + iterative.KNIGHT:
+            q = (p[0] + dx, p[1] + dy)
+            between = []
+            if max(abs(dx), abs(dy)) == 2:
+                sx, sy = int(math.copysign(1, dx)), int(math.copysign(1, dy))
+                between = [(p[0] + sx, p[1] + sy), (p[0] + sx, p[1]) if abs(dx) == 2 else (p[0], p[1] + sy)]
+            if q in cost and all(b in cost for b in between):
+                heapq.heappush(heap, (d + (cost[p] + cost[q]) / 2 * math.hypot(dx, dy), q))
+    assert got.keys() == best.keys() and all(abs(got[p] - best[p]) < 1e-9 for p in best)
+
+
+def test_rounds_do_not_grow_the_size_estimate(spark):
+    """A chain that takes many rounds: what Spark plans with stays of the size of the data."""
+    edges = spark.createDataFrame([(i, i + 1, float((i * 37) % 101)) for i in range(60)], "a long, b long, w double")
+    tree = iterative.forest(edges)
+    assert tree.count() == 60 and rounds.estimated_bits(tree) < 40
+    far = iterative.geodesic(image(spark, 12, 2, lambda x, y: 1.0), spark.createDataFrame([("a", 0, 0)], "img string, ix int, iy int"))
+    assert far.count() == 24 and rounds.estimated_bits(far) < 40
+
+
 def test_forest_is_least(spark):
     rng = random.Random(4)
     edges = [(a, b, rng.random()) for a in range(14) for b in range(a + 1, 14) if rng.random() < 0.3] + [(20, 21, 0.5), (21, 20, 0.2), (5, 5, 0.0)]
@@ -52,11 +83,11 @@ def test_forest_is_least(spark):
 
 
 def test_subdivision_keeps_the_count(spark):
-    src = image(spark, 12, 9, lambda x, y: x / 11)
+    src = image(spark, 12, 9, lambda x, y: x / 11).selectExpr("*", "cast(floor((1 - v) * 1e6 + 0.5) as long) as m")
     for count in (1, 7, 40):
         got = iterative.subdivided(src, count).collect()
         assert sum(r.n for r in got) == count and len({r.path for r in got}) == len(got)
-    assert iterative.subdivided(image(spark, 3, 3, lambda x, y: 1.0), 5).count() == 0
+    assert iterative.subdivided(image(spark, 3, 3, lambda x, y: 1.0).selectExpr("*", "0L as m"), 5).count() == 0
 
 
 def test_circles_do_not_overlap(spark):
