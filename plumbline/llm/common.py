@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.rounds import shared_folder
+
 #: Java regular expression of what separates words, the complement of ``[^\x20\x09-\x0D]+``.
 WORD_BREAK = r"[ \t-\r]+"
 #: The same characters, for ``translate``.
@@ -23,12 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the cluster's shared checkpoint folder; a local one only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-plumbline-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/plumbline-{uuid.uuid4().hex}/{name}"
+    """A new path below the cluster's shared checkpoint folder."""
+    return f"{shared_folder(spark)}/plumbline-{uuid.uuid4().hex}/{name}"
 
 
 @contextmanager
