@@ -11,6 +11,8 @@ last. Only edges that start in two documents or more are of interest:
 3. Edges. Distinct runs are dealt by anchor, which all occurrences of an edge share. The smallest (doc_id, place) of a
    repeated edge is its source coordinate; edges of one document alone go, and those whose source coordinates follow on
    from each other stay together as pieces of paths.
+   An anchor in more than ``HOT_RUNS`` different runs isn't one task's work: its edges are dealt one by one, by their two
+   nodes, and the pieces put together again run by run, of which none has more than ``width`` edges.
 4. Compaction. Joins on nodes find those with several edges in or out; paths end there, and pieces are cut.
 5. Spans. Occurrences of a run in documents later than its pieces' sources become spans, and spans that go on in step
    with their source coordinates, without a branching node between, are joined to long ones; these are removed.
@@ -34,8 +36,10 @@ from plumbline.llm import arrays
 from plumbline.llm.common import materialise, release, small_batches, table
 
 WIDTH, ANCHOR = 13, 5
-#: Distinct runs that a task looks at together, in bytes; one anchor's runs are never parted.
+#: Distinct runs that a task looks at together, in bytes; one anchor's runs are not parted.
 SOLVE_BYTES = 8 << 20
+#: Different runs of one anchor that a task looks at; the edges of an anchor with more are dealt by their nodes.
+HOT_RUNS = 512
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -162,6 +166,29 @@ def repeated_pieces(batches: Batches) -> Batches:
         )
 
 
+def hot_pieces(runs: DataFrame) -> DataFrame:
+    """What :func:`repeated_pieces` gives, by joins on edges. ``runs``: distinct runs (k1, k2, doc_id, row, lo, last, nodes)."""
+    edge = F.arrays_zip(F.slice("nodes", 1, F.size("nodes") - 1).alias("src"), F.slice("nodes", 2, F.size("nodes") - 1).alias("dst"))
+    edges = runs.select("k1", "k2", "doc_id", "row", "lo", "last", F.posexplode(edge).alias("i", "e")).select("*", "e.src", "e.dst").drop("e")
+    edges = materialise(edges, "hot-edges")
+    first = F.min(F.struct("doc_id", "row", (F.col("lo") + F.col("i")).alias("at"), F.col("lo").alias("home"))).alias("f")
+    again = edges.groupBy("src", "dst").agg(first, F.max("last").alias("z")).where("f.doc_id < z").select("src", "dst", "f")
+    found = edges.join(again, ["src", "dst"]).select("k1", "k2", "doc_id", "row", "lo", "i", "f")
+    along = Window.partitionBy("k1", "k2").orderBy("i")
+    before = F.lag(F.struct("i", "f")).over(along)
+    step = (before["i"] + 1 == F.col("i")) & (before["f"]["at"] + 1 == F.col("f.at"))
+    same = [before["f"][c] == F.col(f"f.{c}") for c in ("doc_id", "row", "home")]
+    marked = found.withColumn("begin", F.when(F.coalesce(step & same[0] & same[1] & same[2], F.lit(False)), None).otherwise(F.col("i")))
+    marked = marked.withColumn("begin", F.last("begin", ignorenulls=True).over(along))
+    made = marked.groupBy("k1", "k2", "begin").agg(F.count("*").cast("int").alias("n"), F.min(F.struct("i", "f", "doc_id", "row", "lo")).alias("b"))
+    made = made.join(runs.select("k1", "k2", "nodes"), ["k1", "k2"])
+    own = (F.col("b.f.doc_id") == F.col("b.doc_id")) & (F.col("b.f.row") == F.col("b.row")) & (F.col("b.f.home") == F.col("b.lo"))
+    nodes = F.when(own, F.slice("nodes", F.col("begin") + 1, F.col("n") + 1)).otherwise(F.array().cast("array<long>"))
+    return made.select(
+        "k1", "k2", F.col("begin").alias("i"), "n", F.col("b.f.doc_id").alias("f_doc"), F.col("b.f.row").alias("f_row"), F.col("b.f.home").alias("f_home"), F.col("b.f.at").alias("f_at"), nodes.alias("nodes")
+    )
+
+
 def cut_spans(width: int) -> Callable[[Batches], Batches]:
     """The text without the words that the row's ``spans`` of windows cover."""
 
@@ -196,7 +223,7 @@ def cut_spans(width: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
+def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, hot_runs: int = HOT_RUNS) -> DataFrame:
     """(doc_id, row, start, n, source_doc_id, source_start): spans of ``n`` windows from word ``start`` that stand in
     an earlier document from word ``source_start`` on. ``docs``: doc_id, row (tells texts of one id apart), text."""
     docs = docs.where(F.col("doc_id").isNotNull())
@@ -208,8 +235,15 @@ def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFr
     runs = materialise(runs.mapInArrow(runs_of(width, anchor), RUNS), "runs")
     place = F.min(F.struct("doc_id", "row", "lo")).alias("f")
     distinct = runs.groupBy("m", "k1", "k2").agg(place, F.max("doc_id").alias("last"), F.first("nodes").alias("nodes"))
-    dealt = distinct.select("m", "k1", "k2", "f.*", "last", "nodes").repartition("m").sortWithinPartitions("m")
-    made = materialise(dealt.mapInArrow(repeated_pieces, PIECES), "pieces")
+    distinct = distinct.select("m", "k1", "k2", "f.*", "last", "nodes")
+    names = runs.select("m", "k1", "k2").distinct().groupBy("m").agg(F.count("*").alias("n"))
+    hot = materialise(names.where(F.col("n") > hot_runs).select("m"), "hot-anchors")
+    dealt = distinct.join(hot, "m", "left_anti").repartition("m").sortWithinPartitions("m")
+    made = dealt.mapInArrow(repeated_pieces, PIECES)
+    if not hot.isEmpty():
+        some = runs.join(hot, "m", "left_semi").groupBy("k1", "k2").agg(place, F.max("doc_id").alias("last"), F.first("nodes").alias("nodes"))
+        made = made.unionByName(hot_pieces(materialise(some.select("k1", "k2", "f.*", "last", "nodes"), "hot-runs")))
+    made = materialise(made, "pieces")
     breaks = materialise(broken(made), "breaks")
     pieces = made.select(*made.columns[:-1]).join(breaks, ["f_doc", "f_row", "f_home"], "left")
     # A piece is cut at the breaks inside it; each part knows whether a path begins with it.
@@ -229,7 +263,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFr
         F.max(F.col("at") + F.col("n") - F.col("start")).alias("n"), F.min("f_doc").alias("source_doc_id"), F.min("f_at").alias("source_start")
     )
     spans = materialise(spans, "spans")
-    release(shared, runs, made, breaks)
+    release(shared, runs, hot, made, breaks)
     return spans
 
 
@@ -244,11 +278,11 @@ def broken(pieces: DataFrame) -> DataFrame:
     return at.groupBy("f_doc", "f_row", "f_home").agg(F.collect_set("at").alias("breaks"))
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, hot_runs: int = HOT_RUNS) -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text, the words left joined by one space."""
     small_batches(docs.sparkSession)
     named = docs.drop("n_words", "n_removed", "kept_text", "row", "spans").withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = repeats(named.select("doc_id", "row", "text"), width, anchor)
+    found = repeats(named.select("doc_id", "row", "text"), width, anchor, hot_runs)
     found = found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     joined = named.join(found, ["doc_id", "row"], "left")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("row", "spans")]
