@@ -9,7 +9,9 @@ that are still in one group after the last pass are exactly those that start wit
    with a count, so that thousands of copies of a text are sorted once.
 3. Radix passes. Blocks are dealt by anchor, the first digit; within a task the suffixes at all windows of its
    blocks go through passes of eight bytes each, in which groups of one suffix drop out.
-4. The windows left, and all those of blocks that stand at two places, go back to their places; their union is cut.
+4. An anchor in more than ``HOT_BLOCKS`` different blocks, as a passage shorter than a window in many surroundings gives,
+   isn't one task's work: its windows are dealt one by one, by 128 bits of hash over all their bytes, as blocks are.
+5. The windows left, and all those of blocks that stand at two places, go back to their places; their union is cut.
 
 Edge cases: a null text is empty; texts shorter than a window keep all; repeated rows repeat each other, as any two
 places do; an empty table gives an empty result; other columns are carried along, and columns named like a result are
@@ -29,8 +31,10 @@ from plumbline.llm import arrays
 from plumbline.llm.common import materialise, small_batches, table
 
 WIDTH, ANCHOR = 400, 200
-#: Blocks that a task sorts together, in bytes of their strings; a single anchor's blocks are never parted.
+#: Blocks that a task sorts together, in bytes of their strings; a single anchor's blocks are not parted.
 SORT_BYTES = 8 << 20
+#: Different blocks of one anchor that a task sorts; the windows of an anchor with more are dealt by their content.
+HOT_BLOCKS = 256
 DIGIT = 8
 Batches = Iterator[pa.RecordBatch]
 
@@ -164,6 +168,32 @@ def repeated_in_blocks(width: int) -> Callable[[Batches], Batches]:
     return run
 
 
+def windows_of(width: int) -> Callable[[Batches], Batches]:
+    """(h1, h2, key, at, places) of every window of the blocks."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in arrays.pieces(batches, "block"):
+            data, offsets = arrays.buffer(batch.column("block"))
+            counts = np.diff(offsets) - width + 1
+            at = arrays.expand(offsets[:-1], counts)
+            h1, h2 = (arrays.window_hashes(data, width, which)[at] for which in (0, 1))
+            of = pa.array(np.repeat(np.arange(len(counts)), counts))
+            place = arrays.expand(np.zeros(len(counts), np.int64), counts)
+            yield pa.RecordBatch.from_arrays(
+                [arrays.as_long(h1), arrays.as_long(h2), batch.column("key").take(of), pa.array(place), batch.column("places").take(of)], ["h1", "h2", "key", "at", "places"]
+            )
+
+    return run
+
+
+def hot_hits(blocks: DataFrame, width: int) -> DataFrame:
+    """(key, at, n) of the repeated windows of ``blocks`` (key, places, block), each a run of one."""
+    windows = blocks.select("key", "places", "block").mapInArrow(windows_of(width), "h1 long, h2 long, key binary, at long, places long")
+    windows = materialise(windows, "hot")
+    again = windows.groupBy("h1", "h2").agg(F.sum("places").alias("n")).where("n > 1").select("h1", "h2")
+    return windows.join(again, ["h1", "h2"], "left_semi").select("key", "at", F.lit(1).cast("long").alias("n"))
+
+
 def cut_windows(width: int) -> Callable[[Batches], Batches]:
     """The text's bytes without those that the row's ``spans`` of windows cover."""
 
@@ -187,7 +217,7 @@ def cut_windows(width: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
+def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """(row, start, n): runs of ``n`` windows from byte ``start`` that also start elsewhere. ``docs``: row, text."""
     anchors = docs.mapInArrow(anchors_of(width, anchor), "m long, row string, n long")
     shared = anchors.groupBy("m").agg(F.sum("n").alias("n")).where("n > 1").select("m")
@@ -195,21 +225,27 @@ def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFr
     wanted = anchors.join(shared, "m", "left_semi").groupBy("row").agg(F.collect_set("m").alias("ms"))
     found = docs.join(wanted, "row").select("row", "text", "ms").mapInArrow(blocks_of(width, anchor), "row string, lo long, n long, m long, block binary")
     found = materialise(found.withColumn("key", F.unhex(F.md5("block"))), "blocks")
+    names = found.select("m", "key").distinct().groupBy("m").agg(F.count("*").alias("n"))
+    hot = materialise(names.where(F.col("n") > hot_blocks).select("m"), "hot-anchors")
     distinct = found.groupBy("m", "key").agg(F.count("*").alias("places"), F.first("block").alias("block"))
-    dealt = distinct.repartition("m").sortWithinPartitions("m").select("m", "key", "places", "block")
+    few = distinct.join(hot, "m", "left_anti")
+    dealt = few.repartition("m").sortWithinPartitions("m").select("m", "key", "places", "block")
     hits = dealt.mapInArrow(repeated_in_blocks(width), "key binary, at long, n long")
+    if not hot.isEmpty():
+        many = found.join(hot, "m", "left_semi").groupBy("m", "key").agg(F.count("*").alias("places"), F.first("block").alias("block"))
+        hits = hits.unionByName(hot_hits(many, width))
     hits = hits.groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
     hits = materialise(hits, "windows")
     members = found.select("row", "lo", "key").join(hits, "key")
     return members.select("row", "lo", F.explode("runs").alias("r")).select("row", (F.col("lo") + F.col("r.at")).alias("start"), F.col("r.n").alias("n"))
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans and kept_bytes, the bytes left."""
     small_batches(docs.sparkSession)
     row = F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))))
     named = docs.drop("n_bytes", "n_removed", "n_spans", "kept_bytes", "spans", "row").withColumn("row", row)
-    found = repeats(named.select("row", "text"), width, anchor)
+    found = repeats(named.select("row", "text"), width, anchor, hot_blocks)
     found = found.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     joined = named.join(found, "row", "left")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("row", "spans")]
