@@ -5,9 +5,10 @@ there doesn't hide a copied passage. Seeds of test items and of documents are ha
 item is laid over the document on that diagonal, and the pair counts as a leak if some window of ``window`` aligned
 tokens agrees in all but ``spare`` of them.
 
-All of it is DataFrame operations. Items' seeds are broadcast only after a count shows that they are no more than
-``BROADCAST_SEEDS``; beyond it the seeds meet in a shuffled join. Hits of a document are reduced to (item, diagonal)
-before texts are read again.
+All of it is DataFrame operations. Items' seeds, rows of four numbers, are broadcast only after a count shows that they
+are no more than ``BROADCAST_SEEDS``; beyond it the seeds meet in a shuffled join. Hits are reduced to (document, item,
+diagonal) before texts are read again, and a document's hits are dealt to groups of about ``GROUP_HITS``, so that no row
+holds all of a document that hits without end; items' own words are joined only to the words found under them.
 
 Masks of a fixed span can't hit every pattern of ``spare`` substitutions in a short item. For each length of the items
 at hand where they don't, :func:`covering` adds masks over the whole length that hit all of them.
@@ -24,12 +25,15 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table, words
+from plumbline.llm.common import materialise, table, words
 
 #: Masks over consecutive tokens; a pair with at most two substitutions in 12 or 13 tokens meets one of them.
 MASKS = ("1101011", "111000111")
 WINDOW, SPARE = 13, 2
-BROADCAST_SEEDS = 2_000_000
+#: Seeds that are broadcast at most, some 16 MB.
+BROADCAST_SEEDS = 200_000
+#: Hits of a document that share a row, on average at most.
+GROUP_HITS = 64
 
 
 def seeds(w: Column, masks: tuple[str, ...] = MASKS, whole: tuple[str, ...] = (), need: Column | None = None) -> Column:
@@ -74,33 +78,37 @@ def row_key() -> Column:
 def leaks(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, spare: int = SPARE) -> DataFrame:
     """(doc_id, row, item_id, first_token, n_equal) of every document and item that share a passage: ``first_token`` is the first token
     of the best window in the document, ``n_equal`` the tokens that agree in it."""
-    spark = docs.sparkSession
-    items = items.select("item_id", tokens(F.col("text")).alias("w_item"))
+    name = F.concat_ws("/", F.coalesce(F.col("item_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
+    items = items.select("item_id", F.xxhash64(name, F.md5(name)).alias("item"), tokens(F.col("text")).alias("w_item")).dropDuplicates(["item"])
     need = F.least(F.lit(window), F.size("w_item"))
     # One number for each length up to the window.
     lengths = sorted(r[0] for r in items.select(need).distinct().collect() if r[0])
     whole = tuple(mask for n in lengths for mask in covering(n, masks, spare))
-    item_seeds = items.select("item_id", "w_item", F.explode(seeds(F.col("w_item"), masks, whole, need)).alias("s")).select("item_id", "w_item", F.col("s.i").alias("i_item"), "s.h")
+    item_seeds = items.select("item", F.size("w_item").alias("n_item"), F.explode(seeds(F.col("w_item"), masks, whole, need)).alias("s"))
+    item_seeds = item_seeds.select("s.h", "item", "n_item", F.col("s.i").alias("i_item"))
     if item_seeds.select("h").count() <= BROADCAST_SEEDS:
         item_seeds = F.broadcast(item_seeds)
     named = docs.select("doc_id", row_key().alias("row"), "text")
     exploded = named.select("row", tokens(F.col("text")).alias("w")).select("row", F.explode(seeds(F.col("w"), masks, whole)).alias("s"))
-    hits = exploded.select("row", "s.i", "s.h").join(item_seeds, "h").select("row", "item_id", "w_item", (F.col("i") - F.col("i_item")).alias("shift"))
-    hits = hits.distinct().groupBy("row").agg(F.collect_list(F.struct("item_id", "w_item", "shift")).alias("hits"))
-    laid = named.join(hits, "row").select("doc_id", "row", tokens(F.col("text")).alias("w"), "hits")
+    hits = exploded.select("row", "s.i", "s.h").join(item_seeds, "h").select("row", "item", "n_item", (F.col("i") - F.col("i_item")).alias("shift"))
+    hits = materialise(hits.distinct(), "hits")
+    groups = hits.groupBy("row").agg(F.ceil(F.count("*") / GROUP_HITS).alias("groups"))
+    dealt = hits.join(groups, "row").withColumn("group", F.pmod(F.xxhash64("item", "shift"), F.col("groups")))
+    dealt = dealt.groupBy("row", "group").agg(F.collect_list(F.struct("item", "n_item", "shift")).alias("hits"))
+    laid = named.join(dealt, "row").select("doc_id", "row", tokens(F.col("text")).alias("w"), "hits")
     # Only the part of the document under the item goes on, not its whole text for every hit.
     low = lambda h: F.greatest(F.lit(0), h["shift"])
     part = F.transform(
         "hits",
         lambda h: F.struct(
-            h["item_id"].alias("item_id"),
-            h["w_item"].alias("w_item"),
+            h["item"].alias("item"),
             h["shift"].alias("shift"),
             low(h).alias("lo"),
-            F.slice("w", low(h) + 1, F.greatest(F.lit(0), F.least(F.size("w"), h["shift"] + F.size(h["w_item"])) - low(h))).alias("under"),
+            F.slice("w", low(h) + 1, F.greatest(F.lit(0), F.least(F.size("w"), h["shift"] + h["n_item"]) - low(h))).alias("under"),
         ),
     )
-    laid = laid.select("doc_id", "row", F.explode(part).alias("p")).select("doc_id", "row", "p.*")
+    laid = laid.select("doc_id", "row", part.alias("parts")).select("doc_id", "row", F.explode_outer("parts").alias("p")).select("doc_id", "row", "p.*")
+    laid = laid.join(items, "item")
     same = F.transform("under", lambda x, j: (x == F.get("w_item", F.col("lo") - F.col("shift") + j)).cast("int"))
     laid = laid.withColumn("same", same).withColumn("need", need).where(F.size("same") >= F.col("need"))
     sums = F.transform(
