@@ -1,7 +1,7 @@
 """Near-duplicate classes by DartMinHash signatures, banded joining and exact verification.
 
-Signatures (Christiani, 2020): every element, here a five-word shingle, is the origin of a plane of weight and rank on
-which hashed darts fall, one for each unit of area on average, each with one of ``K`` coordinates. A document keeps the
+Signatures (Christiani, 2020): every element, here a five-word shingle weighted by the number of times it stands in the
+text, is the origin of a plane of weight and rank on which hashed darts fall, one for each unit of area on average, each with one of ``K`` coordinates. A document keeps the
 darts below its elements' weights and below a rank that lets about ``K ln K + 2 K`` of them through, whatever the
 document's size; the earliest dart of each coordinate is the signature. Two signatures agree in a coordinate with the
 weighted Jaccard similarity of the documents as probability. Regions of doubling weight and rank have a Poisson number
@@ -264,8 +264,9 @@ def zone_links(open_: DataFrame, texts: DataFrame, threshold: float, weights: st
     return rows.mapInArrow(cross_links(threshold, weights), "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "set") -> DataFrame:
-    """(doc_id, class_id) of every row: the smallest doc_id of its component of links."""
+def classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "count") -> DataFrame:
+    """(doc_id, class_id) of every row: the smallest doc_id of its component of links. Texts link where the weighted
+    Jaccard similarity of their shingles, by ``count`` or with every weight 1 (``set``), is ``threshold`` or more."""
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("copy", F.md5("text"))
     signed = materialise(docs.mapInArrow(bands_of(weights), "doc_id long, copy string, bands array<long>"), "signatures")
