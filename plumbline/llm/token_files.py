@@ -1,12 +1,14 @@
 """Token-id files: one wavelet matrix for each shard of documents.
 
 A shard's ids are stored as bit-planes, from the most significant bit on; each plane holds one bit of every id in the
-order that a stable partition by the planes above it leaves. With counts of ones at every 512th bit, a plane answers
-rank queries in constant time, and the file gives the id at a place, the number of times an id occurs before a place,
-and the places where it occurs, without holding the ids themselves. Planes are compressed one by one.
+order that a stable partition by the planes above it leaves. Beside each plane stands its directory, the number of ones in
+each block of ``BLOCK`` bits: with their running sums a plane answers rank from one block's bits, and select by a search of
+the directory and one block's bits. The file gives the id at a place, the number of times an id occurs before a place, and
+the places where it occurs, without holding the ids themselves. Planes and directories are compressed one by one.
 
-File: ``MAGIC``, length of the header, JSON header (n, bits, zeros of each plane, sizes of the parts), then the parts,
-each a zstandard frame: document ids, offsets of the documents' ids, and the planes.
+File: ``MAGIC``, length of the header, JSON header (n, bits, zeros of each plane, documents, documents without id, sizes of
+the parts), then the parts, each a zstandard frame: document ids, the offsets of the documents' ids, the planes, the
+directories. The offsets are left out where each document's end id tells them: they are then the places of that id.
 
 Edge cases: a null text has only its end id; a null ``doc_id`` sorts first and stays null; repeated rows are written
 each; an empty table gives no file rows; other columns are ignored.
@@ -30,21 +32,30 @@ from plumbline.llm import arrays
 from plumbline.llm.common import materialise, scratch, small_batches, table
 from plumbline.llm.tokens import default_path, encoder
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 END_ID = 2
 #: Text bytes of a shard.
 SHARD_BYTES = 16 << 20
 BLOCK = 512
-NULL_ID = np.iinfo(np.int64).min
+#: Shards whose running starts a task adds up.
+SHARD_GROUP = 1024
 Batches = Iterator[pa.RecordBatch]
 
 
+def directory_of(plane: np.ndarray) -> np.ndarray:
+    """Ones in each block of a plane."""
+    padded = np.zeros(-(-len(plane) // (BLOCK // 8)) * (BLOCK // 8), np.uint8)
+    padded[: len(plane)] = plane
+    return np.bitwise_count(padded).reshape(-1, BLOCK // 8).sum(1, dtype=np.uint16)
+
+
 class WaveletMatrix:
     """Bit-planes with rank and select over ``n`` ids of ``bits`` bits."""
 
-    def __init__(self, n: int, bits: int, zeros: list[int], planes: list[np.ndarray]):
+    def __init__(self, n: int, bits: int, zeros: list[int], planes: list[np.ndarray], directories: list[np.ndarray] | None = None):
         self.n, self.bits, self.zeros, self.planes = n, bits, zeros, planes
-        self._ones: dict[int, np.ndarray] = {}
+        self.directories = [directory_of(p) for p in planes] if directories is None else directories
+        self._ones = [np.concatenate([[0], np.cumsum(d, dtype=np.int64)]) for d in self.directories]
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -73,11 +84,6 @@ class WaveletMatrix:
     def _rank1(self, level: int, at: np.ndarray) -> np.ndarray:
         """Ones of the plane before each place."""
         plane = self.planes[level]
-        if level not in self._ones:
-            padded = np.zeros(-(-(len(plane) + 1) // (BLOCK // 8)) * (BLOCK // 8), np.uint8)
-            padded[: len(plane)] = plane
-            per_block = np.bitwise_count(padded).reshape(-1, BLOCK // 8).sum(1, dtype=np.int64)
-            self._ones[level] = np.concatenate([[0], np.cumsum(per_block)])
         at = np.asarray(at, np.int64)
         block, out = at // BLOCK, self._ones[level][at // BLOCK].copy()
         for k in range(BLOCK // 8):  # the whole bytes between the block's start and the place
@@ -89,6 +95,26 @@ class WaveletMatrix:
         out[part] += np.bitwise_count(plane[at[part] // 8] >> (8 - rest[part]).astype(np.uint8))
         return out
 
+    def _select(self, level: int, bit: int, number: np.ndarray) -> np.ndarray:
+        """The places of the ones, or zeros, with these numbers, from 0; numbers ascend."""
+        ones = self._ones[level]
+        before = ones if bit else np.arange(len(ones)) * BLOCK - ones
+        out = np.empty(len(number), np.int64)
+        for lo in range(0, len(number), 4096):  # so many blocks' bits at a time
+            some = number[lo : lo + 4096]
+            block = np.searchsorted(before, some, "right") - 1
+            which, row = np.unique(block, return_inverse=True)
+            size = BLOCK // 8
+            padded = np.zeros((len(which), size), np.uint8)
+            for k, b in enumerate(which.tolist()):
+                part = self.planes[level][b * size : (b + 1) * size]
+                padded[k, : len(part)] = part
+            bits = np.unpackbits(padded, axis=1) == bit
+            at = np.flatnonzero(bits)
+            first = np.cumsum(bits.sum(1)) - bits.sum(1)
+            out[lo : lo + 4096] = block * BLOCK + at[first[row] + some - before[block]] % BLOCK
+        return out
+
     def access(self, at: np.ndarray) -> np.ndarray:
         """The ids at the places ``at``."""
         at = np.asarray(at, np.int64).copy()
@@ -124,24 +150,28 @@ class WaveletMatrix:
         """The places of ``token``, ascending: its range below the last plane, selected back upwards."""
         lo, hi = self._range(token, self.n)
         at = np.arange(lo, hi)
-        for level in reversed(range(self.bits)):
-            bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
+        for level in reversed(range(self.bits) if len(at) else range(0)):
             if token >> (self.bits - 1 - level) & 1:
-                at = np.flatnonzero(bit)[at - self.zeros[level]]
+                at = self._select(level, 1, at - self.zeros[level])
             else:
-                at = np.flatnonzero(~bit)[at]
+                at = self._select(level, 0, at)
         return at
 
 
-def to_bytes(ids: np.ndarray, doc_ids: np.ndarray, offsets: np.ndarray) -> bytes:
+def to_bytes(ids: np.ndarray, doc_ids: np.ndarray, nulls: int, offsets: np.ndarray) -> bytes:
+    """A file's bytes; the first ``nulls`` documents have no id."""
     matrix = WaveletMatrix.build(ids)
     pack = zstandard.ZstdCompressor(level=1).compress
-    parts = [pack(doc_ids.astype("<i8").tobytes()), pack(offsets.astype("<i8").tobytes()), *[pack(p.tobytes()) for p in matrix.planes]]
-    header = json.dumps({"n": matrix.n, "bits": matrix.bits, "zeros": matrix.zeros, "sizes": [len(p) for p in parts]}).encode()
-    return b"".join([MAGIC, struct.pack("<I", len(header)), header, *parts])
+    told = matrix.count(END_ID) == len(doc_ids) and bool((ids[offsets[1:] - 1] == END_ID).all())
+    kept = np.zeros(0, np.int64) if told else offsets
+    parts = [doc_ids.astype("<i8"), kept.astype("<i8"), *matrix.planes, *[d.astype("<u2") for d in matrix.directories]]
+    parts = [pack(p.tobytes()) for p in parts]
+    header = {"n": matrix.n, "bits": matrix.bits, "zeros": matrix.zeros, "docs": len(doc_ids), "nulls": nulls, "told": told, "sizes": [len(p) for p in parts]}
+    text = json.dumps(header).encode()
+    return b"".join([MAGIC, struct.pack("<I", len(text)), text, *parts])
 
 
-def from_bytes(raw: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray]:
+def from_bytes(raw: bytes) -> tuple[WaveletMatrix, pa.Array, np.ndarray]:
     """(matrix, document ids, offsets of each document's ids) of a file."""
     if raw[:4] != MAGIC:
         raise ValueError("not a token file")
@@ -151,7 +181,10 @@ def from_bytes(raw: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray]:
     for size in header["sizes"]:
         parts.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[end : end + size]), np.uint8))
         end += size
-    return WaveletMatrix(header["n"], header["bits"], header["zeros"], parts[2:]), parts[0].view("<i8"), parts[1].view("<i8")
+    bits = header["bits"]
+    matrix = WaveletMatrix(header["n"], bits, header["zeros"], parts[2 : 2 + bits], [p.view("<u2") for p in parts[2 + bits :]])
+    offsets = np.concatenate([[0], matrix.occurrences(END_ID) + 1]) if header["told"] else parts[1].view("<i8")
+    return matrix, pa.array(parts[0].view("<i8"), mask=np.arange(header["docs"]) < header["nulls"]), offsets
 
 
 def write_shards(folder: str, path: str) -> Callable[[Batches], Batches]:
@@ -160,18 +193,19 @@ def write_shards(folder: str, path: str) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         from pyarrow import fs
 
-        words, ids, doc_ids, lengths = encoder(path), [], [], []
+        words, ids, doc_ids, lengths, nulls = encoder(path), [], [], [], 0
         for batch in arrays.pieces(batches):
             got, of = words.encode(*arrays.buffer(batch.column("text")))
             ended = np.insert(got.astype(np.uint16) if words.ends_word.size <= 1 << 16 else got, of[1:], END_ID)
             ids.append(ended)
             lengths.append(np.diff(of) + 1)
-            doc_ids.append(batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False))
+            nulls += batch.column("doc_id").null_count
+            doc_ids.append(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False))
         if not ids:
             return
         task = TaskContext.get()
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-        raw = to_bytes(np.concatenate(ids), np.concatenate(doc_ids), offsets)
+        raw = to_bytes(np.concatenate(ids), np.concatenate(doc_ids), nulls, offsets)
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         name = f"shard-{task.partitionId():06d}.wvm"
@@ -196,7 +230,7 @@ def read_shards(batches: Batches) -> Batches:
                 [
                     pa.array([name.rpartition("/")[2]] * len(crc)),
                     pa.array(np.arange(len(crc))),
-                    pa.array(doc_ids, mask=doc_ids == NULL_ID),
+                    doc_ids,
                     pa.array(offsets[:-1].astype(np.int64)),
                     pa.array(np.diff(offsets).astype(np.int64)),
                     pa.array(np.array(crc, np.int64)),
@@ -218,13 +252,16 @@ def write(docs: DataFrame, folder: str, path: str | None = None, shard_bytes: in
 
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files. The running start of the files is taken
-    over the manifest, one short row for each."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files that the manifest names. The running start
+    of the files is added up over groups of the manifest's rows, one short row for each file, and then within a group."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wvm").load(folder).select("path", "content")
     docs = files.mapInArrow(read_shards, "name string, k long, doc_id long, at long, n_tokens long, ids_crc32 long")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = manifest.select(F.col("path").alias("name"), F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    return docs.join(F.broadcast(base), "name").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    upto = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = manifest.select("shard", F.col("path").alias("name"), "n_tokens", F.floor(F.col("shard") / SHARD_GROUP).alias("group"))
+    groups = rows.groupBy("group").agg(F.sum("n_tokens").alias("n_tokens"))
+    groups = groups.select("group", upto(Window.orderBy("group")).alias("before"))
+    base = rows.join(groups, "group").select("name", (F.col("before") + upto(Window.partitionBy("group").orderBy("shard"))).alias("base"))
+    return docs.join(base, "name").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,14 @@ def test_substrings(spark, docs, rows, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_substrings_under_hot_anchors(spark, docs, rows):
+    """Every anchor goes the way of those in too many runs."""
+    got = substring_dedup.remove_repeats(docs, hot_runs=0)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got.collect()) == brute_words(rows, 13)
+    spans = [sorted(map(tuple, substring_dedup.repeats(docs.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) AS row"), hot_runs=n).collect())) for n in (0, 512)]
+    assert spans[0] == spans[1]
+
+
 def test_substring_spans_name_their_source(spark):
     passage = " ".join(f"p{k}" for k in range(30))
     made = [(2, f"a b c {passage} d e", "s"), (7, f"{passage}", "s"), (9, "z " + passage + " y", "s")]
@@ -181,11 +189,12 @@ def test_packing_deals_related_texts_to_one_shard(spark):
 
 
 def brute_classes(rows, threshold=0.8):
+    """Classes by the weighted Jaccard similarity of counted shingles."""
     sets = {}
     for i, t, _ in rows:
         w = WORD.findall(t or "")
         if i is not None:
-            sets[i] = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()), t or "")
+            sets[i] = (Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) or Counter([tuple(w)] if w else []), t or "")
     parent = {i: i for i in sets}
 
     def find(x):
@@ -195,7 +204,7 @@ def brute_classes(rows, threshold=0.8):
 
     for i, (a, t) in sets.items():
         for j, (b, u) in sets.items():
-            if i < j and (t == u or a | b and len(a & b) >= threshold * len(a | b)):
+            if i < j and (t == u or a | b and (a & b).total() >= threshold * (a | b).total()):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
     return {i: find(i) for i in sets}
@@ -370,6 +379,11 @@ def test_suffixes(spark, docs, rows, empty, width, anchor):
     assert suffix_dedup.remove_repeats(empty, width, anchor).count() == 0
 
 
+def test_suffixes_under_hot_anchors(spark, docs, rows):
+    got = suffix_dedup.remove_repeats(docs, 83, 30, hot_blocks=0)
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) for r in got.collect()) == brute_bytes(rows, 83)
+
+
 def test_radix_passes():
     rng = np.random.default_rng(5)
     data = rng.integers(0, 2, 4000).astype(np.uint8)
@@ -398,14 +412,27 @@ def test_token_files(spark, rows, docs, empty):
 def test_wavelet_matrix(n, most):
     rng = np.random.default_rng(n)
     ids = np.minimum(rng.geometric(0.01, n), most).astype(np.uint32)
-    raw = token_files.to_bytes(ids, np.array([4, 9]), np.array([0, n // 2, n]))
+    raw = token_files.to_bytes(ids, np.array([4, 9]), 1, np.array([0, n // 2, n])) if n > 1 else token_files.to_bytes(ids[:0], np.zeros(0, int), 0, np.zeros(1, int))
+    n, ids = (n, ids) if n > 1 else (0, ids[:0])
     matrix, doc_ids, offsets = token_files.from_bytes(raw)
-    assert (matrix.ids() == ids).all() and doc_ids.tolist() == [4, 9] and offsets.tolist() == [0, n // 2, n]
+    assert (matrix.ids() == ids).all() and doc_ids.to_pylist() == ([None, 9] if n else []) and offsets.tolist() == ([0, n // 2, n] if n else [0])
     at = rng.integers(0, n, 50) if n else np.zeros(0, int)
     assert (matrix.access(at) == ids[at]).all()
-    for token in [*ids[:5].tolist(), 1 << 20]:
+    for token in [*ids[:5].tolist(), 0, most + 1, 1 << 20]:
         assert matrix.count(token) == (ids == token).sum() and matrix.rank(token, n // 3) == (ids[: n // 3] == token).sum()
-        assert matrix.occurrences(token).tolist() == np.flatnonzero(ids == token).tolist() if token < 1 << 20 else True
+        assert matrix.occurrences(token).tolist() == np.flatnonzero(ids == token).tolist()
+
+
+def test_end_ids_tell_the_offsets():
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(0, 900, 60)
+    ids = np.concatenate([np.append(rng.integers(3, 5000, n), 2) for n in lengths]).astype(np.uint32)
+    offsets = np.concatenate([[0], np.cumsum(lengths + 1)])
+    raw = token_files.to_bytes(ids, np.arange(60), 0, offsets)
+    assert b'"told": true' in raw and token_files.from_bytes(raw)[2].tolist() == offsets.tolist()
+    ids[5] = 2
+    raw = token_files.to_bytes(ids, np.arange(60), 0, offsets)
+    assert b'"told": false' in raw and token_files.from_bytes(raw)[2].tolist() == offsets.tolist()
 
 
 def test_encoder_agrees_with_the_library():
