@@ -10,7 +10,9 @@ that are still in one group after the last pass are exactly those that start wit
 3. Radix passes. Blocks are dealt by anchor, the first digit; within a task the suffixes at all windows of its
    blocks go through passes of eight bytes each, in which groups of one suffix drop out.
 4. An anchor in more than ``HOT_BLOCKS`` different blocks, as a passage shorter than a window in many surroundings gives,
-   isn't one task's work: its windows are dealt one by one, by 128 bits of hash over all their bytes, as blocks are.
+   isn't one task's work. Its blocks are cut by how far before the anchor a window starts, in steps of ``GRAINS``; the
+   bytes that all windows of a step share are the next digit, by which these shorter blocks are dealt. Steps of one
+   place, at the last, leave nothing but equal windows together.
 5. The windows left, and all those of blocks that stand at two places, go back to their places; their union is cut.
 
 Edge cases: a null text is empty; texts shorter than a window keep all; repeated rows repeat each other, as any two
@@ -33,8 +35,10 @@ from plumbline.llm.common import materialise, small_batches, table
 WIDTH, ANCHOR = 400, 200
 #: Blocks that a task sorts together, in bytes of their strings; a single anchor's blocks are not parted.
 SORT_BYTES = 8 << 20
-#: Different blocks of one anchor that a task sorts; the windows of an anchor with more are dealt by their content.
-HOT_BLOCKS = 256
+#: Different blocks of one anchor that a task sorts, some 8 MB; those of an anchor with more are cut and dealt anew.
+HOT_BLOCKS = 16384
+#: Starts that a cut block has, from one cut to the next.
+GRAINS = (25, 5, 1)
 DIGIT = 8
 Batches = Iterator[pa.RecordBatch]
 
@@ -168,30 +172,63 @@ def repeated_in_blocks(width: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def windows_of(width: int) -> Callable[[Batches], Batches]:
-    """(h1, h2, key, at, places) of every window of the blocks."""
+def parts_of(width: int, anchor: int, grain: int) -> Callable[[Batches], Batches]:
+    """(key, lo, places, m, block): each block's parts of windows that start within one step of ``grain`` places before
+    their anchor; ``m`` is a hash of the bytes that all windows of that step share."""
 
     def run(batches: Batches) -> Batches:
         for batch in arrays.pieces(batches, "block"):
             data, offsets = arrays.buffer(batch.column("block"))
             counts = np.diff(offsets) - width + 1
-            at = arrays.expand(offsets[:-1], counts)
-            h1, h2 = (arrays.window_hashes(data, width, which)[at] for which in (0, 1))
-            of = pa.array(np.repeat(np.arange(len(counts)), counts))
-            place = arrays.expand(np.zeros(len(counts), np.int64), counts)
+            start = arrays.expand(offsets[:-1], counts)
+            of = np.repeat(np.arange(len(counts)), counts)
+            # The first place of the anchor from each window's start on, which is within the window.
+            g = arrays.window_hashes(data, anchor)
+            ahead = np.arange(len(g))
+            first = np.full(len(data) + 1, len(data))
+            is_least = g == batch.column("m").to_numpy().view(np.uint64)[np.minimum(np.searchsorted(offsets, ahead, "right") - 1, len(counts) - 1)]
+            first[: len(g)] = np.minimum.accumulate(np.where(is_least, ahead, len(data))[::-1])[::-1]
+            step = (first[start] - start) // grain
+            new = np.ones(len(start), bool)
+            new[1:] = (of[1:] != of[:-1]) | (step[1:] != step[:-1]) | (first[start][1:] != first[start][:-1])
+            head = np.flatnonzero(new)
+            n = np.diff(np.append(head, len(start)))
+            core = first[start[head]] - step[head] * grain
+            shared = arrays.window_hashes(data, width - grain + 1)[core]
+            m = arrays.mix(shared ^ arrays.mix(step[head].astype(np.uint64)))
+            length = n + width - 1
+            ends = np.concatenate([[0], np.cumsum(length)])
+            strings = data[arrays.expand(start[head], length)]
+            block = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(head), [None, pa.py_buffer(ends), pa.py_buffer(strings.tobytes())])
+            which = pa.array(of[head])
             yield pa.RecordBatch.from_arrays(
-                [arrays.as_long(h1), arrays.as_long(h2), batch.column("key").take(of), pa.array(place), batch.column("places").take(of)], ["h1", "h2", "key", "at", "places"]
+                [batch.column("key").take(which), pa.array(start[head] - offsets[of[head]]), batch.column("places").take(which), arrays.as_long(m), block.cast(pa.binary())],
+                ["key", "lo", "places", "m", "block"],
             )
 
     return run
 
 
-def hot_hits(blocks: DataFrame, width: int) -> DataFrame:
-    """(key, at, n) of the repeated windows of ``blocks`` (key, places, block), each a run of one."""
-    windows = blocks.select("key", "places", "block").mapInArrow(windows_of(width), "h1 long, h2 long, key binary, at long, places long")
-    windows = materialise(windows, "hot")
-    again = windows.groupBy("h1", "h2").agg(F.sum("places").alias("n")).where("n > 1").select("h1", "h2")
-    return windows.join(again, ["h1", "h2"], "left_semi").select("key", "at", F.lit(1).cast("long").alias("n"))
+def grouped_hits(blocks: DataFrame, width: int, anchor: int, hot_blocks: int, grains: tuple[int, ...] = GRAINS) -> DataFrame:
+    """(key, at, n): the runs of repeated windows of distinct ``blocks`` (m, anchor_m, key, places, block), of which those
+    that agree in ``m`` are compared; ``anchor_m`` is the anchor's hash."""
+    names = blocks.groupBy("m").agg(F.count("*").alias("n"))
+    hot = materialise(names.where(F.col("n") > hot_blocks).select("m"), "hot-anchors")
+    if not grains or hot.isEmpty():
+        dealt = blocks.select("m", "key", "places", "block").repartition("m").sortWithinPartitions("m")
+        return dealt.mapInArrow(repeated_in_blocks(width), "key binary, at long, n long")
+    few = blocks.join(hot, "m", "left_anti")
+    dealt = few.select("m", "key", "places", "block").repartition("m").sortWithinPartitions("m")
+    hits = dealt.mapInArrow(repeated_in_blocks(width), "key binary, at long, n long")
+    many = blocks.join(hot, "m", "left_semi").select(F.col("anchor_m").alias("m"), "key", "places", "block")
+    parts = many.mapInArrow(parts_of(width, anchor, grains[0]), "key binary, lo long, places long, m long, block binary")
+    again = many.select("key", F.col("m").alias("anchor_m")).distinct()
+    parts = materialise(parts.join(again, "key").withColumn("part", F.unhex(F.md5("block"))), "parts")
+    distinct = parts.groupBy("m", "anchor_m", "part").agg(F.sum("places").alias("places"), F.first("block").alias("block"))
+    distinct = materialise(distinct.withColumnRenamed("part", "key"), "distinct-parts")
+    inner = grouped_hits(distinct, width, anchor, hot_blocks, grains[1:]).select(F.col("key").alias("part"), "at", "n")
+    back = parts.select("key", "lo", "part").join(inner, "part")
+    return hits.unionByName(back.select("key", (F.col("lo") + F.col("at")).alias("at"), "n"))
 
 
 def cut_windows(width: int) -> Callable[[Batches], Batches]:
@@ -225,15 +262,8 @@ def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, hot_block
     wanted = anchors.join(shared, "m", "left_semi").groupBy("row").agg(F.collect_set("m").alias("ms"))
     found = docs.join(wanted, "row").select("row", "text", "ms").mapInArrow(blocks_of(width, anchor), "row string, lo long, n long, m long, block binary")
     found = materialise(found.withColumn("key", F.unhex(F.md5("block"))), "blocks")
-    names = found.select("m", "key").distinct().groupBy("m").agg(F.count("*").alias("n"))
-    hot = materialise(names.where(F.col("n") > hot_blocks).select("m"), "hot-anchors")
     distinct = found.groupBy("m", "key").agg(F.count("*").alias("places"), F.first("block").alias("block"))
-    few = distinct.join(hot, "m", "left_anti")
-    dealt = few.repartition("m").sortWithinPartitions("m").select("m", "key", "places", "block")
-    hits = dealt.mapInArrow(repeated_in_blocks(width), "key binary, at long, n long")
-    if not hot.isEmpty():
-        many = found.join(hot, "m", "left_semi").groupBy("m", "key").agg(F.count("*").alias("places"), F.first("block").alias("block"))
-        hits = hits.unionByName(hot_hits(many, width))
+    hits = grouped_hits(distinct.withColumn("anchor_m", F.col("m")), width, anchor, hot_blocks)
     hits = hits.groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
     hits = materialise(hits, "windows")
     members = found.select("row", "lo", "key").join(hits, "key")
