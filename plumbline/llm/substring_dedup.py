@@ -38,8 +38,8 @@ from plumbline.llm.common import materialise, release, small_batches, table
 WIDTH, ANCHOR = 13, 5
 #: Distinct runs that a task looks at together, in bytes; one anchor's runs are not parted.
 SOLVE_BYTES = 8 << 20
-#: Different runs of one anchor that a task looks at; the edges of an anchor with more are dealt by their nodes.
-HOT_RUNS = 512
+#: Different runs of one anchor that a task looks at, some 8 MB; the edges of an anchor with more are dealt by their nodes.
+HOT_RUNS = 50_000
 Batches = Iterator[pa.RecordBatch]
 
 
