@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,28 +76,24 @@ def _unit(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+@lru_cache(maxsize=4096)
 def _poisson(mean: float) -> np.ndarray:
-    """Cumulative probabilities of 0, 1, ... darts."""
-    out, p, k, total = [], math.exp(-mean), 0, 0.0
-    while total < 1 - 1e-15 and k < 40 + 4 * mean:
-        total += p
-        out.append(min(total, 1.0))
-        k += 1
-        p *= mean / k
-    return np.array(out)
+    """Cumulative probabilities of 0, 1, ... darts; from logarithms, as the first ones may be too small for a number."""
+    k = np.arange(40 + int(4 * mean))
+    steps = np.log(np.maximum(k, 1)).cumsum()
+    return np.minimum(np.exp(k * math.log(mean) - mean - steps).cumsum(), 1.0)
 
 
 def darts(row: np.ndarray, value: np.ndarray, weight: np.ndarray, reach: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, coordinate, rank, dart) of the darts under each element's weight and its row's ``reach``, by region."""
-    top, most = float(weight.max()), float(reach.max())
-    w_lo, w_hi, v = 0.0, 1.0, 0
-    while w_lo < top:
-        r_lo, r_hi, r = 0.0, FIRST_RANK, 0
-        while r_lo < most:
-            use = np.flatnonzero((weight > w_lo) & (reach[row] > r_lo))
+    """(row, coordinate, rank, dart) of the darts under each element's weight and its row's ``reach``, by region. Each
+    region looks only at the elements that reach it, so that a few heavy ones cost little."""
+    far = reach[row]
+    heavy, w_lo, w_hi, v = np.arange(len(row)), 0.0, 1.0, 0
+    while len(heavy):
+        use, r_lo, r_hi, r = heavy[far[heavy] > 0], 0.0, FIRST_RANK, 0
+        while len(use):
             h = arrays.mix(value[use] ^ np.uint64((v << 32 | r) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-            table_ = _poisson((w_hi - w_lo) * (r_hi - r_lo))
-            number = np.searchsorted(table_, _unit(h), "right")
+            number = np.searchsorted(_poisson((w_hi - w_lo) * (r_hi - r_lo)), _unit(h), "right")
             some = np.flatnonzero(number)
             which = np.repeat(some, number[some])
             dart = arrays.mix(h[which] + arrays.expand(np.ones(len(some), np.int64), number[some]).astype(np.uint64) * np.uint64(arrays.BASES[0]))
@@ -104,11 +101,13 @@ def darts(row: np.ndarray, value: np.ndarray, weight: np.ndarray, reach: np.ndar
             dart = arrays.mix(dart ^ np.uint64(arrays.BASES[1]))
             height = w_lo + (w_hi - w_lo) * _unit(dart)
             element = use[which]
-            good = (height < weight[element]) & (rank <= reach[row[element]])
+            good = (height < weight[element]) & (rank <= far[element])
             dart = arrays.mix(dart[good] ^ np.uint64(arrays.BASES[0]))
             yield row[element[good]], (dart % np.uint64(K)).astype(np.int64), rank[good], dart
             r_lo, r_hi, r = r_hi, r_hi * 2, r + 1
+            use = use[far[use] > r_lo]
         w_lo, w_hi, v = w_hi, w_hi * 2, v + 1
+        heavy = heavy[weight[heavy] > w_lo]
 
 
 def signatures(row: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
