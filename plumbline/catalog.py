@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import drawings, fields, hatching, marks, strokes, tone
+from plumbline.plans import drawings, fields, hatching, maps, marks, strokes, tone
 from plumbline.streaming import jobs
 
 FLAGSHIP = "tone_bands_hatching"
-MODULES = (tone, fields, strokes, hatching, marks, drawings, jobs)
+MODULES = (tone, maps, fields, strokes, hatching, marks, drawings, jobs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

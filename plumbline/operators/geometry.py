@@ -104,6 +104,60 @@ def clipped(segments: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
     return s.select("seg_id", "part", "q.x1", "q.y1", "q.x2", "q.y2")
 
 
+def to_cm(pixel: Column, per_cm: float) -> Column:
+    return (pixel - 1) / per_cm
+
+
+def to_pixels(cm: Column, per_cm: float) -> Column:
+    """Pixels count from 1."""
+    return cm * per_cm + 1
+
+
+def whitened(raster: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
+    """``raster`` with paper outside a polygon."""
+    return raster.withColumn("v", F.when(inside(F.col("ix") + 1.0, F.col("iy") + 1.0, ring), F.col("v")).otherwise(1.0))
+
+
+def ring_distance(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
+    """Distance from a point to the nearest side of a polygon."""
+    out = []
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
+        dx, dy = x2 - x1, y2 - y1
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy)))
+        out.append(F.sqrt((x - x1 - t * dx) * (x - x1 - t * dx) + (y - y1 - t * dy) * (y - y1 - t * dy)))
+    return F.least(*out)
+
+
+def cut_by(polygons: DataFrame, window: list[tuple[float, float]]) -> DataFrame:
+    """``polygons`` with ``ring`` (array of struct x, y) cut down to a convex window whose sides turn to the left. One step
+    for each side: vertices on its left stay, and a side of the ring that crosses it gives its crossing. No rows meet."""
+    for (px, py), (qx, qy) in zip(window, window[1:] + window[:1], strict=True):
+        side = lambda p: (qx - px) * (p["y"] - py) - (qy - py) * (p["x"] - px)  # noqa: B023, E731
+        with_side = F.transform("ring", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), side(p).alias("s")))  # noqa: B023
+        polygons = polygons.withColumn("_r", with_side)
+
+        def cut(p: Column, i: Column) -> Column:
+            q = F.get("_r", (i + 1) % F.size("_r"))
+            t = p["s"] / (p["s"] - q["s"])
+            crossing = F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
+            stay = F.when(p["s"] >= 0, F.struct(p["x"].alias("x"), p["y"].alias("y")))
+            return F.array_compact(F.array(stay, F.when((p["s"] >= 0) != (q["s"] >= 0), crossing)))
+
+        polygons = polygons.withColumn("ring", F.flatten(F.transform("_r", cut))).drop("_r")
+    return polygons
+
+
+def ring_measures(polygons: DataFrame) -> DataFrame:
+    """``polygons`` with ``vertices``, ``area`` and centroid ``cx``, ``cy`` of ``ring``, within the row."""
+    term = lambda p, q: F.struct((p["x"] * q["y"] - q["x"] * p["y"]).alias("c"), (p["x"] + q["x"]).alias("x"), (p["y"] + q["y"]).alias("y"))
+    rows = polygons.withColumn("_t", F.transform("ring", lambda p, i: term(p, F.get("ring", (i + 1) % F.size("ring")))))
+    zero = F.lit(0.0)
+    total = lambda f: F.aggregate("_t", zero, lambda s, t: s + f(t))
+    rows = rows.withColumn("_s", F.struct(total(lambda t: t["c"]).alias("c"), total(lambda t: t["x"] * t["c"]).alias("x"), total(lambda t: t["y"] * t["c"]).alias("y")))
+    by = F.when(F.col("_s.c") != 0, 3 * F.col("_s.c"))
+    return rows.withColumns({"vertices": F.size("ring"), "area": F.abs("_s.c") / 2, "cx": F.col("_s.x") / by, "cy": F.col("_s.y") / by}).drop("_t", "_s", "ring")
+
+
 def merged(spans: DataFrame, by: list[str], gap: float) -> DataFrame:
     """Intervals (lo, hi) of each line joined where they overlap or lie within ``gap`` of each other."""
     before = Window.partitionBy(*by).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)

@@ -35,6 +35,20 @@ def rings(spark: SparkSession, w: int, h: int) -> DataFrame:
     return grid(spark, w, h).select(F.lit("rings").alias("img"), "ix", "iy", v.cast("float").alias("v"))
 
 
+def sphere(spark: SparkSession, w: int, h: int) -> DataFrame:
+    """A lit ball on a ground that grows lighter downwards, with the ball's soft shade on it."""
+    x, y = F.col("ix") / (w - 1) * 2 - 1, F.col("iy") / (h - 1) * 2 - 1
+    # The ball's radius, the direction of light, and the tones.
+    ball, light = 0.72, (-0.45, -0.55, 0.7)
+    p = grid(spark, w, h).select("ix", "iy", x.alias("x"), y.alias("y"), F.sqrt(x * x + y * y).alias("r"))
+    p = p.withColumn("z", F.sqrt(F.greatest(F.lit(0.0), ball * ball - F.col("r") * F.col("r"))))
+    size = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    facing = F.greatest(F.lit(0.0), (light[0] * F.col("x") + light[1] * F.col("y") + light[2] * F.col("z")) / size)
+    shade = F.exp(-12 * (F.col("r") - ball) * (F.col("r") - ball))
+    v = F.when(F.col("r") < ball, F.greatest(F.lit(0.02), F.least(F.lit(1.0), 0.12 + 0.95 * facing))).otherwise(0.55 + 0.4 * (F.col("iy") / (h - 1)) - 0.12 * shade)
+    return p.select(F.lit("sphere").alias("img"), "ix", "iy", F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)).cast("float").alias("v"))
+
+
 def counted(rows: DataFrame, w: int, h: int) -> DataFrame:
     """Raster of each image of ``rows`` (img, ix, iy): the more rows a pixel has, the darker it is; the fullest is black.
 
