@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators import geometry
+
 KEY = ["path_id"]
 
 
@@ -37,6 +41,78 @@ def resampled(paths: DataFrame, step: float) -> DataFrame:
     return on.select("path_id", "seq", (F.col("x") + t * (F.col("x1") - F.col("x"))).alias("x"), (F.col("y") + t * (F.col("y1") - F.col("y"))).alias("y"))
 
 
+def stepped(paths: DataFrame, step: float) -> DataFrame:
+    """Points at 0, ``step``, 2 ``step``, ... along each path, as far as it goes; what is left over has no point."""
+    order = _along()
+    s = with_length(paths).select("path_id", "x", "y", "s", *[F.lead(c).over(order).alias(f"{c}1") for c in ("x", "y", "s")]).where("s1 > s")
+    first = F.when(F.col("s") > 0, F.floor(F.col("s") / step).cast("int") + 1).otherwise(0)
+    on = s.withColumn("seq", F.explode(F.sequence(first, F.greatest(first, F.floor(F.col("s1") / step).cast("int"))))).where(F.col("seq") * step <= F.col("s1"))
+    t = (F.col("seq") * step - F.col("s")) / (F.col("s1") - F.col("s"))
+    return on.select("path_id", "seq", (F.col("x") + t * (F.col("x1") - F.col("x"))).alias("x"), (F.col("y") + t * (F.col("y1") - F.col("y"))).alias("y"))
+
+
+def clipped(paths: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
+    """(path_id, run, seq, x, y): the parts of each path inside a polygon, in order along it. Each stretch is cut within its
+    row; stretches that go on where the one before ended are one run."""
+    order = _along()
+    pairs = paths.select(F.struct("path_id", "seq").alias("seg_id"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(order).alias("x2"), F.lead("y").over(order).alias("y2"))
+    piece = geometry.clipped(pairs.where("x2 is not null"), ring).select("seg_id.path_id", "seg_id.seq", "part", "x1", "y1", "x2", "y2")
+    along = Window.partitionBy("path_id").orderBy("seq", "part")
+    dx, dy = F.col("x1") - F.lag("x2").over(along), F.col("y1") - F.lag("y2").over(along)
+    new = F.coalesce((dx * dx + dy * dy > 1e-18).cast("int"), F.lit(1))
+    run = piece.withColumn("new", new).withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    end, start = F.struct(F.lit(1).alias("e"), F.col("x2").alias("x"), F.col("y2").alias("y")), F.struct(F.lit(0).alias("e"), F.col("x1").alias("x"), F.col("y1").alias("y"))
+    points = run.select("path_id", "run", "seq", "part", F.explode(F.when(F.col("new") == 1, F.array(start, end)).otherwise(F.array(end))).alias("p"))
+    place = F.row_number().over(Window.partitionBy("path_id", "run").orderBy("seq", "part", "p.e")) - 1
+    return points.select("path_id", "run", place.alias("seq"), "p.x", "p.y")
+
+
+def kept_runs(paths: DataFrame, raster: DataFrame, w: int, h: int, least: int) -> DataFrame:
+    """(path_id, run, seq, x, y): stretches of ``least`` points or more that lie on kept pixels. ``raster``: the kept
+    (ix, iy); a point belongs to its nearest pixel, and one off the raster isn't kept."""
+    at = paths.withColumns({"ix": (F.floor(F.col("x") + 0.5) - 1).cast("int"), "iy": (F.floor(F.col("y") + 0.5) - 1).cast("int")})
+    on = at.where((F.col("ix") >= 0) & (F.col("ix") < w) & (F.col("iy") >= 0) & (F.col("iy") < h)).join(raster.select("ix", "iy").distinct(), ["ix", "iy"], "left_semi")
+    order = _along()
+    on = on.withColumn("island", F.col("seq") - F.row_number().over(order))
+    size = F.count("*").over(Window.partitionBy("path_id", "island"))
+    on = on.withColumn("size", size).where(F.col("size") >= least)
+    return on.select("path_id", F.dense_rank().over(Window.partitionBy("path_id").orderBy("island")).alias("run"), "seq", "x", "y")
+
+
+def dot_strokes(dots: DataFrame, pen: float) -> DataFrame:
+    """(path_id, seq, x, y): each dot (path_id, x, y, r) as one stroke: a spiral of the pen's pitch from its middle, then a
+    ring whose radius makes the inked area that of the dot; a dot no larger than the pen is a point.
+
+    A spiral's next angle depends on its radius there, so its points are one fold within the row.
+    """
+    # A chord strays no further from the arc than this share of the pen.
+    sag = 0.03 * pen
+    end = F.col("r") - pen / 2
+    sides = F.greatest(F.lit(8), F.ceil(2 * math.pi / F.least(F.lit(1.0), 2 * F.acos(F.greatest(F.lit(-1.0), 1 - sag / end)))).cast("int"))
+    d = dots.withColumn("n", F.when(end > sag, sides))
+    area, round_ = F.col("n") / 2 * F.sin(2 * math.pi / F.col("n")), 2 * F.col("n") * F.sin(math.pi / F.col("n"))
+    b, c = round_ * (pen / 2), math.pi * (pen / 2) ** 2 - math.pi * F.col("r") * F.col("r")
+    d = d.withColumn("ring", (F.sqrt(b * b - 4 * area * c) - b) / (2 * area)).withColumn("total", 2 * math.pi * F.col("ring") / pen)
+    step = lambda radius: F.least(F.lit(1.0), F.greatest(F.lit(0.02), F.sqrt(8 * sag / F.greatest(radius, F.lit(sag)))))
+    turns = F.sequence(F.lit(0), F.ceil(F.col("total") / step(F.col("ring"))).cast("int"))
+
+    def onward(s: Column, _: Column) -> Column:
+        inside = s["t"] < F.col("total")
+        return F.struct(
+            F.when(inside, s["t"] + step(s["t"] * (pen / (2 * math.pi)))).otherwise(s["t"]).alias("t"),
+            F.when(inside, F.concat(s["all"], F.array(s["t"]))).otherwise(s["all"]).alias("all"),
+        )
+
+    state = F.struct(F.lit(0.0).alias("t"), F.array().cast("array<double>").alias("all"))
+    d = d.withColumn("spiral", F.when(F.col("n").isNotNull(), F.aggregate(turns, state, onward, lambda s: s["all"])))
+    point = lambda radius, t: F.struct((F.col("x") + radius * F.cos(t)).alias("x"), (F.col("y") + radius * F.sin(t)).alias("y"))
+    inner = F.transform("spiral", lambda t: point(t * (pen / (2 * math.pi)), t))
+    outer = F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: point(F.col("ring"), F.col("total") + 2 * math.pi * i / F.col("n")))
+    points = F.when(F.col("n").isNotNull(), F.concat(inner, outer)).otherwise(F.array(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))))
+    out = d.select("path_id", points.alias("p")).select("path_id", F.posexplode_outer("p").alias("seq", "q")).where("q is not null")
+    return out.select("path_id", "seq", "q.x", "q.y")
+
+
 def between(paths: DataFrame, lo: Column, hi: Column) -> DataFrame:
     """The part of each path from length ``lo`` to ``hi``, ends interpolated."""
     order = _along()

@@ -82,12 +82,8 @@ def _diagonal_sql() -> str:
 RAYS, RADII, REACH, PITCH = 32, 64, 20.0, 3.0
 
 
-def radial_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of an even square lattice in a disc moved along their rays so that their density follows the ink.
-
-    A ray's running mass is a window over its radii; a point looks its mass up among its own ray's stretches by an
-    equi-join on ray and bucket of mass.
-    """
+def ray_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ray, k, r, m): the ink along each ray from the middle, up to each radius: a window over the ray's radii."""
     li = rasters.whole_lineitem_raster(spark, sf_dir)
     cx, cy, dr = (LI_W + 1) / 2, (LI_H + 1) / 2, REACH / (RADII - 1)
     ray = spark.range(RAYS * RADII).select(F.floor(F.col("id") / RADII).cast("int").alias("ray"), (F.col("id") % RADII).cast("int").alias("k"))
@@ -97,7 +93,23 @@ def radial_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
     rho = ray.withColumn("ix", fx.cast("int")).withColumn("iy", fy.cast("int")).join(li, ["ix", "iy"], "left").select("ray", "k", "r", (F.coalesce(1 - F.col("v"), F.lit(0.0)) * F.col("r")).alias("f"))
     along = Window.partitionBy("ray").orderBy("k")
     step = F.coalesce((F.col("f") + F.lag("f").over(along)) / 2 * dr, F.lit(0.0))
-    mass = rho.withColumn("step", step).withColumn("m", F.sum("step").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return rho.withColumn("step", step).withColumn("m", F.sum("step").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def source_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Radius of the disc that holds points enough for the ray that needs most, with a margin."""
+    need = ray_masses(spark, sf_dir).groupBy("ray").agg(F.max("m").alias("m")).agg(F.max("m").alias("need"))
+    reach = PITCH * F.sqrt(2 * F.col("need"))
+    margin = F.greatest(3 * PITCH * PITCH / F.greatest(F.lit(1e-6), reach * (2 * math.pi / RAYS)), F.lit(2 * PITCH))
+    return need.select(S.quantised(F.col("need"), 1e3).alias("need"), S.quantised(reach + margin, 1e3).alias("radius"))
+
+
+def radial_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of an even square lattice in a disc moved along their rays so that their density follows the ink.
+
+    A point looks its mass up among its own ray's stretches by an equi-join on ray and bucket of mass.
+    """
+    mass, cx, cy = ray_masses(spark, sf_dir), (LI_W + 1) / 2, (LI_H + 1) / 2
     total = mass.groupBy("ray").agg(F.max("m").alias("total"))
     n = int(REACH / PITCH) + 1
     grid = spark.range((2 * n + 1) ** 2).select(F.col("id").alias("id"), ((F.floor(F.col("id") / (2 * n + 1)) - n + 0.5) * PITCH).alias("x"), ((F.col("id") % (2 * n + 1) - n + 0.25) * PITCH).alias("y"))
@@ -125,6 +137,10 @@ b AS (SELECT id, ray, a, max(r) AS r FROM h GROUP BY ALL)
 SELECT id, ray::INT AS ray, {q(f"{(LI_W + 1) / 2} + r * cos(a)", "1e3")} AS x, {q(f"{(LI_H + 1) / 2} + r * sin(a)", "1e3")} AS y FROM b"""
 
 
+RADIUS_SQL = f"""{TRANSPORT_SQL[: TRANSPORT_SQL.index(",\ne AS (")]}, n AS (SELECT max(m) AS need FROM m)
+SELECT {q("need", "1e3")} AS need, {q(f"{PITCH} * sqrt(2 * need) + greatest({3 * PITCH * PITCH}::DOUBLE / ({PITCH} * sqrt(2 * need) * {2 * math.pi / RAYS!r}::DOUBLE), {2 * PITCH})", "1e3")} AS radius FROM n"""
+
+
 def chord_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ink that all chords between a ring's nodes could lay in each cell of side 4, sampled 16 times along each chord."""
     ring = _rings(spark, sf_dir).groupBy("poly_id").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("s"))
@@ -263,6 +279,7 @@ QUERIES = {
     "effective_ink_li": (effective_ink, INK_SQL),
     "diagonal_cells_li": (diagonal_cells, _diagonal_sql()),
     "transport_radial_li": (radial_transport, TRANSPORT_SQL),
+    "source_radius_li": (source_radius, RADIUS_SQL),
     "chord_capacity_customer": (chord_capacity, CAPACITY_SQL),
     "hilbert_tour_emb": (hilbert_tour, TOUR_SQL),
     "outlines_supplier": (outlines, OUTLINE_SQL),
