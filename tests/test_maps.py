@@ -2,8 +2,11 @@
 
 import math
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from plumbline.functions import maps
-from plumbline.operators import render
+from plumbline.operators import paths, render
 from plumbline.plans import crosshatch
 from plumbline.sources import rasters
 
@@ -38,3 +41,14 @@ def test_crosshatch_keeps_the_tone(spark):
     aim = target.withColumn("v", maps.staircase(target.v.cast("double"), crosshatch.LEVELS, crosshatch.DARKEST))
     e = [r.rendered - r.target for r in render.bands(aim, drawn, w, 10).collect()]
     assert len(e) == 10 and max(map(abs, e)) < 0.12 and math.sqrt(sum(x * x for x in e) / 10) < 0.06
+
+
+def test_a_dot_stroke_inks_its_dot(spark):
+    """The published range of the spiral's fill is 0.9785 to 1.0060."""
+    pen, r = 1.0, 3.0
+    dot = spark.createDataFrame([("a", 8.0, 8.0, r)], "path_id string, x double, y double, r double")
+    order = Window.partitionBy("path_id").orderBy("seq")
+    p = paths.dot_strokes(dot, pen).select(F.lit("a").alias("img"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(order).alias("x2"), F.lead("y").over(order).alias("y2"))
+    images = rasters.grid(spark, 16, 16).withColumn("img", F.lit("a"))
+    ink = render.rendered(p.where("x2 is not null"), images, 16, 16, pen, 8).agg(F.sum(1 - F.col("v"))).first()[0]
+    assert 0.96 < ink / (math.pi * r * r) < 1.02
