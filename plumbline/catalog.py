@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import crosshatch, drawings, fields, hatching, maps, marks, runs, strokes, tone
+from plumbline.plans import crosshatch, drawings, fields, hatching, maps, marks, parts, runs, strokes, tone
 from plumbline.streaming import jobs
 
 FLAGSHIP = "tone_bands_hatching"
-MODULES = (tone, maps, fields, strokes, hatching, crosshatch, runs, marks, drawings, jobs)
+MODULES = (tone, maps, fields, strokes, hatching, crosshatch, runs, parts, marks, drawings, jobs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

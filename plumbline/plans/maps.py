@@ -205,19 +205,23 @@ def half_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("poly_id", F.col("vertices").cast("long").alias("vertices"), *[S.quantised(F.col(c), 1e3).alias(c) for c in ("area", "cx", "cy")])
 
 
-def _cut_sql() -> str:
-    """One step for each line: a vertex inside stays, and a side that crosses the line gives its crossing."""
-    page, steps, last = [(-20.0, -30.0), (60.0, -25.0), (5.0, 55.0)], [], "p0"
+def cut_sql(page: list[tuple[float, float]]) -> str:
+    """``f``, the sides (poly_id, x, y, x2, y2, c) of what is left of ``poly``. One step for each line: a vertex inside
+    stays, and a side that crosses the line gives its crossing."""
+    steps, last = [], "p0"
     for i, ((px, py), (qx, qy)) in enumerate(zip(page, page[1:] + page[:1], strict=True)):
-        side = lambda x, y: f"({qx - px}::DOUBLE * ({y} - {py}) - {qy - py}::DOUBLE * ({x} - {px}))"
+        side = lambda x, y: f"({qx - px}::DOUBLE * ({y} - {py}) - {qy - py}::DOUBLE * ({x} - {px}))"  # noqa: B023, E731
         steps.append(f"""e{i} AS (SELECT poly_id, k, x, y, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM {last} WINDOW w AS (PARTITION BY poly_id ORDER BY k)),
 s{i} AS (SELECT *, {side("x", "y")} AS a, {side("x2", "y2")} AS b FROM e{i}),
 p{i + 1} AS (SELECT poly_id, row_number() OVER (PARTITION BY poly_id ORDER BY k, o) AS k, x, y FROM (
  SELECT poly_id, k, 0 AS o, x, y FROM s{i} WHERE a >= 0
  UNION ALL SELECT poly_id, k, 1, x + a / (a - b) * (x2 - x), y + a / (a - b) * (y2 - y) FROM s{i} WHERE (a >= 0) <> (b >= 0)))""")
         last = f"p{i + 1}"
-    return f"""WITH {RINGS}, p0 AS (SELECT poly_id, k, x, y FROM poly), {", ".join(steps)},
-f AS (SELECT *, x * y2 - x2 * y AS c FROM (SELECT poly_id, x, y, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM {last} WINDOW w AS (PARTITION BY poly_id ORDER BY k)))
+    return f"""p0 AS (SELECT poly_id, k, x, y FROM poly), {", ".join(steps)},
+f AS (SELECT *, x * y2 - x2 * y AS c FROM (SELECT poly_id, x, y, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM {last} WINDOW w AS (PARTITION BY poly_id ORDER BY k)))"""
+
+
+CUT_SQL = f"""WITH {RINGS}, {cut_sql([(-20.0, -30.0), (60.0, -25.0), (5.0, 55.0)])}
 SELECT n.poly_id, count(c) AS vertices, {_q({"area": "coalesce(abs(sum(c)) / 2, 0)", "cx": "sum((x + x2) * c) / (3 * sum(c))", "cy": "sum((y + y2) * c) / (3 * sum(c))"}, "1e3")} FROM (SELECT DISTINCT poly_id FROM poly) n LEFT JOIN f USING (poly_id) GROUP BY n.poly_id"""
 
 
@@ -244,6 +248,6 @@ QUERIES = {
     "frames_emb": (frames, FRAME_SQL),
     "whitened_li": (whitened, WHITEN_SQL),
     "ring_distance_emb": (ring_distances, DISTANCE_SQL),
-    "half_planes_customer": (half_planes, _cut_sql()),
+    "half_planes_customer": (half_planes, CUT_SQL),
     "source_sphere": (spheres, SPHERE_SQL),
 }
