@@ -151,3 +151,10 @@ def distance(kind: str, dx: Column, dy: Column, angle: float = 0.0) -> Column:
         c, s = math.cos(angle), math.sin(angle)
         return F.greatest(F.abs(dx * c - dy * s), F.abs(dx * s + dy * c))
     return F.sqrt(dx * dx + dy * dy)
+
+
+def sawtooth_ratio(pen: float, height: float, swing: float, length: float) -> float:
+    """Coverage of a sawtooth in a strip, as :func:`plumbline.functions.scalar.wave_coverage` has it, for numbers."""
+    arm = 4 * length * math.sqrt(4 * swing * swing + length * length)
+    corner = pen * length * (math.pi - 2 * math.atan(length / (2 * swing))) - 4 * pen * swing
+    return max(0.0, min(1.0, pen * (arm + corner) / (4 * height * length * length)))

@@ -189,18 +189,20 @@ def modulated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _HERE = ("x", "y", "nx", "ny", "amp", "phi")
 _AT = ", ".join(f"{c}0 + t * ({c} - {c}0) AS {c}" for c in ("x", "y", "nx", "ny", "amp"))
-WAVE_SQL = f"""
-WITH {sql.PATH}, d AS (SELECT *, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) AS dx, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) AS dy FROM path WINDOW w AS {_P}),
-n AS (SELECT path_id, seq, x, y, -dy / sqrt(dx * dx + dy * dy) AS nx, dx / sqrt(dx * dx + dy * dy) AS ny, 2.0::DOUBLE + seq % 3 AS amp, {2 * math.pi!r}::DOUBLE / (20 + abs(y) / 5) AS rate FROM d WHERE dx * dx + dy * dy > 0),
-s AS (SELECT *, coalesce((rate + lag(rate) OVER w) / 2 * sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)), 0) AS step FROM n WINDOW w AS {_P}),
-f AS (SELECT *, sum(step) OVER (PARTITION BY path_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS phi FROM s),
+#: From ``s``, a carrier with its steps of phase, to ``r``, the three waves on it.
+WAVE_CTES = f"""f AS (SELECT *, sum(step) OVER (PARTITION BY path_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS phi FROM s),
 l AS (SELECT *, {", ".join(f"lag({c}) OVER w AS {c}0" for c in _HERE)} FROM f WINDOW w AS {_P}),
 k AS (SELECT *, floor(phi / pi())::BIGINT AS last, unnest(range(floor(phi0 / pi())::BIGINT + 1, floor(phi / pi())::BIGINT + 1)) AS k FROM l WHERE phi0 IS NOT NULL),
 c AS (SELECT path_id, seq, k, last, {_AT} FROM (SELECT *, (k * pi() - phi0) / (phi - phi0) AS t FROM k)),
 e AS (SELECT *, sqrt(nx * nx + ny * ny) AS size, CASE WHEN k % 2 = 0 THEN -1 ELSE 1 END AS e FROM c),
 r AS (SELECT shape, path_id, seq, (2 * (k - last) - 2 + second)::INT AS part, x + nx / size * amp * e * (1 - 2 * second) AS x, y + ny / size * amp * e * (1 - 2 * second) AS y FROM e, (VALUES ('sawtooth', 0), ('square', 0), ('square', 1)) h(shape, second)
  UNION ALL SELECT shape, path_id, seq, 0, x + nx * amp * v, y + ny * amp * v FROM (SELECT *, CASE shape WHEN 'sine' THEN sin(phi) WHEN 'square' THEN CASE WHEN sin(phi) >= 0 THEN 1 ELSE -1 END ELSE 2 / pi() * asin(sin(phi - pi() / 2)) END AS v
-  FROM f, (VALUES ('sine'), ('sawtooth'), ('square')) h(shape)))
+  FROM f, (VALUES ('sine'), ('sawtooth'), ('square')) h(shape)))"""
+WAVE_SQL = f"""
+WITH {sql.PATH}, d AS (SELECT *, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) AS dx, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) AS dy FROM path WINDOW w AS {_P}),
+n AS (SELECT path_id, seq, x, y, -dy / sqrt(dx * dx + dy * dy) AS nx, dx / sqrt(dx * dx + dy * dy) AS ny, 2.0::DOUBLE + seq % 3 AS amp, {2 * math.pi!r}::DOUBLE / (20 + abs(y) / 5) AS rate FROM d WHERE dx * dx + dy * dy > 0),
+s AS (SELECT *, coalesce((rate + lag(rate) OVER w) / 2 * sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)), 0) AS step FROM n WINDOW w AS {_P}),
+{WAVE_CTES}
 SELECT shape, path_id, seq, part, {q("x", "1e2")} AS x, {q("y", "1e2")} AS y FROM r"""
 
 

@@ -28,13 +28,18 @@ def clipped_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(paths.clipped(rasters.user_paths(spark, sf_dir), FIELD), ["path_id", "run", "seq"], 1e2)
 
 
-CLIP_SQL = f"""
-WITH {sql.PATH}, seg AS (SELECT {{'p': path_id, 's': seq}} AS seg_id, x AS x1, y AS y1, x2, y2 FROM (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM path WINDOW w AS {_P}) WHERE x2 IS NOT NULL),
-{_crossings(FIELD)},
-pc AS (SELECT seg_id.p AS path_id, seg_id.s AS seq, a, ax, ay, bx, b_y FROM line WHERE {sql.inside("((ax + bx) / 2)", "((ay + b_y) / 2)", FIELD)}),
+def clip_sql(source: str, ring: list[tuple[float, float]]) -> str:
+    """``pt``, the points (path_id, run, seq, a, e, x, y) of what is inside a polygon of the paths in ``source``."""
+    return f"""seg AS (SELECT {{'p': path_id, 's': seq}} AS seg_id, x AS x1, y AS y1, x2, y2 FROM (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM {source} WINDOW w AS {_P}) WHERE x2 IS NOT NULL),
+{_crossings(ring)},
+pc AS (SELECT seg_id.p AS path_id, seg_id.s AS seq, a, ax, ay, bx, b_y FROM line WHERE {sql.inside("((ax + bx) / 2)", "((ay + b_y) / 2)", ring)}),
 nw AS (SELECT *, CASE WHEN pow(ax - lag(bx) OVER w, 2) + pow(ay - lag(b_y) OVER w, 2) <= 1e-18 THEN 0 ELSE 1 END AS new FROM pc WINDOW w AS (PARTITION BY path_id ORDER BY seq, a)),
 rn AS (SELECT *, sum(new) OVER (PARTITION BY path_id ORDER BY seq, a ROWS UNBOUNDED PRECEDING) AS run FROM nw),
-pt AS (SELECT path_id, run, seq, a, 1 AS e, bx AS x, b_y AS y FROM rn UNION ALL SELECT path_id, run, seq, a, 0, ax, ay FROM rn WHERE new = 1)
+pt AS (SELECT path_id, run, seq, a, 1 AS e, bx AS x, b_y AS y FROM rn UNION ALL SELECT path_id, run, seq, a, 0, ax, ay FROM rn WHERE new = 1)"""
+
+
+CLIP_SQL = f"""
+WITH {sql.PATH}, {clip_sql("path", FIELD)}
 SELECT path_id, run::BIGINT AS run, row_number() OVER (PARTITION BY path_id, run ORDER BY seq, a, e) - 1 AS seq, {q("x", "1e2")} AS x, {q("y", "1e2")} AS y FROM pt"""
 
 
