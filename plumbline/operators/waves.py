@@ -32,33 +32,29 @@ def modulated(carrier: DataFrame, shape: str) -> DataFrame:
     """(path_id, seq, part, x, y): the wave of ``carrier`` (.., nx, ny, phi, amp), moved along the normals.
 
     Each sample gives part 0 of its seq. Shapes with corners also turn wherever the phase passes a multiple of a half
-    turn between a sample and the one before: parts below 0, in order, a square with both of its levels. A corner is
-    made within its sample's row, so that one window is the only shuffle.
+    turn between a sample and the one before: parts below 0, in order, a square with both of its levels. A sample's
+    turns are a sequence of its own row, so that one window is the only shuffle.
     """
     if shape not in SHAPES:
         raise ValueError(f"no such wave: {shape}")
     order = Window.partitionBy("path_id").orderBy("seq")
     here = ["x", "y", "nx", "ny", "amp", "phi"]
     rows = carrier.select("path_id", "seq", *here, *[F.lag(c).over(order).alias(f"{c}0") for c in here])
-    moved = lambda part, x, y, nx, ny, a: F.struct(part.alias("part"), (x + nx * a).alias("x"), (y + ny * a).alias("y"))
-    sample = F.array(moved(F.lit(0), *[F.col(c) for c in ("x", "y", "nx", "ny")], F.col("amp") * level(shape, F.col("phi"))))
+    on = {c: F.col(c) + F.col(f"n{c}") * F.col("amp") * level(shape, F.col("phi")) for c in ("x", "y")}
     if shape == "sine":
-        return rows.select("path_id", "seq", F.explode(sample).alias("p")).select("path_id", "seq", "p.*")
+        return rows.select("path_id", "seq", F.lit(0).alias("part"), on["x"].alias("x"), on["y"].alias("y"))
     first, last = F.floor(F.col("phi0") / math.pi) + 1, F.floor(F.col("phi") / math.pi)
     turns = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-
-    def corner(k: Column, second: bool) -> Column:
-        t = (k * math.pi - F.col("phi0")) / (F.col("phi") - F.col("phi0"))
-        at = {c: F.col(f"{c}0") + t * (F.col(c) - F.col(f"{c}0")) for c in ("x", "y", "nx", "ny", "amp")}
-        size = F.sqrt(at["nx"] * at["nx"] + at["ny"] * at["ny"])
-        size = F.when(size > 0, size).otherwise(1.0)
-        end = F.when(k % 2 == 0, -1.0).otherwise(1.0) * (-1 if second else 1)
-        part = (2 * (k - last) - (1 if second else 2)).cast("int")
-        return moved(part, at["x"], at["y"], at["nx"] / size, at["ny"] / size, at["amp"] * end)
-
-    both = (False, True) if shape == "square" else (False,)
-    corners = F.flatten(F.transform(turns, lambda k: F.array(*[corner(k, second) for second in both])))
-    return rows.select("path_id", "seq", F.explode_outer(F.concat(corners, sample)).alias("p")).select("path_id", "seq", "p.*")
+    rows = rows.withColumn("k", F.explode_outer(F.concat(turns, F.array(F.lit(None).cast("bigint")))))
+    sides = F.when(F.col("k").isNotNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumn("side", F.explode_outer(sides) if shape == "square" else F.lit(0))
+    t = (F.col("k") * math.pi - F.col("phi0")) / (F.col("phi") - F.col("phi0"))
+    at = {c: F.col(f"{c}0") + t * (F.col(c) - F.col(f"{c}0")) for c in here[:-1]}
+    size = F.sqrt(at["nx"] * at["nx"] + at["ny"] * at["ny"])
+    end = F.when(F.col("k") % 2 == 0, -1.0).otherwise(1.0) * (1 - 2 * F.col("side"))
+    turned = {c: at[c] + at[f"n{c}"] / F.when(size > 0, size).otherwise(1.0) * at["amp"] * end for c in ("x", "y")}
+    part = F.when(F.col("k").isNull(), 0).otherwise(2 * (F.col("k") - last) - 2 + F.col("side")).cast("int")
+    return rows.select("path_id", "seq", part.alias("part"), *[F.when(F.col("k").isNull(), on[c]).otherwise(turned[c]).alias(c) for c in ("x", "y")])
 
 
 def rebuilt(lattice: DataFrame, moved: DataFrame) -> DataFrame:
