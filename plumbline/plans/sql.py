@@ -20,6 +20,7 @@ def counted(name: str, rows: str, w: int, h: int) -> str:
 
 LI = counted("li", "SELECT l_returnflag AS img, CAST(l_quantity AS INT) - 1 AS ix, CAST(floor(l_discount * 100 + 0.5) AS INT) AS iy FROM lineitem", LI_W, LI_H)
 LI_WHOLE = LI.replace("l_returnflag AS img", "'all' AS img")
+SUPPLIER_LI = LI.replace("l_returnflag AS img", "l_suppkey AS img")
 EV = counted("ev", "SELECT event_type AS img, hour(ts) AS ix, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS iy FROM events", EV_W, EV_H)
 EMB = f"""emb AS (SELECT vec_id AS pid, 1 + (tanh(embedding[1]::DOUBLE) + 1) / 2 * {LI_W - 1} AS x,
   1 + (tanh(embedding[2]::DOUBLE) + 1) / 2 * {LI_H - 1} AS y FROM embeddings)"""

@@ -78,6 +78,11 @@ def whole_lineitem_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineitem_raster(spark, sf_dir, F.lit("all"))
 
 
+def supplier_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantity by discount, an image for each supplier: there are more with more data."""
+    return lineitem_raster(spark, sf_dir, F.col("l_suppkey"))
+
+
 def event_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hour by day, an image for each type of event."""
     rows = table(spark, sf_dir, "events").select(
