@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import contours, crosshatch, drawings, fields, hatching, maps, marks, parts, runs, strokes, tone, wiggly
+from plumbline.plans import contours, crosshatch, dithering, drawings, fields, hatching, maps, marks, parts, runs, strokes, tone, wiggly
 from plumbline.streaming import jobs
 
 FLAGSHIP = "tone_bands_hatching"
-MODULES = (tone, maps, fields, contours, strokes, hatching, crosshatch, runs, parts, wiggly, marks, drawings, jobs)
+MODULES = (tone, maps, fields, contours, dithering, strokes, hatching, crosshatch, runs, parts, wiggly, marks, drawings, jobs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
