@@ -48,30 +48,30 @@ def cells(seeds: DataFrame, by: list[str], page: list[tuple[float, float]]) -> D
     xs, ys = [p[0] for p in page], [p[1] for p in page]
     side = max(max(xs) - min(xs), max(ys) - min(ys)) * 1.001
     one = seeds.groupBy(*by, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.min("pid").alias("pid"))
-    grids = F.transform(F.sequence(F.lit(0), F.lit(GRIDS)), lambda g: F.struct(g.alias("g"), *[F.floor((F.col(c) - low) * F.pow(F.lit(2.0), g) / side).cast("long").alias(f"b{c}") for c, low in (("x", min(xs)), ("y", min(ys)))]))
+    grids = F.transform(F.sequence(F.lit(0), F.lit(GRIDS)), lambda g: F.struct(g.alias("_grid"), *[F.floor((F.col(c) - low) * F.pow(F.lit(2.0), g) / side).cast("long").alias(f"_b{c}") for c, low in (("x", min(xs)), ("y", min(ys)))]))
     placed = materialise(one.withColumn("at", F.explode(grids)).select(*by, "at.*", "pid", "x", "y"))
-    bucket = [*by, "g", "bx", "by"]
+    bucket = [*by, "_grid", "_bx", "_by"]
     full = placed.groupBy(*bucket).agg(F.count("*").alias("n"))
-    first = F.coalesce(F.min(F.when(F.col("n") <= FEW, F.col("g"))), F.lit(GRIDS))
-    start = placed.join(full, bucket).groupBy(*by, "pid", "x", "y").agg(first.alias("g"))
+    first = F.coalesce(F.min(F.when(F.col("n") <= FEW, F.col("_grid"))), F.lit(GRIDS))
+    start = placed.join(full, bucket).groupBy(*by, "pid", "x", "y").agg(first.alias("_grid"))
     whole = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in page])
     pending = materialise(start.withColumn("ring", whole).withColumn("r2", radius2("ring", "x", "y")))
     done: list[DataFrame] = []
     nine = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     while not pending.isEmpty():
-        own = lambda c, low: F.floor((F.col(c) - low) * F.pow(F.lit(2.0), "g") / side).cast("long")
-        asked = pending.withColumn("d", F.explode(nine)).select(*by, "pid", "x", "y", "r2", "g", (own("x", min(xs)) + F.col("d.dx")).alias("bx"), (own("y", min(ys)) + F.col("d.dy")).alias("by"))
+        own = lambda c, low: F.floor((F.col(c) - low) * F.pow(F.lit(2.0), "_grid") / side).cast("long")
+        asked = pending.withColumn("d", F.explode(nine)).select(*by, "pid", "x", "y", "r2", "_grid", (own("x", min(xs)) + F.col("d.dx")).alias("_bx"), (own("y", min(ys)) + F.col("d.dy")).alias("_by"))
         others = placed.select(*bucket, F.col("pid").alias("other"), F.col("x").alias("sx"), F.col("y").alias("sy"))
         d2 = (F.col("sx") - F.col("x")) * (F.col("sx") - F.col("x")) + (F.col("sy") - F.col("y")) * (F.col("sy") - F.col("y"))
         met = asked.join(others, bucket).where(F.col("other") != F.col("pid")).withColumn("d2", d2).where("d2 <= 4 * r2")
         near = met.groupBy(*by, "pid").agg(F.array_sort(F.collect_list(F.struct("d2", "other", "sx", "sy"))).alias("near"))
         none = F.array().cast("array<struct<d2:double,other:long,sx:double,sy:double>>")
         cut = F.aggregate(F.coalesce("near", none), F.col("ring"), lambda ring, o: halved(ring, F.col("x"), F.col("y"), o["sx"], o["sy"]))
-        made = materialise(pending.join(near, [*by, "pid"], "left").select(*by, "pid", "x", "y", "g", cut.alias("ring")).withColumn("r2", radius2("ring", "x", "y")))
-        reach = side / F.pow(F.lit(2.0), "g")
-        final = (F.col("g") == 0) | (4 * F.col("r2") <= reach * reach)
+        made = materialise(pending.join(near, [*by, "pid"], "left").select(*by, "pid", "x", "y", "_grid", cut.alias("ring")).withColumn("r2", radius2("ring", "x", "y")))
+        reach = side / F.pow(F.lit(2.0), "_grid")
+        final = (F.col("_grid") == 0) | (4 * F.col("r2") <= reach * reach)
         done.append(made.where(final).select(*by, "pid", "x", "y", "ring"))
-        after = materialise(made.where(~final).withColumn("g", F.col("g") - 1))
+        after = materialise(made.where(~final).withColumn("_grid", F.col("_grid") - 1))
         release(pending)
         pending = after
     return reduce(DataFrame.unionByName, done) if done else start.select(*by, "pid", "x", "y", whole.alias("ring"))

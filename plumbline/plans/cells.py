@@ -1,16 +1,19 @@
-"""Queries over the cells of seeds: Voronoi cells of each label's vectors within the page."""
+"""Queries over cells and pieces of the page: Voronoi cells of each label's vectors, and pages cut up by their ink."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalar as S
-from plumbline.operators import geometry, voronoi
+from plumbline.operators import geometry, subdivision, voronoi
 from plumbline.plans import sql
-from plumbline.plans.fields import PAGE
+from plumbline.plans.fields import PAGE, _diff
 from plumbline.plans.sql import q
 from plumbline.sources import rasters
+from plumbline.sources.rasters import LI_H, LI_W
 
 
 def labelled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,4 +46,62 @@ t AS (SELECT label, pid, sum(e.x * e.v - e.u * e.y) AS c, sum((e.x + e.u) * (e.x
 SELECT label, pid, {q("abs(c) / 2", "1e3")} AS area, {q("mx / (3 * c)", "1e3")} AS cx, {q("my / (3 * c)", "1e3")} AS cy FROM t"""
 
 
-QUERIES = {"voronoi_cells_emb": (voronoi_cells, VORONOI_SQL)}
+#: Pen of the drawings that are cut up, and their page: every pixel is whole in it.
+PEN, CUT_PAGE = 0.8, [(0.5, 0.5), (LI_W + 0.5, 0.5), (LI_W + 0.5, LI_H + 0.5), (0.5, LI_H + 0.5)]
+
+
+def _cut_up(spark: SparkSession, sf_dir: str, rounds: int = subdivision.ROUNDS) -> tuple[DataFrame, DataFrame]:
+    return subdivision.cut_up(rasters.supplier_raster(spark, sf_dir), CUT_PAGE, PEN, LI_W, rounds)
+
+
+def first_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cut that halves each supplier's whole page, where one is called for."""
+    return _cut_up(spark, sf_dir, 1)[0].select("img", *[S.quantised(F.col(c), 1e2).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+def cut_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must come out even for each image: one piece more than cuts, and the page's area, pixels and ink in the pieces."""
+    cuts, pieces = _cut_up(spark, sf_dir)
+    n = cuts.groupBy("img").agg(F.count("*").alias("cuts"))
+    p = pieces.groupBy("img").agg(F.count("*").alias("pieces"), F.sum("area").alias("area"), F.sum("n").alias("pixels"), F.sum("dark").alias("dark"))
+    both = p.join(n, "img", "left")
+    return both.select("img", (F.col("pieces") - F.coalesce("cuts", F.lit(0))).alias("more"), S.quantised(F.col("area"), 1e4).alias("area"), "pixels", S.quantised(F.col("dark"), 1e4).alias("dark"))
+
+
+def _first_sql() -> str:
+    g, t = max(1.0, PEN), max(1.5, 2 * PEN)
+    size, sizes = max(3, math.floor(3 * g + 0.5)), max(3, math.floor(3 * t + 0.5))
+    parts = ", ".join(sql.blur(f"b{n}", f"p{n}", sizes, t, LI_W, LI_H) for n in ("11", "12", "22"))
+    ring = ", ".join(f"({i}, {x}::DOUBLE, {y}::DOUBLE, {u}::DOUBLE, {v}::DOUBLE)" for i, ((x, y), (u, v)) in enumerate(zip(CUT_PAGE, CUT_PAGE[1:] + CUT_PAGE[:1], strict=True)))
+    around = sum(math.dist(p, r) for p, r in zip(CUT_PAGE, CUT_PAGE[1:] + CUT_PAGE[:1], strict=True))
+    n = subdivision.SWEEP
+    return f"""{sql.SUPPLIER_LI}, {sql.blur("s", "li", size, max(0.5, g), LI_W, LI_H)},
+g AS (SELECT img, ix, iy, {_diff("ix", "iy")} AS gx, {_diff("iy", "ix")} AS gy FROM s),
+p11 AS (SELECT img, ix, iy, (gx * gx)::FLOAT AS v FROM g), p12 AS (SELECT img, ix, iy, (gx * gy)::FLOAT AS v FROM g), p22 AS (SELECT img, ix, iy, (gy * gy)::FLOAT AS v FROM g), {parts},
+px AS MATERIALIZED (SELECT img, ix + 1 + (iy * {LI_W} + ix)::BIGINT * 2654435761 % 1000 / 1000 * {subdivision.OFF_GRID!r}::DOUBLE AS x, iy + 1::DOUBLE AS y, 1 - li.v AS k,
+  atan2(2 * b12.v::DOUBLE, b11.v::DOUBLE - b22.v::DOUBLE) / 2 + pi() / 2 AS th FROM li JOIN b11 USING (img, ix, iy) JOIN b12 USING (img, ix, iy) JOIN b22 USING (img, ix, iy)),
+st AS (SELECT img, sum(k) AS dark, atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) / 2 AS axis, atan2(sum(sin(2 * th)), sum(cos(2 * th))) / 2 AS m FROM px GROUP BY img),
+tt AS (SELECT img, dark, CASE WHEN abs(cos(m - axis)) <= abs(cos(m + pi() / 2 - axis)) THEN m ELSE m + pi() / 2 END AS t FROM (SELECT img, dark, axis, CASE WHEN m < 0 THEN m + pi() ELSE m END AS m FROM st)
+  WHERE {around!r} * {PEN / 2!r} * greatest(0.1, 1 - {len(CUT_PAGE) * PEN / around!r}::DOUBLE) <= dark),
+ring(i, x, y, u, v) AS (VALUES {ring}),
+sp AS (SELECT img, any_value(dark) AS dark, any_value(t) AS t, min(cos(t) * y - sin(t) * x) AS low, max(cos(t) * y - sin(t) * x) AS high FROM tt, ring GROUP BY img),
+sw AS (SELECT *, low + (high - low) * s / {n + 1}::DOUBLE AS c FROM sp, range(1, {n + 1}) r(s)),
+hf AS (SELECT img, s, i, cos(t) * y - sin(t) * x - c AS a, cos(t) * v - sin(t) * u - c AS b, x, y, u, v, sqrt((u - x) ^ 2 + (v - y) ^ 2) AS len, t FROM sw, ring),
+cr AS (SELECT *, x + a / (a - b) * (u - x) AS cx, y + a / (a - b) * (v - y) AS cy FROM hf),
+ch AS (SELECT img, s, sum(CASE WHEN a < 0 AND b < 0 THEN len WHEN a >= 0 AND b >= 0 THEN 0 WHEN a < 0 THEN len * a / (a - b) ELSE len * b / (b - a) END) AS under,
+  arg_min(struct_pack(x := cx, y := cy), cos(t) * cx + sin(t) * cy) FILTER ((a < 0) <> (b < 0)) AS p, arg_max(struct_pack(x := cx, y := cy), cos(t) * cx + sin(t) * cy) FILTER ((a < 0) <> (b < 0)) AS r FROM cr GROUP BY ALL),
+dk AS (SELECT sw.img, sw.s, any_value(sw.dark) AS dark, coalesce(sum(k) FILTER (cos(t) * px.y - sin(t) * px.x < c), 0) AS kb FROM sw JOIN px USING (img) GROUP BY ALL),
+jd AS (SELECT img, s, p, r, dark, kb / (under + len) AS rb, (dark - kb) / ({around!r} - under + len) AS ra FROM (SELECT *, sqrt((p.x - r.x) ^ 2 + (p.y - r.y) ^ 2) AS len FROM ch) JOIN dk USING (img, s)),
+bs AS (SELECT *, row_number() OVER (PARTITION BY img ORDER BY floor(abs(ra - rb) * {subdivision.EVEN!r}::DOUBLE + 0.5), s) AS o FROM jd)"""
+
+
+FIRST_SQL = f"""WITH {_first_sql()} SELECT img, {q("p.x", "1e2")} AS x1, {q("p.y", "1e2")} AS y1, {q("r.x", "1e2")} AS x2, {q("r.y", "1e2")} AS y2 FROM bs
+WHERE o = 1 AND abs({PEN / 2!r} - (ra + rb) / 2) <= abs({PEN / 2!r} - dark / {sum(math.dist(p, r) for p, r in zip(CUT_PAGE, CUT_PAGE[1:] + CUT_PAGE[:1], strict=True))!r})"""
+BALANCE_SQL = f"""WITH {sql.SUPPLIER_LI} SELECT img, 1::BIGINT AS more, {q(str(float(LI_W * LI_H)), "1e4")} AS area, count(*) AS pixels, {q("sum(1 - v)", "1e4")} AS dark FROM li GROUP BY img"""
+
+
+QUERIES = {
+    "subdivision_first_supplier": (first_cuts, FIRST_SQL),
+    "subdivision_balance_supplier": (cut_balance, BALANCE_SQL),
+    "voronoi_cells_emb": (voronoi_cells, VORONOI_SQL),
+}
