@@ -1,10 +1,11 @@
 """Importance resampling towards a target: hashed word and word-pair features, gains by bucket, draws by a Gumbel key.
 
-Tasks hold a trie of the words of their texts. A node below the root is a word, a node below that the word after it; each
+Tasks hold tries of the words of their texts. A node below the root is a word, a node below that the word after it; each
 holds the CRC-32 of its path, which a child carries on from its parent's, so that no feature's text is put together. In the
 first pass nodes count how often they are passed, and a task gives the sums of its buckets; in the second each node has its
-bucket's gain, and a document's sum is gathered on its walk. A trie beyond ``MOST_NODES`` nodes is emptied: its counts are
-in the sums by then, and gains are looked up again, so that a task's memory is bounded and nothing is lost.
+bucket's gain, and a document's sum is gathered on its walk. A trie holds some ``TRIE_BYTES`` of a task's texts, as arrays, before
+its counts are merged into the task's, so that memory is bounded and nothing is lost; a longer text has several. Words are
+told apart by 64-bit hashes within a trie.
 
 Only the bucket sums (``BUCKETS`` rows) and the number of eligible documents reach the driver. Ranks come from counts by
 score, added up in two steps (blocks of scores, scores of a block), and from the order of the doc_ids of one score.
@@ -17,7 +18,6 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
@@ -30,147 +30,148 @@ from plumbline.llm import arrays
 from plumbline.llm.common import materialise, small_batches, table
 
 BUCKETS, SEED, LEAST_WORDS, PERCENT = 10_000, 7, 20, 25
-#: Nodes of a task's trie, some 100 bytes each, and bytes of a text that are walked at a time.
-MOST_NODES, STRETCH = 1_000_000, 1 << 20
+#: Text bytes of one trie, some 100 bytes of memory each.
+TRIE_BYTES = 4 << 20
+#: Bytes of a word up to which many words' sums are carried on side by side.
+SHORT = 48
 #: Scores of a block of the running counts.
 BLOCK = 256
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-OTHER = re.compile(rb"[^0-9a-z\x80-\xff]")
+#: A byte in lower case, blank where it is part of no word.
+LOWERED = np.full(256, 0x20, np.uint8)
+for _first, _last, _shift in ((0x30, 0x39, 0), (0x61, 0x7A, 0), (0x80, 0xFF, 0), (0x41, 0x5A, 0x20)):
+    LOWERED[_first : _last + 1] = np.arange(_first, _last + 1) + _shift
 Batches = Iterator[pa.RecordBatch]
 
 
-class Words(dict):
-    """Word to its node, made when it is first met."""
+def crc_table() -> np.ndarray:
+    """What each byte adds to a CRC-32."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
 
-    def __init__(self, state: list[int]):
-        self.state = state
 
-    def __missing__(self, word: bytes) -> int:
-        node = self[word] = len(self.state)
-        self.state.append(crc32(word))
-        return node
+CRC_TABLE = crc_table()
 
 
-class Pairs(dict):
-    """(node of a word, next word's node) as one number to the node below it; the next word's text continues the sum."""
-
-    def __init__(self, state: list[int]):
-        self.state, self.texts = state, {}
-
-    def __missing__(self, pair: int) -> int:
-        node = self[pair] = len(self.state)
-        self.state.append(crc32(b" " + self.texts[pair & 0xFFFFFFFF], self.state[pair >> 32]))
-        return node
-
-
-class Trie:
-    """Words and pairs of words met so far; ``state`` has each node's CRC-32."""
-
-    def __init__(self):
-        self.empty()
-
-    def empty(self) -> None:
-        self.state: list[int] = []
-        self.words, self.pairs = Words(self.state), Pairs(self.state)
-
-    def walk(self, text: bytes) -> Iterator[np.ndarray]:
-        """Nodes of a text's features, a stretch at a time. Between stretches the trie may be emptied."""
-        last = None
-        for part in stretches(text.lower()):
-            found = WORD.findall(part)
-            if not found:
-                continue
-            if last is not None:
-                found.insert(0, last)
-            known = len(self.words)
-            nodes = np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))
-            if len(self.words) > known:
-                self.pairs.texts.update(zip(nodes.tolist(), found, strict=True))
-            pairs = (nodes[:-1] << 32 | nodes[1:]).tolist()
-            below = np.fromiter(map(self.pairs.__getitem__, pairs), np.int64, len(pairs))
-            yield np.concatenate([nodes[last is not None :], below])
-            last = found[-1]
-
-
-def stretches(text: bytes, size: int = STRETCH) -> Iterator[bytes]:
-    """The text in stretches that end between words."""
-    start = 0
-    while len(text) - start > size:
-        cut = OTHER.search(text, start + size)
-        if cut is None:
+def carried(state: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """CRC-32 of each path that had come to ``state`` and goes on with ``data[start:end]``."""
+    out = state.astype(np.uint32)
+    sizes = ends - starts
+    for i in np.flatnonzero(sizes > SHORT).tolist():
+        out[i] = crc32(data[starts[i] : ends[i]].tobytes(), int(out[i]))
+    todo = np.flatnonzero((sizes > 0) & (sizes <= SHORT))
+    todo = todo[np.argsort(-sizes[todo], kind="stable")]
+    left, at, c = sizes[todo], starts[todo], ~out[todo]
+    for k in range(SHORT):
+        n = int(np.searchsorted(-left, -k, "left"))  # those longer than k
+        if not n:
             break
-        yield text[start : cut.start()]
-        start = cut.start()
-    yield text[start:]
+        c[:n] = CRC_TABLE[(c[:n] ^ data[at[:n] + k]) & 0xFF] ^ (c[:n] >> np.uint32(8))
+    out[todo] = ~c
+    return out
 
 
-def texts(batch: pa.RecordBatch) -> Iterator[bytes]:
+class Trie:
+    """The words of some texts, and the pairs of words: for each node the CRC-32 of its path and how often it is passed, and
+    each text's walk. Nodes of words come first; ``skip`` leaves out the first word itself, not what follows it."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, skip: bool = False):
+        starts, ends, self.of = arrays.word_bounds(data, offsets)
+        _, first, self.word = np.unique(arrays.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        n = len(first)
+        words = carried(np.zeros(n, np.uint32), data, starts[first], ends[first])
+        # A pair stands where its first word does; a text's last word begins none.
+        self.follows = np.ones(max(len(self.word) - 1, 0), bool)
+        inner = self.of[1:-1]
+        self.follows[inner[(inner > 0) & (inner < len(self.word))] - 1] = False
+        pair = (self.word[:-1] * n + self.word[1:])[self.follows]
+        below, self.pair, passed = np.unique(pair, return_inverse=True, return_counts=True)
+        parent, child = (below // n, below % n) if n else (below, below)
+        blank = carried(words[parent], np.full(len(below), 0x20, np.uint8), np.arange(len(below)), np.arange(1, len(below) + 1))
+        self.state = np.concatenate([words, carried(blank, data, starts[first][child], ends[first][child])]).astype(np.int64)
+        self.counts = np.concatenate([np.bincount(self.word[int(skip) :], minlength=n), passed])
+        self.n_words = n
+        self.skip = skip and len(self.word) > 0
+        self.last = (int(starts[-1]), int(ends[-1])) if len(starts) else None
+
+    def sums(self, gains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of the gains, number of features) of each text, gathered on its walk; ``gains`` of each node."""
+        words, pairs = np.zeros(len(self.word) + 1, np.int64), np.zeros(len(self.word) + 1, np.int64)
+        np.cumsum(gains[self.word], out=words[1:])
+        pairs[1:-1][self.follows] = gains[self.n_words + self.pair]
+        number = np.zeros(len(self.word) + 1, np.int64)
+        number[1:-1] = self.follows
+        pairs, number = np.cumsum(pairs), np.cumsum(number)
+        total, n = np.diff(words[self.of]), np.diff(self.of)
+        # None leads from one text's last word to the next one's first.
+        total += pairs[self.of[1:]] - pairs[self.of[:-1]]
+        n += number[self.of[1:]] - number[self.of[:-1]]
+        if self.skip:
+            total[0] -= gains[self.word[0]]
+            n[0] -= 1
+        return total, n
+
+
+def tries(batch: pa.RecordBatch, size: int) -> Iterator[tuple[Trie, bool]]:
+    """(trie of a batch's texts, False), or for one long text its stretches' tries with whether more is to come: each goes on
+    with the last word of the one before."""
     data, offsets = arrays.buffer(batch.column(batch.schema.get_field_index("text")))
-    raw = data.tobytes()
-    return (raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
-
-
-def count_batches(buckets: int, most_nodes: int) -> Callable[[Batches], Batches]:
+    if len(data) <= 2 * size:
+        yield Trie(LOWERED[data], offsets), False
+        return
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        start = stop = a
+        skip = False
+        while stop < b or stop == a:
+            stop = min(b, stop + size)
+            while stop < b and LOWERED[data[stop]] != 0x20:  # to the end of a word, however long
+                more = np.flatnonzero(LOWERED[data[stop : stop + size]] == 0x20)
+                stop = stop + int(more[0]) if len(more) else min(b, stop + size)
+            trie = Trie(LOWERED[data[start:stop]], np.array([0, stop - start]), skip)
+            yield trie, stop < b
+            if stop == a:
+                break
+            skip = trie.last is not None
+            start = start + trie.last[0] if skip else stop
+
+
+def count_batches(buckets: int, size: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
-        trie, sums, counts = Trie(), np.zeros(buckets, np.int64), np.zeros(0, np.int64)
-
-        def pour() -> None:
-            np.add.at(sums, np.array(trie.state, np.int64) % buckets, counts)
-
-        for batch in arrays.pieces(batches):
-            walks = []
-            for text in texts(batch):
-                for nodes in trie.walk(text):
-                    walks.append(nodes)
-                    if len(trie.state) > most_nodes:  # a very long text
-                        counts = added(counts, walks, len(trie.state))
-                        pour()
-                        walks, counts = [], counts[:0]
-                        trie.empty()
-            counts = added(counts, walks, len(trie.state))
-        pour()
+        sums = np.zeros(buckets, np.int64)
+        for batch in arrays.pieces(batches, most=size):
+            for trie, _ in tries(batch, size):
+                np.add.at(sums, trie.state % buckets, trie.counts)
         kept = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(sums[kept])], ["bucket", "n"])
 
     return run
 
 
-def added(counts: np.ndarray, walks: list[np.ndarray], n: int) -> np.ndarray:
-    """Counts of ``n`` nodes with those of some walks."""
-    more = np.bincount(np.concatenate(walks), minlength=n) if walks else np.zeros(n, np.int64)
-    more[: len(counts)] += counts
-    return more
-
-
-def weigh_batches(gains: np.ndarray, most_nodes: int) -> Callable[[Batches], Batches]:
+def weigh_batches(gains: np.ndarray, size: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
-        trie, held = Trie(), np.zeros(0, np.int64)
-        for batch in arrays.pieces(batches):
-            weights, features = [], []
-            for text in texts(batch):
-                total = n = 0
-                for nodes in trie.walk(text):
-                    if len(trie.state) > len(held):
-                        new = np.array(trie.state[len(held) :], np.int64)
-                        held = np.concatenate([held, gains[new % len(gains)]])
-                    total += int(held[nodes].sum())
-                    n += len(nodes)
-                    if len(trie.state) > most_nodes:
-                        trie.empty()
-                        held = held[:0]
-                weights.append(total // n if n else 0)
-                features.append(n)
+        for batch in arrays.pieces(batches, most=size):
+            totals, numbers, going_on = [], [], False
+            for trie, more in tries(batch, size):
+                total, n = trie.sums(gains[trie.state % len(gains)])
+                if going_on:
+                    totals[-1], numbers[-1] = totals[-1] + total, numbers[-1] + n
+                else:
+                    totals.append(total)
+                    numbers.append(n)
+                going_on = more
+            total, n = np.concatenate(totals), np.concatenate(numbers)
+            weight = np.where(n > 0, total // np.maximum(n, 1), 0)
             doc_id = batch.column(batch.schema.get_field_index("doc_id"))
-            n = np.array(features, np.int64)
-            yield pa.RecordBatch.from_arrays([doc_id, pa.array((n + 1) // 2), pa.array(n), pa.array(np.array(weights, np.int64))], ["doc_id", "n_words", "n_features", "weight"])
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array((n + 1) // 2), pa.array(n), pa.array(weight)], ["doc_id", "n_words", "n_features", "weight"])
 
     return run
 
 
-def bucket_sums(docs: DataFrame, buckets: int = BUCKETS, most_nodes: int = MOST_NODES) -> DataFrame:
+def bucket_sums(docs: DataFrame, buckets: int = BUCKETS, size: int = TRIE_BYTES) -> DataFrame:
     """(bucket, n): features of all texts by bucket, those without any left out."""
     small_batches(docs.sparkSession)
-    parts = docs.select("text").mapInArrow(count_batches(buckets, most_nodes), "bucket long, n long")
+    parts = docs.select("text").mapInArrow(count_batches(buckets, size), "bucket long, n long")
     return parts.groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
@@ -184,10 +185,10 @@ def gains(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.ndar
     return np.array([math.floor(1000 * math.log(float(b + 1) * float(all_s + buckets) / (float(a + 1) * float(all_t + buckets)))) for a, b in zip(s, t, strict=True)], np.int64)
 
 
-def weigh(docs: DataFrame, gain: np.ndarray, most_nodes: int = MOST_NODES) -> DataFrame:
+def weigh(docs: DataFrame, gain: np.ndarray, size: int = TRIE_BYTES) -> DataFrame:
     """(doc_id, n_words, n_features, weight): the floored mean gain of a text's features."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(weigh_batches(gain, most_nodes), "doc_id long, n_words long, n_features long, weight long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(weigh_batches(gain, size), "doc_id long, n_words long, n_features long, weight long")
 
 
 def keyed(weighed: DataFrame, seed: int = SEED) -> DataFrame:
