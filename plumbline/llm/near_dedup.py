@@ -21,7 +21,7 @@ similarity 0.8 shares one with probability over 0.9999999. Within a bucket no pa
 A pair is thus compared, or ruled out by its shingles, or in one component already; only links leave a task.
 
 Edge cases: a text of fewer than five words is one shingle; null and blank texts have none, and only equal ones are
-copies of each other; rows that share a ``doc_id`` are one document; rows without ``doc_id`` have a null class; an
+copies of each other; rows of one ``doc_id`` with different texts are classed by their texts; rows without ``doc_id`` have a null class; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -264,8 +264,9 @@ def zone_links(open_: DataFrame, texts: DataFrame, threshold: float, weights: st
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "count") -> DataFrame:
-    """(doc_id, class_id) of every row: the smallest doc_id of its component of links. Texts link where the weighted
-    Jaccard similarity of their shingles, by ``count`` or with every weight 1 (``set``), is ``threshold`` or more."""
+    """(doc_id, copy, class_id) of every row: the MD5 of its text, and the smallest doc_id of that text's component of links.
+    Texts link where the weighted Jaccard similarity of their shingles, by ``count`` or with every weight 1 (``set``), is
+    ``threshold`` or more. Different texts of one doc_id may be of different classes."""
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("copy", F.md5("text"))
     signed = materialise(docs.mapInArrow(bands_of(weights), "doc_id long, copy string, bands array<long>"), "signatures")
@@ -289,11 +290,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "count
     if not more.isEmpty():
         groups = components(links.unionByName(more))
     named = nodes.join(groups, "node", "left").select("copy", F.coalesce("component", "node").alias("class_id"))
-    # Rows of one doc_id are one document: their classes are one.
     members = signed.select("doc_id", "copy").join(named, "copy", "left")
-    return members.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+    return members.select("doc_id", "copy", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
 
 
 def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every document, named by its smallest doc_id."""
-    return classes(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents")).drop("copy")

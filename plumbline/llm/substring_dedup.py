@@ -230,7 +230,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, hot_runs:
     anchors = docs.select("doc_id", "text").mapInArrow(anchors_of(width, anchor), "m long, doc_id long")
     shared = anchors.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("m")
     shared = materialise(shared, "anchors")
-    wanted = anchors.join(shared, "m", "left_semi").groupBy("doc_id").agg(F.collect_list("m").alias("ms"))
+    wanted = anchors.join(shared, "m", "left_semi").groupBy("doc_id").agg(F.collect_set("m").alias("ms"))
     runs = docs.join(wanted, "doc_id").select("doc_id", "row", "text", "ms")
     runs = materialise(runs.mapInArrow(runs_of(width, anchor), RUNS), "runs")
     place = F.min(F.struct("doc_id", "row", "lo")).alias("f")
@@ -252,7 +252,8 @@ def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, hot_runs:
     pieces = pieces.select("k1", "k2", "i", "f_doc", "f_row", "f_at", F.coalesce(F.array_contains("breaks", F.col("f_at")), F.lit(False)).alias("new"), cuts.alias("cuts"))
     part = F.expr("inline(transform(sequence(0, size(cuts) - 2), j -> struct(i + cuts[j] - f_at AS at, cuts[j] AS from, cuts[j + 1] - cuts[j] AS n, j > 0 OR new AS begins)))")
     pieces = pieces.select("k1", "k2", "f_doc", "f_row", part)
-    later = runs.select("doc_id", "row", "lo", "k1", "k2").join(pieces, ["k1", "k2"]).where("doc_id > f_doc")
+    # Equal rows have one set of spans between them.
+    later = runs.select("doc_id", "row", "lo", "k1", "k2").distinct().join(pieces, ["k1", "k2"]).where("doc_id > f_doc")
     later = later.select("doc_id", "row", (F.col("lo") + F.col("at")).alias("at"), "n", "f_doc", "f_row", F.col("from").alias("f_at"), "begins")
     in_step = Window.partitionBy("doc_id", "row").orderBy("at")
     before = {c: F.lag(c).over(in_step) for c in ("at", "n", "f_doc", "f_row", "f_at")}

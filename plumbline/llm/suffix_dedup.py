@@ -266,7 +266,8 @@ def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, hot_block
     hits = grouped_hits(distinct.withColumn("anchor_m", F.col("m")), width, anchor, hot_blocks)
     hits = hits.groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
     hits = materialise(hits, "windows")
-    members = found.select("row", "lo", "key").join(hits, "key")
+    # Equal rows have one set of spans between them.
+    members = found.select("row", "lo", "key").distinct().join(hits, "key")
     return members.select("row", "lo", F.explode("runs").alias("r")).select("row", (F.col("lo") + F.col("r.at")).alias("start"), F.col("r.n").alias("n"))
 
 

@@ -114,21 +114,31 @@ def test_encoding_and_decoding_are_the_library_s(spark, docs, rows):
 
 def test_long_words_merge_as_short_ones_do():
     words, rng = bpe.Vocabulary(default_path()), random.Random(2)
-    for n in (1, 2, 5, 40, 96, 97, 300):
-        word = "".join(rng.choice("aeinrst") for _ in range(n))
-        signs = word + bpe.END
-        bounds = [*range(n), len(signs)]
-        assert words.scanned(signs, list(bounds)) == words.queued(signs, list(bounds))
+    made = ["".join(rng.choice("aeinrst\u00e9") for _ in range(n)) for n in (1, 2, 5, 40, 96, 97, 300) for _ in range(20)]
+    for word in made:
+        raw = np.frombuffer(word.encode(), np.uint8)
+        ids, n = words.scanned(raw, np.array([0]), np.array([len(raw)]))
+        assert ids.tolist() == words.queued(word.encode()).tolist() and n.tolist() == [len(ids)]
 
 
 def test_stretches_and_a_small_memory_change_nothing(monkeypatch):
-    whole = list(bpe.Vocabulary(default_path()).encode(LONG[:20_000]))
+    whole = bpe.Vocabulary(default_path()).encode([LONG])[0].tolist()
     assert "".join(bpe.stretches(LONG, 50)) == LONG and max(map(len, bpe.stretches(LONG, 50))) < 70
-    monkeypatch.setattr(bpe, "MOST_WORDS", 10)
-    small, parts = bpe.Vocabulary(default_path()), []
-    for part in bpe.stretches(LONG[:20_000], 100):
-        parts += small.encode(part)
-    assert parts == whole and len(small.known) <= 10
+    monkeypatch.setattr(bpe, "MOST_RUNS", 10)
+    small = bpe.Vocabulary(default_path())
+    parts = list(bpe.stretches(LONG, 5000))
+    assert [i for k in range(0, len(parts), 7) for ids in small.encode(parts[k : k + 7]) for i in ids.tolist()] == whole
+    monkeypatch.setattr(bpe, "STRETCH", 3000)
+    monkeypatch.setattr(bpe.stretches, "__defaults__", (3000,))
+    assert small.encode(["one", LONG, ""])[1].tolist() == whole and len(small.known) < 3000
+
+
+def test_decoding_leaves_unknown_ids_out(spark):
+    ids = [[320, 99_999_999, -1, 49_407], [], None, [-5], [320, None, 321]]
+    got = bpe.decode(spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "doc_id long, ids array<int>")).orderBy("doc_id").collect()
+    library = Tokenizer.from_file(default_path())
+    want = [None if x is None else library.decode([i for i in x if i is not None and 0 <= i < 50_000], skip_special_tokens=False) for x in ids]
+    assert [r["decoded"] for r in got] == want
 
 
 def test_encoding_of_nothing(docs):
@@ -157,19 +167,27 @@ def plain_resampling(rows, target, percent):
     return Counter(tuple(m[:5]) for m in made)
 
 
-@pytest.mark.parametrize("most_nodes", [resampling.MOST_NODES, 50])
-def test_resampling_is_the_plain_one(spark, docs, rows, most_nodes, monkeypatch):
-    monkeypatch.setattr(resampling, "STRETCH", 1000 if most_nodes == 50 else 1 << 20)
+@pytest.mark.parametrize("size", [resampling.TRIE_BYTES, 400])
+def test_resampling_is_the_plain_one(spark, docs, rows, size):
     target = [rows[3][1], rows[7][1], None, "abc ABC Übc 12-3"]
     gain = resampling.gains(docs, frame(spark, [(i, t, "s") for i, t in enumerate(target)]))
-    sums = {r["bucket"]: r["n"] for r in resampling.bucket_sums(docs, most_nodes=most_nodes).collect()}
+    sums = {r["bucket"]: r["n"] for r in resampling.bucket_sums(docs, size=size).collect()}
     assert sums == Counter(zlib.crc32(f.encode()) % 10_000 for _, t, _ in rows for f in features(t)[1])
-    scored = resampling.keyed(resampling.weigh(docs, gain, most_nodes)).cache()
+    scored = resampling.keyed(resampling.weigh(docs, gain, size)).cache()
     for percent in (0, 25, 100):
         got = resampling.draw(scored, percent).drop("n_words").collect()
         assert Counter(map(tuple, got)) == plain_resampling(rows, target, percent)
 
 
+def test_sums_carried_along_paths_are_the_library_s():
+    rng = random.Random(9)
+    words = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 2, 7, 8, 47, 48, 49, 500)]
+    data, sizes = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+    ends = np.cumsum(sizes)
+    state = np.array([rng.randrange(1 << 32) for _ in words], np.uint32)
+    assert resampling.carried(state, data, ends - sizes, ends).tolist() == [zlib.crc32(w, int(s)) for w, s in zip(words, state, strict=True)]
+
+
 def test_resampling_of_nothing_and_of_repeated_rows(spark, docs):
     none = docs.limit(0)
     gain = resampling.gains(none, none)

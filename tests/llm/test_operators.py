@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import arrays, components, decontaminate, near_dedup, packing, quality_cnn, quality_rules, sharding, substring_dedup, suffix_dedup, token_files, url_filters
 from plumbline.llm.common import scratch
@@ -477,3 +478,19 @@ def test_arrays():
     x = np.array([5, 3, 8, 1, 9, 2], np.uint64)
     assert arrays.sliding(np.minimum, x, 3).tolist() == [3, 1, 1, 1]
     assert arrays.covered(np.array([0, 1, 5]), 2, 8).tolist() == [True, True, True, False, False, True, True, False]
+
+
+def test_thousands_of_equal_rows_are_cut_as_one(spark):
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage = prose(120)
+    text = f"{prose(200)} {passage} {prose(80)}"
+    rows = [(1, f"{prose(30)} {passage}", "s")] + [(2, text, "s")] * 5000 + [(3, text, "s")]
+    docs = frame(spark, rows).select("doc_id", "text").repartition(8)
+    words = substring_dedup.remove_repeats(docs).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert {(r.doc_id, r.n_words, r.n_removed): r["count"] for r in words} == {(1, 150, 0): 1, (2, 400, 120): 5000, (3, 400, 400): 1}
+    spans = substring_dedup.repeats(docs.withColumn("row", F.xxhash64("text"))).where("doc_id > 1").collect()
+    assert sorted((r.doc_id, r.start, r.n, r.source_doc_id, r.source_start) for r in spans)[0] == (2, 200, 108, 1, 30)
+    cut = suffix_dedup.remove_repeats(docs).groupBy("doc_id", "n_bytes", "n_removed").count().collect()
+    gone = {r.doc_id: (r.n_bytes - r.n_removed, r["count"]) for r in cut}
+    assert gone[2] == (0, 5000) and gone[3] == (0, 1) and gone[1][0] < len(rows[0][1]) - 600
