@@ -27,12 +27,13 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id stays; documents without id stay. Rows that share
-    a doc_id are one document: the row with the smallest hash of its text and columns stands for it."""
-    first = near_dedup.classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    whole = F.struct(F.md5(F.coalesce("text", F.lit(""))).alias("copy"), *[c for c in COLUMNS if c != "doc_id"])
-    named = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(whole).alias("row")).select("doc_id", "row.*")
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    """Of each class of near duplicates the document with the smallest id stays; documents without id stay. Of equal texts
+    under one doc_id one row stays, that with the smallest columns; another text under the same id is judged by itself."""
+    first = near_dedup.classes(docs).where("doc_id = class_id").select("doc_id", "copy").distinct()
+    named = docs.withColumn("copy", F.md5(F.coalesce("text", F.lit(""))))
+    whole = F.struct(*[c for c in COLUMNS if c not in ("doc_id", "text")], "text")
+    kept = named.join(first, ["doc_id", "copy"], "left_semi").groupBy("doc_id", "copy").agg(F.min(whole).alias("row"))
+    return kept.select("doc_id", "row.*").select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
