@@ -49,7 +49,7 @@ def segments(raster: DataFrame, levels: list[float], w: int) -> DataFrame:
     return made.select("img", "level", *[swap(*c).alias(c[0]) for c in (("a", "b"), ("b", "a"), ("xa", "xb"), ("ya", "yb"), ("xb", "xa"), ("yb", "ya"))])
 
 
-def _ranked(darts: DataFrame, by: list[str], loops_at_least: bool) -> DataFrame:
+def ranked(darts: DataFrame, by: list[str], loops_at_least: bool) -> DataFrame:
     """``darts`` (by, u, v, nu, nv) with ``r``, the darts from here to the chain's end or so far round a loop, ``t``, the last
     dart's head, ``x``, its tail, ``m``, the least node met, and ``open``: whether there is an end at all."""
     done = materialise(darts.select(*by, "u", "v", "nu", "nv", F.lit(1).cast("long").alias("r"), F.least("u", "v").alias("m"), F.col("u").alias("x"), F.col("v").alias("t")))
@@ -78,11 +78,11 @@ def linked(links: DataFrame, by: list[str]) -> DataFrame:
     after = darts.join(near.withColumnRenamed("u", "v"), [*by, "v"])
     after = after.withColumn("nv", F.when(F.col("lo") != F.col("hi"), other)).select(*by, "u", "v", F.when(F.col("nv").isNotNull(), F.col("v")).alias("nu"), "nv")
     start = materialise(after)
-    first = _ranked(start, by, True)
+    first = ranked(start, by, True)
     # A loop is cut at its smallest node, in both directions.
     cut = first.where("not open").select(*by, "u", "v", "m").join(start, [*by, "u", "v"])
     stop = lambda c: F.when(F.col("v") != F.col("m"), F.col(c)).alias(c)
-    second = _ranked(cut.select(*by, "u", "v", stop("nu"), stop("nv")), by, False)
+    second = ranked(cut.select(*by, "u", "v", stop("nu"), stop("nv")), by, False)
     fields = [*by, "u", "v", "r", "t", "x", "closed"]
     both = first.where("open").withColumn("closed", F.lit(False)).select(*fields).unionByName(second.withColumn("closed", F.lit(True)).select(*fields))
     back = both.select(*by, F.col("u").alias("v"), F.col("v").alias("u"), F.col("r").alias("come"), F.col("t").alias("line"), F.col("x").alias("back_x"))

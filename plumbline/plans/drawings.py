@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalar as S
-from plumbline.operators import iterative, kernels, paths
+from plumbline.operators import iterative, kernels, paths, trees
 from plumbline.plans import sql
 from plumbline.plans.sql import q
 from plumbline.plans.strokes import STROKES, _strokes
@@ -48,6 +48,30 @@ r(ea, eb, ew, node) AS (SELECT a, b, w, a FROM e UNION SELECT r.ea, r.eb, r.ew,
 SELECT a, b, {q("w", "1e3")} AS w FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.ea = e.a AND r.eb = e.b AND r.node = e.b)"""
 
 
+def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest of the edges up to a length, as strokes along its heavy paths."""
+    short = _near_edges(spark, sf_dir).where(F.col("w") <= CUT).select("a", "b", "w")
+    edges = iterative.forest(short).select("a", "b", F.col("w").alias("len"))
+    return trees.heavy_paths(edges).select("path", F.col("seq").cast("long").alias("seq"), "node")
+
+
+#: Edges longer than this are left out of the strokes.
+CUT = 700_000
+_LEAST = FOREST_SQL[: FOREST_SQL.rindex("\nSELECT a, b")]
+TREE_SQL = f"""{_LEAST.replace("FROM n GROUP BY ALL)", f"FROM n GROUP BY ALL HAVING w <= {CUT})")},
+f AS MATERIALIZED (SELECT a, b, w FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.ea = e.a AND r.eb = e.b AND r.node = e.b)),
+l AS (SELECT a AS x, b AS y, w FROM f UNION ALL SELECT b, a, w FROM f),
+reach(x, y) AS (SELECT x, x FROM l UNION SELECT reach.x, l.y FROM reach JOIN l ON l.x = reach.y),
+t(node, parent, w, depth) AS (SELECT x, NULL::BIGINT, 0::DOUBLE, 0 FROM reach GROUP BY x HAVING min(y) = x
+ UNION ALL SELECT l.y, l.x, l.w, t.depth + 1 FROM t JOIN l ON l.x = t.node WHERE l.y IS DISTINCT FROM t.parent),
+up(node, anc, len) AS (SELECT node, node, 0::DOUBLE FROM t UNION ALL SELECT up.node, t.parent, up.len + t.w FROM up JOIN t ON t.node = up.anc WHERE t.parent IS NOT NULL),
+h AS (SELECT anc AS node, max(len) AS h FROM up GROUP BY anc),
+hv AS (SELECT node FROM (SELECT t.node, row_number() OVER (PARTITION BY t.parent ORDER BY h.h DESC, t.node) AS k FROM t JOIN h ON h.node = t.node WHERE t.parent IS NOT NULL) WHERE k = 1),
+p(path, seq, node) AS (SELECT node, CASE WHEN parent IS NULL THEN 0 ELSE 1 END, node FROM t WHERE node NOT IN (SELECT node FROM hv)
+ UNION ALL SELECT p.path, p.seq + 1, t.node FROM p JOIN t ON t.parent = p.node WHERE t.node IN (SELECT node FROM hv))
+SELECT path, seq::BIGINT AS seq, node FROM p UNION ALL SELECT t.node, 0, t.parent FROM t WHERE parent IS NOT NULL AND node NOT IN (SELECT node FROM hv)"""
+
+
 def subdivisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = rasters.lineitem_raster(spark, sf_dir).withColumn("m", S.quantised(1 - F.col("v")))
     p = iterative.subdivided(li, 60)
@@ -114,6 +138,7 @@ def simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "geodesic_li": (geodesics, GEODESIC_SQL),
     "forest_supplier": (forests, FOREST_SQL),
+    "tree_paths_supplier": (tree_paths, TREE_SQL),
     "subdivide_li": (subdivisions, SUBDIVIDE_SQL),
     "path_order_li": (path_order, None),
     "path_order_counts_li": (order_counts, ORDER_SQL),
