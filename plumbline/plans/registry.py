@@ -7,9 +7,11 @@ import math
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from plumbline.plans import hatching
+from plumbline.operators import dither, paths, splitting, subdivision, tiles
+from plumbline.plans import crosshatch, hatching
 
 #: Turns of the four inks, in parts of a screen's period.
 ROSETTE = {"c": 1 / 12, "m": 5 / 12, "y": 0.0, "k": 1 / 4}
@@ -45,6 +47,8 @@ class Param:
 
 @dataclass(frozen=True)
 class Method:
+    """``run`` takes a raster, its width and height and the parameters, and gives strokes as (img, ..., x1, y1, x2, y2)."""
+
     id: str
     label: str
     run: Callable[[DataFrame, int, int, Mapping[str, float]], DataFrame]
@@ -75,14 +79,74 @@ def _hatch(target: DataFrame, w: int, h: int, params: Mapping[str, float]) -> Da
     return hatching.hatched(target, layout, 1 << max(1, math.ceil(math.log2(params["levels"]))))
 
 
+def _page(w: int, h: int) -> list[tuple[float, float]]:
+    return [(1.0, 1.0), (float(w), 1.0), (float(w), float(h)), (1.0, float(h))]
+
+
+def _crosshatch(target: DataFrame, w: int, h: int, params: Mapping[str, float]) -> DataFrame:
+    layers = crosshatch.Layers(w, h, params["pen"], round(params["levels"]), params["darkest"])
+    return crosshatch.crosshatched(target, layers, _page(w, h))
+
+
+def _split_merge(target: DataFrame, w: int, h: int, params: Mapping[str, float]) -> DataFrame:
+    return splitting.split_merge(target, _page(w, h), math.radians(params["angle"]), params["scale"], params["pen"], params["splits"] == "yes")
+
+
+def _subdivide(target: DataFrame, w: int, h: int, params: Mapping[str, float]) -> DataFrame:
+    return subdivision.cut_up(target, _page(w, h), params["pen"], w, round(params["rounds"]))[0]
+
+
+def dots(target: DataFrame, w: int, h: int, params: Mapping[str, float]) -> DataFrame:
+    """(img, pid, x, y, r): the dots of a lattice that are drawn."""
+    radius, hexagonal, seed = max(params["pen"], params["dot"] * params["pen"]) / 2, params["lattice"] == "hex", round(params["seed"])
+    cols, rows, _, _, dx, dy = tiles.lattice(w, h, radius, hexagonal)
+    at = tiles.lattice_cells(target.sparkSession, w, h, radius, hexagonal)
+    cells, extra = tiles.lattice_darkness(target, w, h, radius, hexagonal), math.pi * radius * radius / (dx * dy) - 1
+    if params["mode"] == "threshold":
+        drawn = dither.threshold(cells, tiles.lattice_links(at, cols, rows, hexagonal), extra, 6 if hexagonal else 4, seed)
+    else:
+        drawn = dither.seeded(cells, extra, seed)
+        if params["mode"] == "swaps":
+            drawn = dither.swapped(drawn, cols, rows, extra, hexagonal, tries=round(params["tries"]), seed=seed, scale=params["blur"])
+    return drawn.where("drawn = 1").select("img", "pid").join(at, "pid").select("img", "pid", "x", "y", F.lit(radius).alias("r"))
+
+
+def _dither(target: DataFrame, w: int, h: int, params: Mapping[str, float]) -> DataFrame:
+    """Each dot as one stroke, cut into its straight parts."""
+    points = paths.dot_strokes(dots(target, w, h, params).select(F.struct("img", "pid").alias("path_id"), "x", "y", "r"), params["pen"])
+    order = Window.partitionBy("path_id").orderBy("seq")
+    after = lambda c: F.coalesce(F.lead(c).over(order), F.when(F.col("seq") == 0, F.col(c)))
+    parts = points.select("path_id.img", "path_id.pid", "seq", F.col("x").alias("x1"), F.col("y").alias("y1"), after("x").alias("x2"), after("y").alias("y2"))
+    return parts.where("x2 is not null")
+
+
+PEN = Param("pen", 1.5, 0.1, lambda s: s.get("width", 50.0) / 4)
 METHODS = (
+    Method("parallel_hatching", "Parallel hatching", _hatch, (Param("angle", 26.0, 0.0, 180.0), Param("levels", 8.0, 2.0, 64.0), PEN), rotation="angle"),
+    Method("crosshatching", "Crosshatching", _crosshatch, (Param("levels", 5.0, 2.0, 12.0), Param("darkest", 0.95, 0.5, 0.99), PEN)),
     Method(
-        "parallel_hatching",
-        "Parallel hatching",
-        _hatch,
-        (Param("angle", 26.0, 0.0, 180.0), Param("levels", 8.0, 2.0, 64.0), Param("pen", 1.5, 0.1, lambda s: s.get("width", 50.0) / 4)),
+        "split_merge",
+        "Splitting and merging lines",
+        _split_merge,
+        (Param("angle", 90.0, 0.0, 180.0), Param("scale", 1.0, 0.25, 4.0), Param("splits", "yes", options=("yes", "no")), PEN),
         rotation="angle",
     ),
+    Method(
+        "dither_grid",
+        "Dither grid",
+        _dither,
+        (
+            Param("mode", "threshold", options=("threshold", "random", "swaps")),
+            Param("lattice", "hex", options=("square", "hex")),
+            Param("dot", 3.0, 1.0, 12.0),
+            Param("tries", 100.0, 1.0, 2000.0),
+            Param("blur", 3.0, 1.0, 6.0),
+            Param("seed", 1.0, 1.0, 2.0**31),
+            PEN,
+        ),
+        seeds=("seed",),
+    ),
+    Method("polygon_subdivision", "Polygon subdivision", _subdivide, (Param("rounds", 13.0, 1.0, 20.0), PEN)),
 )
 
 
