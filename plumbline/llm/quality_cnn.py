@@ -5,8 +5,8 @@ in a chunk is its feature there, and the means and maxima of the features over a
 one probability. A filter is a table from (tap, byte) to weight, so that the response at a place is a sum of look-ups,
 and its gradient falls on the bytes under the chunk's maximum alone.
 
-The network is trained on the driver with Adam on ``TRAIN_ROWS`` labelled rows at most, of each of which ``TRAIN_CHUNKS``
-evenly spread chunks are taken; scoring covers every byte of every text.
+The network is trained on the driver with Adam on ``TRAIN_ROWS`` labelled rows at most, whose whole texts go into it in the
+same chunks as in scoring; their responses are worked out ``SLICE`` chunks at a time, however long a text is.
 
 Edge cases: a null or empty text has no chunk and scores as the unit's bias says; without labels of both kinds the score
 is the share of label 1 (a half without labels); repeated rows each get the same score; an empty table gives an empty
@@ -28,7 +28,7 @@ from plumbline.llm.common import small_batches, table, text_bytes
 
 TAPS, FILTERS = 6, 16
 CHUNK, STEP = 512, 448
-TRAIN_ROWS, TRAIN_CHUNKS = 6000, 6
+TRAIN_ROWS, SLICE = 6000, 512
 EPOCHS, BATCH, RATE, DECAY, SEED = 14, 64, 0.01, 1e-4, 7
 CUT = 0.3
 PIECE_BYTES = 256 << 10
@@ -101,11 +101,14 @@ def train(texts: list[list[bytes]], labels: np.ndarray, epochs: int = EPOCHS, se
             pick = order[lo : lo + BATCH]
             data, size = np.concatenate([full[i] for i in pick]), np.concatenate([sizes[i] for i in pick])
             number = np.array([len(full[i]) for i in pick])
-            response = net.responses(data.ravel())
-            response = np.concatenate([response, np.zeros((TAPS - 1, FILTERS), np.float32)]).reshape(len(data), -1, FILTERS)[:, :CHUNK]
-            response[np.arange(CHUNK)[None] >= size[:, None]] = -1e9
-            at = response.argmax(1)
-            raw = np.take_along_axis(response, at[:, None], 1)[:, 0] + net.shift
+            at, raw = np.empty((len(data), FILTERS), np.int64), np.empty((len(data), FILTERS), np.float32)
+            for a in range(0, len(data), SLICE):
+                some, room = data[a : a + SLICE], size[a : a + SLICE]
+                response = net.responses(some.ravel())
+                response = np.concatenate([response, np.zeros((TAPS - 1, FILTERS), np.float32)]).reshape(len(some), -1, FILTERS)[:, :CHUNK]
+                response[np.arange(CHUNK)[None] >= room[:, None]] = -1e9
+                at[a : a + SLICE] = response.argmax(1)
+                raw[a : a + SLICE] = np.take_along_axis(response, at[a : a + SLICE, None], 1)[:, 0] + net.shift
             pooled = np.maximum(raw, 0)
             begin = np.cumsum(number) - number
             mean, most = np.add.reduceat(pooled, begin) / number[:, None], np.maximum.reduceat(pooled, begin)
@@ -140,11 +143,8 @@ def training_chunks(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[list
     picked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     picked = picked.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     text = docs.join(F.broadcast(picked), "doc_id").select("quality", "doc_id", text_bytes(F.col("text")).alias("t"))
-    last = F.greatest(F.octet_length("t") - CHUNK, F.lit(0))
-    spread = F.transform(F.sequence(F.lit(0), F.least(F.lit(TRAIN_CHUNKS - 1), F.ceil(last / STEP).cast("int"))), lambda k: k)
-    cut = text.withColumn("k", spread).withColumn(
-        "chunks", F.transform("k", lambda k: F.substring("t", (F.floor(last * k / F.greatest(F.size("k") - 1, F.lit(1))) + 1).cast("int"), F.lit(CHUNK)))
-    )
+    number = F.greatest(F.lit(1), F.ceil((F.octet_length("t") - (CHUNK - STEP)) / STEP).cast("int"))
+    cut = text.withColumn("chunks", F.transform(F.sequence(F.lit(0), number - 1), lambda k: F.substring("t", k * STEP + 1, F.lit(CHUNK))))
     # Rows that share a doc_id would exceed the bound: one of them counts.
     got = cut.where("octet_length(t) > 0").groupBy("doc_id").agg(F.max_by(F.struct("quality", "chunks"), F.md5("t")).alias("r")).orderBy("doc_id").select("r.*").collect()
     return [[bytes(c) for c in r["chunks"]] for r in got], np.array([int(r["quality"]) for r in got], np.float64)

@@ -108,8 +108,10 @@ def assign(df: DataFrame, key: str, tie: list[str], shards: int = 16, vnodes: in
     points = ring(shards, vnodes)
     owners = [s for _, s in points]
     at = F.pmod(F.xxhash64(F.lit("ring"), F.col(key)), F.lit(1 << RING_BITS))
-    placed = df.drop("shard", "slot").withColumn("_at", at).join(F.broadcast(arcs(spark, points)), "_at")
-    placed = placed.withColumn("_piece", F.pmod(F.xxhash64(F.col(key), *tie), F.lit(PIECES)).cast("int"))
+    # The rows go as one column, so that none of theirs can clash with those made here.
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.drop("shard", "slot").columns]).alias("_row")
+    piece = F.pmod(F.xxhash64(F.col(key), *tie), F.lit(PIECES)).cast("int")
+    placed = df.select(whole, at.alias("_at"), piece.alias("_piece")).join(F.broadcast(arcs(spark, points)), "_at")
     sizes = {(r["_arc"], r["_piece"]): r["n"] for r in placed.groupBy("_arc", "_piece").agg(F.count("*").alias("n")).collect()}
     counts = [sum(sizes.get((a, p), 0) for p in range(PIECES)) for a in range(len(points))]
     total = sum(counts)
@@ -127,10 +129,10 @@ def assign(df: DataFrame, key: str, tie: list[str], shards: int = 16, vnodes: in
                     pieces.append((a, p, lo_ - before, hi_ - before, shard, slot + lo_ - lo))
             before += n
     intervals = spark.createDataFrame(pieces or [(-1, -1, 0, 0, 0, 0)], "_arc int, _piece int, _lo long, _hi long, shard int, _slot long")
-    order = Window.partitionBy("_arc", "_piece").orderBy("_at", key, *tie)
+    order = Window.partitionBy("_arc", "_piece").orderBy("_at", *[F.col("_row")[c] for c in (key, *tie)])
     ranked = placed.withColumn("_rank", (F.row_number().over(order) - 1).cast("long"))
     out = ranked.join(F.broadcast(intervals), ["_arc", "_piece"]).where("_rank >= _lo and _rank < _hi")
-    return out.withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_lo")).drop("_at", "_arc", "_piece", "_rank", "_lo", "_hi", "_slot")
+    return out.select("_row.*", "shard", (F.col("_slot") + F.col("_rank") - F.col("_lo")).alias("slot"))
 
 
 def op2_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

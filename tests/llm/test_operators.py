@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -114,6 +115,43 @@ def test_sharding(spark, docs, rows, empty):
     assert sharding.assign(empty, "doc_id", ["text"]).count() == 0
 
 
+@pytest.mark.parametrize("slack", [0.0, 0.2])
+def test_sharding_is_a_row_at_a_time_round_the_ring(spark, slack):
+    """Each arc's rows go to its own shard while that has room; the others look clockwise for one that has, arc by arc."""
+    keys = [i % 40 if i % 3 else i for i in range(900)]  # some keys have many rows
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "doc_id long, n long")
+    at = {r.doc_id: r.at for r in df.selectExpr("doc_id", f"pmod(xxhash64('ring', doc_id), {1 << sharding.RING_BITS}) AS at").distinct().collect()}
+    shards, points = 7, sharding.ring(7, 12)
+    arc = {k: next((i for i, (p, _) in enumerate(points) if p >= a), 0) for k, a in at.items()}
+    room, want, waiting = sharding.capacities(len(keys), shards, slack), Counter(), []
+    for k in sorted(keys, key=arc.get):
+        own = points[arc[k]][1]
+        if room[own]:
+            room[own] -= 1
+            want[arc[k], own] += 1
+        else:
+            waiting.append(k)
+    for k in waiting:
+        i = arc[k] + 1
+        while not room[points[i % len(points)][1]]:
+            i += 1
+        room[points[i % len(points)][1]] -= 1
+        want[arc[k], points[i % len(points)][1]] += 1
+    got = sharding.assign(df, "doc_id", ["n"], shards=shards, vnodes=12, slack=slack).collect()
+    assert Counter((arc[r.doc_id], r.shard) for r in got) == want and sorted(r.n for r in got) == list(range(900))
+    for s in range(shards):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots)))
+
+
+def test_sharding_keeps_columns_of_any_name(spark):
+    names = ["_at", "_arc", "_piece", "_rank", "_lo", "_hi", "_slot", "_row", "shard", "slot"]
+    df = spark.range(50).selectExpr("id AS doc_id", *[f"id + {k} AS `{n}`" for k, n in enumerate(names)])
+    got = sharding.assign(df, "doc_id", [], shards=3).collect()
+    assert set(got[0].asDict()) == {"doc_id", *names} and all(r["_arc"] == r["doc_id"] + 1 and r["_row"] == r["doc_id"] + 7 for r in got)
+    assert sorted(r["slot"] for r in got if r["shard"] == 0) == list(range(17))
+
+
 def test_bounded_loads_move_few(spark):
     keys = spark.range(4000).withColumnRenamed("id", "doc_id")
     before = {r.doc_id: r.shard for r in sharding.assign(keys, "doc_id", [], shards=8, slack=0.25).collect()}
@@ -470,6 +508,40 @@ def test_byte_network(spark, empty):
     assert flat.scores(np.zeros(0, np.uint8), np.array([0, 0]))[0] == 0.5
 
 
+def test_scores_are_those_of_a_plain_convolution():
+    rng = np.random.default_rng(3)
+    net = quality_cnn.Network(rng.normal(0, 0.3, (quality_cnn.TAPS, 256, quality_cnn.FILTERS)), rng.normal(0, 0.3, quality_cnn.FILTERS), rng.normal(0, 0.3, 2 * quality_cnn.FILTERS), -0.2)
+    texts = [bytes(rng.integers(1, 256, n).tolist()) for n in (0, 1, 5, 6, 449, 512, 513, 961, 1500)]
+    offsets = np.cumsum([0, *map(len, texts)])
+    got = net.scores(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    for text, score in zip(texts, got, strict=True):
+        chunks, k = [], 0
+        while text and (not k or k + quality_cnn.CHUNK - quality_cnn.STEP < len(text)):
+            best = [-math.inf] * quality_cnn.FILTERS
+            for place in range(k, min(k + quality_cnn.CHUNK, len(text))):
+                window = (text + b"\0" * quality_cnn.TAPS)[place : place + quality_cnn.TAPS]
+                for f in range(quality_cnn.FILTERS):
+                    best[f] = max(best[f], sum(net.filters[t, b, f] for t, b in enumerate(window)))
+            chunks.append([max(0.0, b + s) for b, s in zip(best, net.shift)])
+            k += quality_cnn.STEP
+        features = [sum(c[f] for c in chunks) / len(chunks) for f in range(quality_cnn.FILTERS)] + [max(c[f] for c in chunks) for f in range(quality_cnn.FILTERS)] if chunks else []
+        assert score == pytest.approx(1 / (1 + math.exp(-(net.bias + sum(a * b for a, b in zip(features, net.unit))))))
+
+
+def test_training_reads_whole_texts(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abc\u00e9") for _ in range(n)) for n in (3, 400, 700, 30_000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    chunks, y = quality_cnn.training_chunks(docs, labels, 10)
+    kept = [i for i in range(4) if zlib.crc32(str(i).encode()) % 5]
+    assert y.tolist() == [i % 2 for i in kept]
+    for i, got in zip(kept, chunks, strict=True):
+        raw = texts[i].encode()
+        assert got[0] + b"".join(c[quality_cnn.CHUNK - quality_cnn.STEP :] for c in got[1:]) == raw
+        assert len(got) == max(1, -(-(len(raw) - quality_cnn.CHUNK + quality_cnn.STEP) // quality_cnn.STEP))
+
+
 def test_arrays():
     data = np.frombuffer(b"  two words\tx", np.uint8)
     starts, ends, of = arrays.word_bounds(data, np.array([0, 7, 13]))
