@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import cells, contours, crosshatch, dithering, drawings, fields, hatching, maps, marks, parts, runs, splitting, strokes, tone, touring, wiggly
+from plumbline.plans import cells, contours, crosses, crosshatch, dithering, drawings, fields, hatching, maps, marks, parts, runs, splitting, strokes, tone, touring, wiggly
 from plumbline.streaming import jobs
 
 FLAGSHIP = "tone_bands_hatching"
-MODULES = (tone, maps, fields, contours, dithering, cells, touring, splitting, strokes, hatching, crosshatch, runs, parts, wiggly, marks, drawings, jobs)
+MODULES = (tone, maps, fields, contours, dithering, cells, touring, splitting, crosses, strokes, hatching, crosshatch, runs, parts, wiggly, marks, drawings, jobs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import dither, paths, splitting, subdivision, tiles
+from plumbline.operators import dither, paths, quadtree, splitting, subdivision, tiles
 from plumbline.plans import crosshatch, hatching
 
 #: Turns of the four inks, in parts of a screen's period.
@@ -96,6 +96,10 @@ def _subdivide(target: DataFrame, w: int, h: int, params: Mapping[str, float]) -
     return subdivision.cut_up(target, _page(w, h), params["pen"], w, round(params["rounds"]))[0]
 
 
+def _crosses(target: DataFrame, w: int, h: int, params: Mapping[str, float]) -> DataFrame:
+    return quadtree.crossed(target, w, h, params["pen"], round(params["depth"]))[0]
+
+
 def dots(target: DataFrame, w: int, h: int, params: Mapping[str, float]) -> DataFrame:
     """(img, pid, x, y, r): the dots of a lattice that are drawn."""
     radius, hexagonal, seed = max(params["pen"], params["dot"] * params["pen"]) / 2, params["lattice"] == "hex", round(params["seed"])
@@ -147,6 +151,7 @@ METHODS = (
         seeds=("seed",),
     ),
     Method("polygon_subdivision", "Polygon subdivision", _subdivide, (Param("rounds", 13.0, 1.0, 20.0), PEN)),
+    Method("quad_crosses", "Quadtree crosses", _crosses, (Param("depth", 9.0, 1.0, 12.0), PEN)),
 )
 
 
