@@ -225,18 +225,6 @@ CUT_SQL = f"""WITH {RINGS}, {cut_sql([(-20.0, -30.0), (60.0, -25.0), (5.0, 55.0)
 SELECT n.poly_id, count(c) AS vertices, {_q({"area": "coalesce(abs(sum(c)) / 2, 0)", "cx": "sum((x + x2) * c) / (3 * sum(c))", "cy": "sum((y + y2) * c) / (3 * sum(c))"}, "1e3")} FROM (SELECT DISTINCT poly_id FROM poly) n LEFT JOIN f USING (poly_id) GROUP BY n.poly_id"""
 
 
-def spheres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _quantised(rasters.sphere(spark, 60, 50), ["img", "ix", "iy"], {"v": F.col("v")}, 1e4)
-
-
-SPHERE_SQL = f"""
-WITH p AS (SELECT x::INT AS ix, y::INT AS iy, x / 59.0::DOUBLE * 2 - 1 AS nx, y / 49.0::DOUBLE * 2 - 1 AS ny FROM range(60) a(x), range(50) b(y)),
-r AS (SELECT *, sqrt(nx * nx + ny * ny) AS r FROM p), z AS (SELECT *, sqrt(greatest(0, 0.72::DOUBLE * 0.72::DOUBLE - r * r)) AS z FROM r),
-v AS (SELECT ix, iy, CASE WHEN r < 0.72 THEN greatest(0.02, least(1, 0.12 + 0.95 * greatest(0, (-0.45 * nx - 0.55 * ny + 0.7 * z) / sqrt(nx * nx + ny * ny + z * z))))
- ELSE 0.55 + 0.4 * (iy / 49.0::DOUBLE) - 0.12 * exp(-12 * (r - 0.72) * (r - 0.72)) END AS v FROM z)
-SELECT 'sphere' AS img, ix, iy, {q("greatest(0, least(1, v))::FLOAT", "1e4")} AS v FROM v"""
-
-
 QUERIES = {
     "tone_targets_li": (targets, TARGET_SQL),
     "spacing_maps_li": (spacing_maps, SPACING_SQL),
@@ -249,5 +237,4 @@ QUERIES = {
     "whitened_li": (whitened, WHITEN_SQL),
     "ring_distance_emb": (ring_distances, DISTANCE_SQL),
     "half_planes_customer": (half_planes, CUT_SQL),
-    "source_sphere": (spheres, SPHERE_SQL),
 }

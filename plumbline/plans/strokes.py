@@ -13,7 +13,7 @@ from plumbline.plans import sql
 from plumbline.plans.fields import TRIANGLE
 from plumbline.plans.sql import q
 from plumbline.sources import rasters
-from plumbline.sources.rasters import EV_H, EV_W
+from plumbline.sources.rasters import LI_H, LI_W
 
 _P = "(PARTITION BY path_id ORDER BY seq)"
 
@@ -251,19 +251,20 @@ SELECT label, {q("CASE WHEN t < 0 THEN t + pi() ELSE t END", "1e4")} AS theta FR
 
 
 def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours in a grid of triangles, two for each cell of the event raster's first type."""
-    cell = rasters.grid(spark, EV_W, EV_H)
-    a = F.col("iy") * (EV_W + 1) + F.col("ix")
-    two = F.array(F.struct(F.lit(0).alias("h"), a.alias("v0"), (a + 1).alias("v1"), (a + EV_W + 1).alias("v2")), F.struct(F.lit(1).alias("h"), (a + 1).alias("v0"), (a + EV_W + 2).alias("v1"), (a + EV_W + 1).alias("v2")))
-    f = cell.select("ix", "iy", F.explode(two).alias("t")).select(((F.col("iy") * EV_W + F.col("ix")) * 2 + F.col("t.h")).alias("f"), "t.v0", "t.v1", "t.v2")
+    """Neighbours among triangles: two for each cell of a supplier's raster that has line items."""
+    cell = rasters.supplier_raster(spark, sf_dir).where("v < 1")
+    a = (F.col("img").cast("long") * (LI_H + 1) + F.col("iy")) * (LI_W + 1) + F.col("ix")
+    two = F.array(F.struct(F.lit(0).alias("h"), a.alias("v0"), (a + 1).alias("v1"), (a + LI_W + 1).alias("v2")), F.struct(F.lit(1).alias("h"), (a + 1).alias("v0"), (a + LI_W + 2).alias("v1"), (a + LI_W + 1).alias("v2")))
+    number = (F.col("img").cast("long") * LI_H + F.col("iy")) * LI_W + F.col("ix")
+    f = cell.select(number.alias("n"), F.explode(two).alias("t")).select((F.col("n") * 2 + F.col("t.h")).alias("f"), "t.v0", "t.v1", "t.v2")
     return geometry.face_neighbours(f)
 
 
 FACE_SQL = f"""
-WITH c AS (SELECT x, y, y * {EV_W + 1} + x AS a FROM range({EV_W}) p(x), range({EV_H}) q(y)),
-f AS (SELECT (y * {EV_W} + x) * 2 AS f, a AS v0, a + 1 AS v1, a + {EV_W + 1} AS v2 FROM c UNION ALL SELECT (y * {EV_W} + x) * 2 + 1, a + 1, a + {EV_W + 2}, a + {EV_W + 1} FROM c),
+WITH {sql.SUPPLIER_LI}, c AS (SELECT (img * {LI_H} + iy) * {LI_W} + ix AS n, (img * {LI_H + 1} + iy) * {LI_W + 1} + ix AS a FROM li WHERE v < 1),
+f AS (SELECT n * 2 AS f, a AS v0, a + 1 AS v1, a + {LI_W + 1} AS v2 FROM c UNION ALL SELECT n * 2 + 1, a + 1, a + {LI_W + 2}, a + {LI_W + 1} FROM c),
 e AS (SELECT f, 0 AS k, v1 AS a, v2 AS b FROM f UNION ALL SELECT f, 1, v2, v0 FROM f UNION ALL SELECT f, 2, v0, v1 FROM f)
-SELECT e.f::INT AS f, e.k, least(e.a, e.b)::INT AS lo, greatest(e.a, e.b)::INT AS hi, CASE WHEN e.a < e.b THEN 1 ELSE -1 END AS sign, o.f::INT AS other
+SELECT e.f, e.k, least(e.a, e.b) AS lo, greatest(e.a, e.b) AS hi, CASE WHEN e.a < e.b THEN 1 ELSE -1 END AS sign, o.f AS other
 FROM e LEFT JOIN e o ON o.f <> e.f AND least(o.a, o.b) = least(e.a, e.b) AND greatest(o.a, o.b) = greatest(e.a, e.b)"""
 
 
@@ -341,7 +342,7 @@ QUERIES = {
     "polygon_measures_customer": (polygon_measures, POLYGON_SQL),
     "chord_stats_customer": (chord_stats, CHORD_SQL),
     "mean_direction_emb": (directions, DIRECTION_SQL),
-    "face_neighbours_grid": (faces, FACE_SQL),
+    "face_neighbours_supplier": (faces, FACE_SQL),
     "asof_table_part": (interpolation, INTERPOLATION_SQL),
     "serpentine_crossings_li": (crossings, CROSSING_SQL),
     "error_diffusion_li": (diffusion, DIFFUSION_SQL),

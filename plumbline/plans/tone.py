@@ -90,15 +90,24 @@ FROM c JOIN h ON h.c_custkey = c.c_custkey AND h.s = 0"""
 
 
 def formula_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = rasters.ramp(spark, 60, 20).unionByName(rasters.radial(spark, 40, 40)).unionByName(rasters.rings(spark, 50, 50))
-    return made.select("img", "ix", "iy", S.quantised(F.col("v"), 1e5).alias("v"))
+    """The four kinds of pictures from formulas, in a size of its own for each supplier."""
+    sizes = rasters.table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("img"), (9 + F.col("s_suppkey") % 13).cast("int").alias("w"), (7 + F.col("s_nationkey") % 5).cast("int").alias("h")
+    )
+    out = [rasters.painted(sizes, k).select(F.lit(k).alias("kind"), "img", "ix", "iy", S.quantised(F.col("v"), 1e4).alias("v")) for k in ("ramp", "radial", "rings", "sphere")]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 SOURCES_SQL = f"""
-SELECT 'ramp' AS img, x::INT AS ix, y::INT AS iy, {q("(x / 59.0::DOUBLE)::FLOAT", "1e5")} AS v FROM range(60) a(x), range(20) b(y)
-UNION ALL SELECT 'radial', x::INT, y::INT, {q("least(1, sqrt((x - 19.5) * (x - 19.5) + (y - 19.5) * (y - 19.5))::DOUBLE / sqrt(19.5 * 19.5 * 2))::FLOAT", "1e5")} FROM range(40) a(x), range(40) b(y)
-UNION ALL SELECT 'rings', x, y, {q("greatest(0, least(1, 0.5 + 0.45 * cos(r * 18) * exp(-r * 0.8)))::FLOAT", "1e5")}
- FROM (SELECT x::INT AS x, y::INT AS y, sqrt(pow(x / 49.0::DOUBLE * 2 - 1, 2) + pow(y / 49.0::DOUBLE * 2 - 1, 2)) AS r FROM range(50) a(x), range(50) b(y))"""
+WITH s AS (SELECT s_suppkey AS img, (9 + s_suppkey % 13)::INT AS w, (7 + s_nationkey % 5)::INT AS h FROM supplier),
+p AS (SELECT img, w, h, c % w AS ix, c // w AS iy FROM (SELECT *, unnest(range(w * h))::INT AS c FROM s)),
+n AS (SELECT *, ix / (w - 1)::DOUBLE * 2 - 1 AS x, iy / (h - 1)::DOUBLE * 2 - 1 AS y FROM p), r AS (SELECT *, sqrt(x * x + y * y) AS r FROM n),
+z AS (SELECT *, sqrt(greatest(0, 0.72::DOUBLE * 0.72::DOUBLE - r * r)) AS z FROM r),
+k AS (SELECT img, ix, iy, ix / (w - 1)::DOUBLE AS ramp, least(1, sqrt((ix - (w - 1) / 2) ^ 2 + (iy - (h - 1) / 2) ^ 2) / sqrt(((w - 1) / 2) ^ 2 + ((h - 1) / 2) ^ 2)) AS radial,
+  greatest(0, least(1, 0.5 + 0.45 * cos(r * 18) * exp(-r * 0.8))) AS rings,
+  greatest(0, least(1, CASE WHEN r < 0.72 THEN greatest(0.02, least(1, 0.12 + 0.95 * greatest(0, (-0.45 * x - 0.55 * y + 0.7 * z) / sqrt(x * x + y * y + z * z))))
+    ELSE 0.55 + 0.4 * (iy / (h - 1)::DOUBLE) - 0.12 * exp(-12 * (r - 0.72) * (r - 0.72)) END)) AS sphere FROM z)
+SELECT kind, img, ix, iy, {q("v::FLOAT", "1e4")} AS v FROM (UNPIVOT (SELECT img, ix, iy, ramp::DOUBLE AS ramp, radial::DOUBLE AS radial, rings::DOUBLE AS rings, sphere::DOUBLE AS sphere FROM k) ON ramp, radial, rings, sphere INTO NAME kind VALUE v)"""
 
 
 def _rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +179,7 @@ QUERIES = {
     "tone_ladders_li": (tone_ladders, LADDERS_SQL),
     "wave_coverage_part": (wave_coverages, WAVE_SQL),
     "cell_orders_customer": (cell_orders, ORDERS_SQL),
-    "source_formulas": (formula_sources, SOURCES_SQL),
+    "source_formulas_supplier": (formula_sources, SOURCES_SQL),
     "cmyk_planes_orders": (colour_planes, COLOUR_SQL),
     "file_stems_part": (file_stems, STEM_SQL),
     "lattices_region": (lattices, LATTICE_SQL),

@@ -15,38 +15,50 @@ def grid(spark: SparkSession, w: int, h: int) -> DataFrame:
     return spark.range(w * h).select((F.col("id") % w).cast("int").alias("ix"), F.floor(F.col("id") / w).cast("int").alias("iy"))
 
 
-def ramp(spark: SparkSession, w: int, h: int) -> DataFrame:
-    """Black on the left to white on the right."""
-    return grid(spark, w, h).select(F.lit("ramp").alias("img"), "ix", "iy", (F.col("ix") / F.lit(float(w - 1))).cast("float").alias("v"))
+def tone(kind: str) -> Column:
+    """Tone of a pixel (ix, iy) of a picture ``w`` by ``h``: a ``ramp`` from black on the left to white on the right, a ``radial``
+    one from black in the middle to white in the corners, fading ``rings`` about the middle, or a lit ``sphere``."""
+    ix, iy, w, h = (F.col(c) for c in ("ix", "iy", "w", "h"))
+    if kind == "ramp":
+        return ix / (w - 1).cast("double")
+    if kind == "radial":
+        dx, dy = ix - (w - 1) / 2, iy - (h - 1) / 2
+        return F.least(F.lit(1.0), F.sqrt(dx * dx + dy * dy) / F.sqrt((w - 1) / 2 * ((w - 1) / 2) + (h - 1) / 2 * ((h - 1) / 2)))
+    x, y = ix / (w - 1) * 2 - 1, iy / (h - 1) * 2 - 1
+    r = F.sqrt(x * x + y * y)
+    if kind == "rings":
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + 0.45 * F.cos(r * 18) * F.exp(-r * 0.8)))
+    # The ball's radius, the direction of light, and the tones.
+    ball, light = 0.72, (-0.45, -0.55, 0.7)
+    z = F.sqrt(F.greatest(F.lit(0.0), ball * ball - r * r))
+    size = F.sqrt(x * x + y * y + z * z)
+    facing = F.greatest(F.lit(0.0), (light[0] * x + light[1] * y + light[2] * z) / size)
+    shade = F.exp(-12 * (r - ball) * (r - ball))
+    v = F.when(r < ball, F.greatest(F.lit(0.02), F.least(F.lit(1.0), 0.12 + 0.95 * facing))).otherwise(0.55 + 0.4 * (iy / (h - 1)) - 0.12 * shade)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
 
 
-def radial(spark: SparkSession, w: int, h: int) -> DataFrame:
-    """Black in the middle to white in the corners."""
-    cx, cy = (w - 1) / 2, (h - 1) / 2
-    r = F.sqrt((F.col("ix") - cx) * (F.col("ix") - cx) + (F.col("iy") - cy) * (F.col("iy") - cy)) / ((cx * cx + cy * cy) ** 0.5)
-    return grid(spark, w, h).select(F.lit("radial").alias("img"), "ix", "iy", F.least(F.lit(1.0), r).cast("float").alias("v"))
+def painted(sizes: DataFrame, kind: str) -> DataFrame:
+    """(img, ix, iy, v): a picture of that kind for each of ``sizes`` (img, w, h; two pixels and more to a side)."""
+    cells = sizes.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1)))
+    at = cells.select("img", "w", "h", (F.col("c") % F.col("w")).cast("int").alias("ix"), F.floor(F.col("c") / F.col("w")).cast("int").alias("iy"))
+    return at.select("img", "ix", "iy", tone(kind).cast("float").alias("v"))
 
 
-def rings(spark: SparkSession, w: int, h: int) -> DataFrame:
-    """Fading rings about the middle."""
-    x, y = F.col("ix") / (w - 1) * 2 - 1, F.col("iy") / (h - 1) * 2 - 1
-    r = F.sqrt(x * x + y * y)
-    v = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + 0.45 * F.cos(r * 18) * F.exp(-r * 0.8)))
-    return grid(spark, w, h).select(F.lit("rings").alias("img"), "ix", "iy", v.cast("float").alias("v"))
+def formula(spark: SparkSession, kind: str, w: int, h: int) -> DataFrame:
+    """One picture of that kind."""
+    at = grid(spark, w, h).withColumn("w", F.lit(w)).withColumn("h", F.lit(h))
+    return at.select(F.lit(kind).alias("img"), "ix", "iy", tone(kind).cast("float").alias("v"))
 
 
-def sphere(spark: SparkSession, w: int, h: int) -> DataFrame:
-    """A lit ball on a ground that grows lighter downwards, with the ball's soft shade on it."""
-    x, y = F.col("ix") / (w - 1) * 2 - 1, F.col("iy") / (h - 1) * 2 - 1
-    # The ball's radius, the direction of light, and the tones.
-    ball, light = 0.72, (-0.45, -0.55, 0.7)
-    p = grid(spark, w, h).select("ix", "iy", x.alias("x"), y.alias("y"), F.sqrt(x * x + y * y).alias("r"))
-    p = p.withColumn("z", F.sqrt(F.greatest(F.lit(0.0), ball * ball - F.col("r") * F.col("r"))))
-    size = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
-    facing = F.greatest(F.lit(0.0), (light[0] * F.col("x") + light[1] * F.col("y") + light[2] * F.col("z")) / size)
-    shade = F.exp(-12 * (F.col("r") - ball) * (F.col("r") - ball))
-    v = F.when(F.col("r") < ball, F.greatest(F.lit(0.02), F.least(F.lit(1.0), 0.12 + 0.95 * facing))).otherwise(0.55 + 0.4 * (F.col("iy") / (h - 1)) - 0.12 * shade)
-    return p.select(F.lit("sphere").alias("img"), "ix", "iy", F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)).cast("float").alias("v"))
+def ramp(spark: SparkSession, w: int, h: int) -> DataFrame:
+    """Black on the left to white on the right."""
+    return formula(spark, "ramp", w, h)
+
+
+def radial(spark: SparkSession, w: int, h: int) -> DataFrame:
+    """Black in the middle to white in the corners."""
+    return formula(spark, "radial", w, h)
 
 
 def counted(rows: DataFrame, w: int, h: int) -> DataFrame:
