@@ -35,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_frequency": quality_rules.OP5_SQL,
         "op6_redirect_verdicts": url_filters.OP6_SQL,
         "op7_spaced_seeds": decontaminate.OP7_SQL,
+        "op8_radix_windows": suffix_dedup.OP8_SQL,
     }

@@ -286,3 +286,18 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, ho
 def op8_radix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+#: Every window of every text by its MD5, in hexadecimal digits.
+OP8_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS MATERIALIZED (SELECT row, i, md5_number(substr(h, 2 * i + 1, {2 * WIDTH})) AS k FROM (SELECT row, h, unnest(range(0, length(h) // 2 - {WIDTH - 1})) AS i FROM d WHERE length(h) >= {2 * WIDTH})),
+bad AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY k) AS n FROM win) WHERE n > 1),
+new AS (SELECT row, i, CASE WHEN i - lag(i) OVER w <= {WIDTH} THEN 0 ELSE 1 END AS new FROM bad WINDOW w AS (PARTITION BY row ORDER BY i)),
+span AS (SELECT row, min(i) AS lo, max(i) + {WIDTH} AS hi FROM (SELECT row, i, sum(new) OVER (PARTITION BY row ORDER BY i) AS run FROM new) GROUP BY row, run),
+cut AS (SELECT row, lo, hi, coalesce(lag(hi) OVER (PARTITION BY row ORDER BY lo), 0) AS before FROM span),
+gone AS (SELECT c.row, sum(hi - lo)::BIGINT AS n, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS h
+      FROM cut c JOIN d ON d.row = c.row GROUP BY c.row)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(gone.n, 0)::BIGINT AS n_removed, coalesce(gone.spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(gone.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN gone ON gone.row = d.row
+"""
