@@ -52,28 +52,33 @@ def interpolated(values: DataFrame, knots: DataFrame, by: list[str], width: floa
     return hit.groupBy(*by, "id").agg(F.max(value).alias("y"))
 
 
-def nearest_seed(pixels: DataFrame, seeds: DataFrame, cell: float, w: int, h: int) -> DataFrame:
-    """(ix, iy, pid, d2): the seed nearest to each pixel, the smaller pid on a tie.
+def nearest_seed(pixels: DataFrame, seeds: DataFrame, cell: float, w: int, h: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, ix, iy, pid, d2): the seed nearest to each pixel among those of its group, the smaller pid on a tie.
 
     Seeds are bucketed in cells. A pixel asks the cells around its own; if the best found there could be beaten from
-    farther away, or there is none, it asks a ring twice as wide, so that the search is exact and most pixels meet few
-    seeds.
+    farther away, or there is none, it goes on with the cells of a ring twice as wide that it hasn't asked yet, so that
+    the search is exact and most pixels meet few seeds.
     """
-    pending = pixels.select("ix", "iy", (F.col("ix") + 1.0).alias("x"), (F.col("iy") + 1.0).alias("y"))
-    placed = seeds.select("pid", F.col("x").alias("sx"), F.col("y").alias("sy"), F.floor(F.col("x") / cell).alias("bx"), F.floor(F.col("y") / cell).alias("by"))
-    reach, found = 1, None
+    key = [*by, "ix", "iy"]
+    pending = pixels.select(*key, (F.col("ix") + 1.0).alias("x"), (F.col("iy") + 1.0).alias("y"))
+    none = F.lit(None).cast(f"struct<d2:double,pid:{dict(seeds.dtypes)['pid']}>")
+    pending = pending.withColumn("b", none)
+    placed = seeds.select(*by, "pid", F.col("x").cast("double").alias("sx"), F.col("y").cast("double").alias("sy"))
+    placed = placed.withColumn("_bx", F.floor(F.col("sx") / cell)).withColumn("_by", F.floor(F.col("sy") / cell))
+    asked_to, reach, found = -1, 1, None
     most = int(max(w, h) / cell) + 2
     while True:
         span = F.sequence(F.lit(-reach), F.lit(reach))
-        asked = pending.withColumn("dx", F.explode(span)).withColumn("dy", F.explode(span))
-        asked = asked.withColumn("bx", F.floor(F.col("x") / cell) + F.col("dx")).withColumn("by", F.floor(F.col("y") / cell) + F.col("dy"))
+        asked = pending.select(*key, "x", "y", F.explode(span).alias("dx")).withColumn("dy", F.explode(span)).where(F.greatest(F.abs("dx"), F.abs("dy")) > asked_to)
+        asked = asked.withColumn("_bx", F.floor(F.col("x") / cell) + F.col("dx")).withColumn("_by", F.floor(F.col("y") / cell) + F.col("dy"))
         d2 = (F.col("sx") - F.col("x")) * (F.col("sx") - F.col("x")) + (F.col("sy") - F.col("y")) * (F.col("sy") - F.col("y"))
-        best = asked.join(placed, ["bx", "by"]).groupBy("ix", "iy").agg(F.min(F.struct(d2.alias("d2"), F.col("pid").alias("pid"))).alias("b"))
+        near = asked.join(placed, [*by, "_bx", "_by"]).groupBy(*key).agg(F.min(F.struct(d2.alias("d2"), F.col("pid").alias("pid"))).alias("n"))
+        best = pending.join(near, key, "left").withColumn("b", F.least("b", "n")).drop("n")
         # A seed outside the cells asked is at least ``reach`` cells away.
-        sure = best.where(F.col("b.d2") <= (reach * cell) ** 2) if reach < most else best
-        sure = materialise(sure.select("ix", "iy", "b.pid", "b.d2"))
+        best = materialise(best.withColumn("sure", F.coalesce(F.col("b.d2") <= (reach * cell) ** 2, F.lit(False)) | F.lit(reach >= most)))
+        sure = best.where("sure and b is not null").select(*key, "b.pid", "b.d2")
         found = sure if found is None else found.unionByName(sure)
-        pending = materialise(pending.join(sure, ["ix", "iy"], "left_anti"))
+        pending = best.where("not sure").drop("sure")
         if reach >= most or pending.isEmpty():
             return found
-        reach *= 2
+        asked_to, reach = reach, reach * 2

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalar as S
-from plumbline.operators import geometry, subdivision, voronoi
+from plumbline.operators import geometry, relax, subdivision, voronoi
 from plumbline.plans import sql
 from plumbline.plans.fields import PAGE, _diff
+from plumbline.plans.parts import UNEVEN
 from plumbline.plans.sql import q
 from plumbline.sources import rasters
 from plumbline.sources.rasters import LI_H, LI_W
@@ -100,7 +101,41 @@ WHERE o = 1 AND abs({PEN / 2!r} - (ra + rb) / 2) <= abs({PEN / 2!r} - dark / {su
 BALANCE_SQL = f"""WITH {sql.SUPPLIER_LI} SELECT img, 1::BIGINT AS more, {q(str(float(LI_W * LI_H)), "1e4")} AS area, count(*) AS pixels, {q("sum(1 - v)", "1e4")} AS dark FROM li GROUP BY img"""
 
 
+#: Points of an image, rounds of relaxing them, the part of the way that they go in one, and the farthest that they go.
+POINTS, RELAX_ROUNDS, DAMPING, LONGEST = 12, 4, 0.5, 1.5
+
+
+def relaxed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve darkest pixels of each supplier's image, moved towards the centres of ink of their cells."""
+    images = rasters.supplier_raster(spark, sf_dir)
+    number = F.col("iy") * LI_W + F.col("ix")
+    order = Window.partitionBy("img").orderBy("v", number)
+    seeds = images.withColumn("r", F.row_number().over(order)).where(F.col("r") <= POINTS)
+    seeds = seeds.select("img", F.col("r").cast("long").alias("pid"), (F.col("ix") + 1.0).alias("x"), (F.col("iy") + 1.0).alias("y"))
+    made = relax.relaxed(images, seeds, LI_W, LI_H, RELAX_ROUNDS, DAMPING, LONGEST)
+    return made.select("img", "pid", *[S.quantised(F.col(c), UNEVEN / 10).alias(c) for c in "xy"], "rounds")
+
+
+def _relax_sql() -> str:
+    g = repr(relax.GRAIN)
+    steps = [f"""{sql.SUPPLIER_LI}, r0 AS MATERIALIZED (SELECT img, pid, ix + 1::DOUBLE AS x, iy + 1::DOUBLE AS y, 0 AS rounds, true AS live
+  FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY v, iy * {LI_W} + ix) AS pid FROM li) WHERE pid <= {POINTS})"""]
+    for k in range(RELAX_ROUNDS):
+        steps.append(f"""n{k} AS (SELECT img, ix, iy, m, arg_min(pid, {{'d': d, 'pid': pid}}) AS pid FROM (SELECT li.img, li.ix, li.iy, 1 - v AS m, pid, (x - ix - 1) * (x - ix - 1) + (y - iy - 1) * (y - iy - 1) AS d
+  FROM li JOIN r{k} r ON r.img = li.img AND r.live WHERE v < 1) GROUP BY ALL),
+c{k} AS (SELECT img, pid, sum(m * (ix + 1)) / sum(m) AS cx, sum(m * (iy + 1)) / sum(m) AS cy FROM n{k} GROUP BY ALL),
+d{k} AS (SELECT r.*, coalesce((cx - x) * {DAMPING}, 0) AS dx, coalesce((cy - y) * {DAMPING}, 0) AS dy FROM r{k} r LEFT JOIN c{k} USING (img, pid)),
+s{k} AS (SELECT *, sqrt(dx * dx + dy * dy) AS size, CASE WHEN sqrt(dx * dx + dy * dy) > {LONGEST} THEN {LONGEST} / sqrt(dx * dx + dy * dy) ELSE 1 END AS short FROM d{k}),
+r{k + 1} AS MATERIALIZED (SELECT img, pid, CASE WHEN live THEN floor((x + dx * short) * {g}::DOUBLE + 0.5) / {g}::DOUBLE ELSE x END AS x, CASE WHEN live THEN floor((y + dy * short) * {g}::DOUBLE + 0.5) / {g}::DOUBLE ELSE y END AS y,
+  rounds + live::INT AS rounds, live AND max(size * short) OVER (PARTITION BY img) >= {relax.SETTLED} AS live FROM s{k})""")
+    return ", ".join(steps)
+
+
+RELAX_SQL = f"WITH {_relax_sql()} SELECT img, pid, {q('x', repr(UNEVEN / 10))} AS x, {q('y', repr(UNEVEN / 10))} AS y, rounds FROM r{RELAX_ROUNDS}"
+
+
 QUERIES = {
+    "relaxed_points_supplier": (relaxed_points, RELAX_SQL),
     "subdivision_first_supplier": (first_cuts, FIRST_SQL),
     "subdivision_balance_supplier": (cut_balance, BALANCE_SQL),
     "voronoi_cells_emb": (voronoi_cells, VORONOI_SQL),
