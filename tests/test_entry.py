@@ -5,6 +5,7 @@ import importlib
 import sys
 
 import __spark_entry__ as entry
+import pytest
 from plumbline import catalog
 
 
@@ -32,3 +33,20 @@ def test_entry_without_the_subpackage(monkeypatch):
     finally:
         monkeypatch.undo()
         importlib.reload(sys.modules["__spark_entry__"])
+
+
+def test_entry_does_not_hide_what_the_subpackage_needs(monkeypatch):
+    real = builtins.__import__
+
+    def refuse(name, *args, **kwargs):
+        if name == "corpus_pipeline":
+            raise ModuleNotFoundError("No module named 'zstandard'", name="zstandard")
+        return real(name, *args, **kwargs)
+
+    monkeypatch.setattr(builtins, "__import__", refuse)
+    try:
+        with pytest.raises(ModuleNotFoundError):
+            importlib.reload(entry)
+    finally:
+        monkeypatch.undo()
+        importlib.reload(sys.modules["__spark_entry__"])
