@@ -14,8 +14,8 @@ Masks of a fixed span can't hit every pattern of ``spare`` substitutions in a sh
 at hand where they don't, :func:`covering` adds masks over the whole length that hit all of them.
 
 Edge cases: null texts have no tokens; an item shorter than the window is matched whole, and one with fewer tokens
-than the shortest mask only where a document has all of its tokens, even if that is a single one; repeated documents or items each count; empty tables give no rows; other columns
-are ignored; a null ``doc_id`` or ``item_id`` is carried as it is.
+than the shortest mask only where a document has all of its tokens, even if that is a single one; rows equal in id and
+text, of documents or items, are one and give one result; empty tables give no rows; other columns are ignored; a null ``doc_id`` or ``item_id`` is carried as it is.
 """
 
 from __future__ import annotations
@@ -143,8 +143,8 @@ def _seed_sql(side: str, key: str) -> str:
 
 
 OP7_SQL = rf"""
-WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
 sd AS ({_seed_sql("d", "row")}), sb AS ({_seed_sql("b", "item_id")}),
 hits AS (SELECT DISTINCT sd.row, sb.item_id, sd.i - sb.i AS shift FROM sd JOIN sb ON sd.h = sb.h AND sd.m = sb.m),
 cells AS (SELECT h.row, h.item_id, h.shift, d.doc_id, least({WINDOW}, len(b.w)) AS need, unnest(range(1, len(b.w) + 1)) AS j, b.w AS wb, d.w AS wd

@@ -566,3 +566,12 @@ def test_thousands_of_equal_rows_are_cut_as_one(spark):
     cut = suffix_dedup.remove_repeats(docs).groupBy("doc_id", "n_bytes", "n_removed").count().collect()
     gone = {r.doc_id: (r.n_bytes - r.n_removed, r["count"]) for r in cut}
     assert gone[2] == (0, 5000) and gone[3] == (0, 1) and gone[1][0] < len(rows[0][1]) - 600
+
+
+def test_equal_rows_leak_once(spark):
+    passage = " ".join(f"w{k}" for k in range(20))
+    docs = frame(spark, [(1, f"a {passage} b", "s")] * 3 + [(1, passage, "s"), (None, passage, "s"), (None, passage, "s"), (2, "nothing of it", "s")])
+    items = spark.createDataFrame([(7, passage), (7, passage), (8, passage)], "item_id long, text string")
+    got = decontaminate.leaks(docs, items).collect()
+    assert Counter((r.doc_id, r.item_id, r.first_token) for r in got) == Counter({(d, i, f): 1 for d, f in ((1, 1), (1, 0), (None, 0)) for i in (7, 8)})
+    assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [2]
