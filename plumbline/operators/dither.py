@@ -7,7 +7,7 @@ one, its share on the neighbours still undrawn, less what the drawn ones had alr
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,8 @@ from plumbline.operators.rounds import materialise, release
 JITTER = 1e-6
 #: Bits of the darkness' code, bits that a round of the search settles, and cells that are put in order at once.
 BITS, ROUND_BITS, FEW = 48, 12, 4096
+#: Columns that tell tiles apart.
+TILE = ["ti", "tj", "img"]
 
 
 def coded(cells: DataFrame, seed: int) -> DataFrame:
@@ -106,50 +108,97 @@ class Kernel:
 
 
 def spill(drawn: np.ndarray, first_row: int, share: float, hexagonal: bool) -> np.ndarray:
-    """Ink of each cell of a piece of a lattice whose first row is number ``first_row``."""
-    p = np.pad(drawn, 1).astype(float)
-    near = p[1:-1, :-2] + p[1:-1, 2:] + p[:-2, 1:-1] + p[2:, 1:-1]
+    """Ink of each cell of a piece of a lattice, or of many, whose first row is number ``first_row``."""
+    p = np.pad(drawn.astype(float), [(0, 0)] * (drawn.ndim - 2) + [(1, 1), (1, 1)])
+    near = p[..., 1:-1, :-2] + p[..., 1:-1, 2:] + p[..., :-2, 1:-1] + p[..., 2:, 1:-1]
     if hexagonal:
-        odd = ((np.arange(drawn.shape[0]) + first_row) % 2 == 1)[:, None]
-        near += np.where(odd, p[:-2, 2:] + p[2:, 2:], p[:-2, :-2] + p[2:, :-2])
+        odd = ((np.arange(drawn.shape[-2]) + first_row) % 2 == 1)[:, None]
+        near += np.where(odd, p[..., :-2, 2:] + p[..., 2:, 2:], p[..., :-2, :-2] + p[..., 2:, :-2])
     return np.where(drawn > 0, 1.0, near * share)
 
 
-def tile_swaps(cols: int, rows: int, share: float, hexagonal: bool, kernel: Kernel, tries: int, seed: int, shift: tuple[int, int], side: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """One tile's swaps. Only cells whose effect stays inside the tile move, so that tiles don't disturb each other, and a
-    swap is kept only if it brings the blurred drawing nearer to the blurred target."""
+def alike_swaps(drawn: np.ndarray, want: np.ndarray, draws: np.ndarray, own: np.ndarray, free: np.ndarray, blurred: Callable[[np.ndarray], np.ndarray], inked: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """``drawn`` after the swaps of tiles that lie alike, side by side; ``draws`` (tile, try, 2). A tile stops when it has
+    nothing to swap."""
+    n, size = len(drawn), drawn[0].size
+    drawn, target = drawn.copy(), blurred(want)
+    gap = target - blurred(inked(drawn))
+    error = np.abs(gap[:, own]).sum(1)
+    live = np.arange(n)
+    for k in range(draws.shape[1]):
+        g, d, u = gap[live], drawn[live], draws[live, k]
+        c = np.stack([np.where(free & (sign * g > 0) & (d == was), g * g, 0).reshape(len(live), size).cumsum(1) for sign, was in ((1, 0), (-1, 1))], 1)
+        some = (c[:, :, -1] > 0).all(1)
+        live, c, u, trial = live[some], c[some], u[some], d[some]
+        if not len(live):
+            break
+        at = np.minimum((c <= (u * c[:, :, -1])[:, :, None]).sum(2), size - 1)
+        flat = trial.reshape(len(live), size)
+        flat[np.arange(len(live)), at[:, 0]], flat[np.arange(len(live)), at[:, 1]] = 1, 0
+        new = target[live] - blurred(inked(trial))
+        e = np.abs(new[:, own]).sum(1)
+        better = e < error[live] - 1e-12
+        moved = live[better]
+        drawn[moved], gap[moved], error[moved] = trial[better], new[better], e[better]
+    return drawn
+
+
+def tile_swaps(cols: int, rows: int, share: float, hexagonal: bool, kernel: Kernel, tries: int, seed: int, shift: tuple[int, int], side: int, number: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Swaps of the tiles of a task, whose rows follow each other. Only cells whose effect stays inside the tile move, so that
+    tiles don't disturb each other, and a swap is kept only if it brings the blurred drawing nearer to the blurred target.
+    The tiles of a batch that lie alike are worked side by side."""
     reach = kernel.reach + 1
-
-    def run(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-        img, ti, tj, number = key
-        (i0, j0), (i1, j1) = cells[["i", "j"]].min(), cells[["i", "j"]].max()
-        n, m = i1 - i0 + 1, j1 - j0 + 1
-        at = (cells["i"].to_numpy() - i0, cells["j"].to_numpy() - j0)
-        drawn, want = np.zeros((n, m)), np.zeros((n, m))
-        drawn[at], want[at] = cells["drawn"], cells["k"]
-        down, across = kernel.matrix(i0, n, rows), kernel.matrix(j0, m, cols).T
-        lo = [t * side - s for t, s in zip((ti, tj), shift, strict=True)]
-        i, j = np.arange(n)[:, None] + i0, np.arange(m)[None, :] + j0
-        own = (i >= lo[0]) & (i < lo[0] + side) & (j >= lo[1]) & (j < lo[1] + side)
-        inner = lambda x, a, size: ((x >= a + reach) | (a <= 0)) & ((x < a + side - reach) | (a + side >= size))
-        free = own & inner(i, lo[0], rows) & inner(j, lo[1], cols)
-        target = down @ want @ across
-        gap = target - down @ spill(drawn, i0, share, hexagonal) @ across
-        error = np.abs(gap)[own].sum()
-        rng = np.random.default_rng([seed, zlib.crc32(repr((img, ti, tj, number)).encode())])
-        for _ in range(tries):
-            light, dark = (np.where(free & (sign * gap > 0) & (drawn == d), gap * gap, 0).ravel() for sign, d in ((1, 0), (-1, 1)))
-            if not light.sum() or not dark.sum():
-                break
-            on, off = (np.searchsorted(np.cumsum(c), rng.random() * c.sum(), "right") for c in (light, dark))
-            trial = drawn.copy()
-            trial.flat[on], trial.flat[off] = 1, 0
-            new = target - down @ spill(trial, i0, share, hexagonal) @ across
-            if (e := np.abs(new)[own].sum()) < error - 1e-12:
-                drawn, gap, error = trial, new, e
-        out = cells[own[at]].copy()
-        out["drawn"] = drawn[at][own[at]].astype(np.int32)
-        return out[["img", "pid", "i", "j", "k", "drawn"]]
+    inner = lambda x, a, size: ((x >= a + reach) | (a <= 0)) & ((x < a + side - reach) | (a + side >= size))
+
+    def whole(cells: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.reset_index(drop=True)
+        tile = cells.groupby(TILE, sort=False, dropna=False).ngroup().to_numpy()
+        first = np.flatnonzero(np.diff(tile, prepend=-1))
+        i, j, was, k = (cells[c].to_numpy() for c in ("i", "j", "drawn", "k"))
+        ti, tj = (cells[c].to_numpy()[first] for c in ("ti", "tj"))
+        box = np.stack([ti, tj, np.minimum.reduceat(i, first), np.maximum.reduceat(i, first), np.minimum.reduceat(j, first), np.maximum.reduceat(j, first)], 1)
+        names = list(zip(cells["img"].iloc[first].tolist(), ti.tolist(), tj.tolist(), strict=True))
+        kinds, kind = np.unique(box, axis=0, return_inverse=True)
+        kind, place = kind.ravel(), np.empty(len(first), np.int64)
+        made, kept = was.copy(), np.zeros(len(cells), bool)
+        for x, (a, b, i0, i1, j0, j1) in enumerate(kinds.tolist()):
+            of = np.flatnonzero(kind == x)
+            place[of] = np.arange(len(of))
+            row = np.flatnonzero(kind[tile] == x)
+            at = (place[tile[row]], i[row] - i0, j[row] - j0)
+            shape = (len(of), i1 - i0 + 1, j1 - j0 + 1)
+            drawn, want = np.zeros(shape), np.zeros(shape)
+            drawn[at], want[at] = was[row], k[row]
+            down, across = kernel.matrix(i0, shape[1], rows), kernel.matrix(j0, shape[2], cols).T
+            lo = [t * side - s for t, s in zip((a, b), shift, strict=True)]
+            ii, jj = np.arange(shape[1])[:, None] + i0, np.arange(shape[2])[None, :] + j0
+            own = (ii >= lo[0]) & (ii < lo[0] + side) & (jj >= lo[1]) & (jj < lo[1] + side)
+            free = own & inner(ii, lo[0], rows) & inner(jj, lo[1], cols)
+            draws = np.stack([np.random.default_rng([seed, zlib.crc32(repr((*names[t], number)).encode())]).random((tries, 2)) for t in of.tolist()])
+            done = alike_swaps(drawn, want, draws, own, free, lambda p: down @ (p @ across), lambda d: spill(d, i0, share, hexagonal))  # noqa: B023
+            made[row], kept[row] = done[at], own[at[1:]]
+        cells["drawn"] = made.astype(np.int32)
+        return cells.loc[kept, ["img", "pid", "i", "j", "k", "drawn"]]
+
+    def of_tile(cells: pd.DataFrame, one: pd.DataFrame) -> np.ndarray:
+        return np.logical_and.reduce([cells[c].isna() if one[c].isna().all() else cells[c] == one[c].iloc[0] for c in TILE])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            # The last tile may go on in the next batch.
+            end = batch[TILE].iloc[-1:]
+            last = of_tile(batch, end)
+            if last.all() and (not held or of_tile(held[-1].iloc[-1:], end).all()):
+                held.append(batch)
+                continue
+            if len(ready := pd.concat([*held, batch[~last]])):
+                yield whole(ready)
+            held = [batch[last]]
+        if held:
+            yield whole(pd.concat(held))
 
     return run
 
@@ -163,6 +212,8 @@ def swapped(pattern: DataFrame, cols: int, rows: int, extra: float, hexagonal: b
     kernel, share = Kernel(scale), extra / (6 if hexagonal else 4)
     rim = kernel.reach + 1
     kind = dict(pattern.dtypes)["img"]
+    session = pattern.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
     i, j = F.floor(F.col("pid") / cols).cast("int"), (F.col("pid") % cols).cast("int")
     state = materialise(pattern.select("img", "pid", i.alias("i"), j.alias("j"), F.col("k").cast("double").alias("k"), F.col("drawn").cast("int").alias("drawn")))
     for r in range(rounds):
@@ -173,8 +224,9 @@ def swapped(pattern: DataFrame, cols: int, rows: int, extra: float, hexagonal: b
             return F.array_distinct(F.array(tile(F.col(c) - rim), tile(F.col(c)), tile(F.col(c) + rim)))
 
         dealt = state.withColumn("ti", F.explode(seen("i", shift[0]))).withColumn("tj", F.explode(seen("j", shift[1])))
-        swaps = tile_swaps(cols, rows, share, hexagonal, kernel, tries, seed, shift, side)
-        after = dealt.groupBy("img", "ti", "tj", F.lit(r).alias("number")).applyInPandas(swaps, f"img {kind}, pid long, i int, j int, k double, drawn int")
+        swaps = tile_swaps(cols, rows, share, hexagonal, kernel, tries, seed, shift, side, r)
+        # A given number of partitions: the rows are few for the work on them, and would be put together by their size.
+        after = dealt.repartition(parts, *TILE).sortWithinPartitions(*TILE).mapInPandas(swaps, f"img {kind}, pid long, i int, j int, k double, drawn int")
         after = materialise(after)
         release(state)
         state = after

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from plumbline.operators import dither, tiles
@@ -88,3 +89,24 @@ def test_ink_of_a_pattern_is_the_plain_one(spark):
     got = [(r["pid"], r["drawn"], r["ink"]) for r in dither.inked(start, links, extra, 6).orderBy("pid").collect()]
     assert np.allclose([g[2] for g in got], ink([g[1] for g in got], 9, 8, True, extra / 6))
     assert np.allclose(dither.spill(np.array([g[1] for g in got]).reshape(8, 9), 0, extra / 6, True).ravel(), [g[2] for g in got])
+
+
+def test_tiles_side_by_side_are_swapped_like_each_alone():
+    """However a task's rows are cut into batches, and whatever other tiles lie beside."""
+    cols, rows, side = 23, 20, 16
+    rng = np.random.default_rng(3)
+    made = []
+    for img in range(5):
+        for ti, tj in ((0, 0), (0, 1), (1, 1)):
+            at = [(i, j) for i in range(max(0, ti * side - 4), min(rows, ti * side + side + 4)) for j in range(max(0, tj * side - 4), min(cols, tj * side + side + 4))]
+            made += [(ti, tj, img, i * cols + j, i, j, float(rng.random()), int(rng.random() < 0.4)) for i, j in at]
+    cells = pd.DataFrame(made, columns=["ti", "tj", "img", "pid", "i", "j", "k", "drawn"]).sort_values(dither.TILE, kind="stable")
+    swaps = dither.tile_swaps(cols, rows, 0.035, True, dither.Kernel(1.0), 40, 1, (0, 0), side, 0)
+    alone = pd.concat([out for _, tile in cells.groupby(dither.TILE) for out in swaps(iter([tile]))])
+    for step in (len(cells), 701, 100, 7):
+        got = pd.concat(list(swaps(cells.iloc[a : a + step] for a in range(0, len(cells), step))))
+        assert got.reset_index(drop=True).equals(alone.reset_index(drop=True))
+    was = cells[(cells["i"] // side == cells["ti"]) & (cells["j"] // side == cells["tj"])]
+    dots = lambda df: df.groupby("img")["drawn"].sum().tolist()
+    assert len(alone) == len(was) and dots(alone) == dots(was)
+    assert (alone["drawn"].to_numpy() != was["drawn"].to_numpy()).any()
