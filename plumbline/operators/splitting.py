@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import half_up
 from plumbline.operators import tiles
+from plumbline.operators.rounds import materialise, release
 
 #: Running darkness counts as past a whole number from this on, and lines slant over at most so many band heights.
 PAST, STEEPEST = 1e-9, 4
@@ -87,12 +88,19 @@ def split_merge(images: DataFrame, page: list[tuple[float, float]], angle: float
     c, s = math.cos(angle), math.sin(angle)
     across, along = [y * c - x * s for x, y in page], [x * c + y * s for x, y in page]
     first, places = min(across), max(2, math.ceil(max(across) - min(across)) + 1)
-    frames = tiles.band_frames(images, page, angle, scale, pen)
+    # Tables that several steps read are written down: a plan that works them out anew at each place has some thirty joins,
+    # and the driver holds its text once more with each of their stages.
+    images = materialise(images)
+    frames = materialise(tiles.band_frames(images, page, angle, scale, pen))
     # Places off the image have no darkness, but the running sum passes them.
     every = frames.select("img", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)).alias("band")).withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
     dark = every.join(tiles.band_darkness(images, page, angle, scale, pen), ["img", "band", "m"], "left").na.fill(0.0, ["k"])
-    slant = slanted(crossings(dark, pen, first), frames, places, first)
-    lines = crossings(dark.join(slant, ["img", "band", "m"]).withColumn("k", F.col("k") * F.col("cos")), pen, first)
+    dark = materialise(dark)
+    release(images)
+    even = materialise(crossings(dark, pen, first))
+    slant = slanted(even, frames, places, first)
+    lines = materialise(crossings(dark.join(slant, ["img", "band", "m"]).withColumn("k", F.col("k") * F.col("cos")), pen, first))
+    release(dark, even)
     after = lines.select("img", (F.col("band") - 1).alias("band"), F.col("vs").alias("next"))
     pair = lines.join(after, ["img", "band"]).join(frames.select("img", "bands", "height"), "img")
     pair = pair.withColumn("p", F.explode(matched(F.col("vs"), F.col("next"))))

@@ -62,3 +62,12 @@ def test_white_and_missing_pixels_have_no_lines(spark):
     assert [r["img"] for r in got] == ["half"]
     few = splitting.split_merge(image, page, math.pi / 2, 1.0, 1.5, splits=False).count()
     assert few <= got[0]["count"]
+
+
+def test_no_step_is_planned_more_than_once(spark):
+    """The driver holds a plan's text for each of its stages: none may work the same tables out again and again."""
+    page = [(1.0, 1.0), (20.0, 1.0), (20.0, 10.0), (1.0, 10.0)]
+    image = spark.createDataFrame([("a", x, y, 0.3) for x in range(20) for y in range(10)], "img string, ix int, iy int, v double")
+    lines = splitting.split_merge(image, page, math.pi / 2, 1.0, 1.5)
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 2
+    assert lines.count()
