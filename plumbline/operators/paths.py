@@ -35,10 +35,13 @@ def resampled(paths: DataFrame, step: float) -> DataFrame:
     s = s.select("path_id", "x", "y", "s", "total", "n", *[F.lead(c).over(order).alias(f"{c}1") for c in ("x", "y", "s")]).where("s1 > s")
     gap = F.col("total") / F.col("n")
     first = F.ceil(F.col("s") / gap - 1e-9).cast("int")
-    last = F.when(F.col("s1") >= F.col("total") - 1e-12, F.col("n")).otherwise((F.ceil(F.col("s1") / gap - 1e-9) - 1).cast("int"))
+    last = F.when(F.col("s1") >= F.col("total"), F.col("n")).otherwise((F.ceil(F.col("s1") / gap - 1e-9) - 1).cast("int"))
     on = s.where(first <= last).withColumn("seq", F.explode(F.sequence(first, last)))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("seq") * gap - F.col("s")) / (F.col("s1") - F.col("s"))))
-    return on.select("path_id", "seq", (F.col("x") + t * (F.col("x1") - F.col("x"))).alias("x"), (F.col("y") + t * (F.col("y1") - F.col("y"))).alias("y"))
+    # The last point is the path's own end: n times a part of the length may miss it by a rounding.
+    t = F.when(F.col("seq") == F.col("n"), 1.0).otherwise(t)
+    place = lambda c: F.when(t == 1, F.col(f"{c}1")).otherwise(F.col(c) + t * (F.col(f"{c}1") - F.col(c)))
+    return on.select("path_id", "seq", place("x").alias("x"), place("y").alias("y"))
 
 
 def stepped(paths: DataFrame, step: float) -> DataFrame:
