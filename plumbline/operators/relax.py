@@ -11,6 +11,8 @@ from plumbline.operators.rounds import materialise, release
 
 #: An image rests once none of its points moves this far; places count in these parts of a pixel, which no simple fraction halves.
 SETTLED, GRAIN = 0.05, 999983.0
+#: What rounding may take off a place that lies at an exact half of a part, as every other one halfway to a whole pixel does.
+SLACK = 5e-8
 
 
 def relaxed(images: DataFrame, seeds: DataFrame, w: int, h: int, rounds: int, damping: float = 1.0, longest: float | None = None, cell: float = 3.0) -> DataFrame:
@@ -19,7 +21,7 @@ def relaxed(images: DataFrame, seeds: DataFrame, w: int, h: int, rounds: int, da
     A point goes ``damping`` of the way to the centre of the ink of the pixels that are nearest to it, ``longest`` at most; one
     without ink stays. An image that rests is left alone while the others go on. No point comes or goes.
     """
-    place = lambda c: half_up(c * GRAIN) / GRAIN
+    place = lambda c: half_up(c * GRAIN + SLACK) / GRAIN
     ink = images.select("img", "ix", "iy", (1 - F.col("v").cast("double")).alias("m")).where("m > 0")
     state = materialise(seeds.select("img", "pid", place(F.col("x")).alias("x"), place(F.col("y")).alias("y"), F.lit(0).alias("rounds"), F.lit(True).alias("live")))
     for _ in range(rounds):
@@ -28,7 +30,10 @@ def relaxed(images: DataFrame, seeds: DataFrame, w: int, h: int, rounds: int, da
             break
         on = ink.join(live.select("img").distinct(), "img", "left_semi")
         label = lookup.nearest_seed(on, live, cell, w, h, ("img",))
-        own = on.join(label, ["img", "ix", "iy"]).groupBy("img", "pid").agg(F.sum("m").alias("m"), F.sum(F.col("m") * (F.col("ix") + 1)).alias("sx"), F.sum(F.col("m") * (F.col("iy") + 1)).alias("sy"))
+        # Decimals add up to the same sum in any order, so that equal images rest at equal places.
+        m = F.col("m").cast("decimal(20,18)")
+        total = lambda c: F.sum(c).cast("double")
+        own = on.join(label, ["img", "ix", "iy"]).groupBy("img", "pid").agg(total(m).alias("m"), *[total(m * (F.col(f"i{c}") + 1)).alias(f"s{c}") for c in "xy"])
         step = live.join(own, ["img", "pid"], "left")
         dx, dy = (F.coalesce((F.col(f"s{c}") / F.col("m") - F.col(c)) * damping, F.lit(0.0)) for c in "xy")
         size = F.sqrt(dx * dx + dy * dy)

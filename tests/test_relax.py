@@ -61,3 +61,16 @@ def test_density_drifts_as_published(spark):
     left = sum(r["x"] < w / 2 + 0.5 for r in got)
     drift = (0.8 * w * h / 2 / left) / (0.2 * w * h / 2 / (len(got) - left))
     assert 1.0 <= drift <= 1.25, drift
+
+
+def test_a_half_is_rounded_up_in_whatever_order_the_ink_is_added(spark):
+    """Ink of thirds and sevenths whose centre lies on a whole pixel, half a part off the point's way to it."""
+    w, h, n = 9, 3, 60
+    ink = {(3, 1): 1 / 3, (5, 1): 1 / 3, (2, 1): 1 / 7, (6, 1): 1 / 7, (4, 0): 2 / 7, (4, 2): 2 / 7, (1, 1): 0.1, (7, 1): 0.1}
+    rng = random.Random(5)
+    rows = [(i, x, y, 1 - v) for i in range(n) for (x, y), v in ink.items()]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "img long, ix int, iy int, v double").repartition(7)
+    at = spark.createDataFrame([(i, 1, 4.0, 2.0) for i in range(n)], "img long, pid long, x double, y double")
+    got = relax.relaxed(df, at, w, h, 1, 0.5, 1.5).collect()
+    assert len(got) == n and {(r["x"], r["y"]) for r in got} == {((9 * 999983 + 1) / 2 / relax.GRAIN, 2.0)}
