@@ -3,8 +3,8 @@
 Documents are dealt to shards of bounded size by content: a document's keys are the terms that consistent sampling draws
 from it, rare terms with more weight, so that two documents get the same first key as often as their weighted terms
 agree. Shards are ranges of these keys, and a key of more documents than a shard holds is split by the keys after it. A
-shard builds a BM25 inverted index over the token ids of its pieces, with the inverse document frequencies of a sample of
-the whole table; each seed, the longest piece that is left, asks it for its unused neighbours, and these fill the seed's window in order
+shard builds a BM25 inverted index over the token ids of its pieces, with the inverse document frequencies of the
+whole table; each seed, the longest piece that is left, asks it for its unused neighbours, and these fill the seed's window in order
 of their scores. A neighbour that doesn't fit whole is passed over while another fits, and the best one left is cut to
 close the window, so that only a shard's last sequence is padded. What is left of a cut document goes back to the
 pool. Documents longer than a window fill whole windows first.
@@ -31,8 +31,6 @@ from plumbline.llm.tokens import default_path, encoder
 WINDOW, END_ID = 2048, 1
 #: Text bytes of a shard.
 SHARD_BYTES = 8 << 20
-#: Text bytes from which terms' document frequencies are taken.
-SAMPLE_BYTES = 32 << 20
 #: BM25's parameters.
 K1, B = 1.2, 0.75
 #: Keys of a document, and the power of the inverse document frequency that weighs a term in them.
@@ -234,11 +232,10 @@ def pack_shards(idf: np.ndarray, window: int, most: int) -> Callable[[Batches],
     return run
 
 
-def frequencies(docs: DataFrame, path: str, share: float) -> np.ndarray:
-    """Inverse document frequency by token id, from about ``share`` of the documents, chosen by their content."""
-    every = max(1, round(1 / share))
-    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).mapInArrow(count_terms(path), "term long, n long")
-    got = {r.term: r.n for r in some.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # bounded by the vocabulary
+def frequencies(docs: DataFrame, path: str) -> np.ndarray:
+    """Inverse document frequency by token id, over all documents."""
+    every = docs.mapInArrow(count_terms(path), "term long, n long")
+    got = {r.term: r.n for r in every.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # bounded by the vocabulary
     df = np.zeros(encoder(path).library.get_vocab_size(), np.int64)
     n = got.pop(-1, 0)
     df[list(got)] = list(got.values())
@@ -250,7 +247,7 @@ def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard
     small_batches(docs.sparkSession)
     docs, path = docs.select("doc_id", "text"), path or default_path()
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    idf = frequencies(docs, path, min(1.0, SAMPLE_BYTES / max(1, total)))
+    idf = frequencies(docs, path)
     ids = materialise(docs.mapInArrow(encode(path, idf), ENCODED), "ids")
     n_ids = ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     shards, by = max(1, -(-total // shard_bytes)), [f"key{k}" for k in range(KEYS)]

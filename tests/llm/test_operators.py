@@ -575,3 +575,19 @@ def test_equal_rows_leak_once(spark):
     got = decontaminate.leaks(docs, items).collect()
     assert Counter((r.doc_id, r.item_id, r.first_token) for r in got) == Counter({(d, i, f): 1 for d, f in ((1, 1), (1, 0), (None, 0)) for i in (7, 8)})
     assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [2]
+
+
+def test_document_frequencies_are_those_of_every_text(spark):
+    """Also of texts beyond what was once a sample: each rare word stands in one of them."""
+    made = [(k, f"common {'filler ' * 2000}{w}") for k, w in enumerate(f"zq{n}x{n * 7}" for n in range(24))]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    batches = docs.select("text").toArrow().to_batches()
+    n, df = 0, Counter()
+    for _, ids, of in packing.encoded(default_path(), iter(batches)):
+        for a, b in itertools.pairwise(of.tolist()):
+            df.update(set(ids[a:b].tolist()))
+            n += 1
+    got = packing.frequencies(docs, default_path())
+    want = np.zeros(len(got), np.int64)
+    want[list(df)] = list(df.values())
+    assert n == len(made) and np.allclose(got, packing.inverse(n, want))
