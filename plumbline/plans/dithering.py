@@ -41,7 +41,16 @@ def threshold_dots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def threshold_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each image's dots, the ink they lay down with what they spill, and the ink wanted."""
     got = dither.inked(dither.threshold(cells(spark, sf_dir), links(spark), EXTRA, DEGREE, SEED), links(spark), EXTRA, DEGREE)
-    return got.groupBy("img").agg(F.sum(F.col("drawn").cast("long")).alias("dots"), S.quantised(F.sum("ink"), 1e4).alias("ink"), S.quantised(F.sum("k"), 1e4).alias("wanted"))
+    return tone(got)
+
+
+def tone(inked: DataFrame) -> DataFrame:
+    """(img, dots, ink, wanted) of ``inked`` (img, pid, k, drawn, ink). What is wanted adds up from the darkest cell on, as in the
+    SQL: in some images it is an exact half of the unit, which the order of adding rounds up or down. A lattice bounds the cells."""
+    cells = F.array_sort(F.collect_list(F.struct("code", "pid", "k")))
+    wanted = F.aggregate(cells, F.lit(0.0), lambda s, c: s + c["k"])
+    sums = F.sum(F.col("drawn").cast("long")).alias("dots"), S.quantised(F.sum("ink"), 1e4).alias("ink"), S.quantised(wanted, 1e4).alias("wanted")
+    return dither.coded(inked, SEED).groupBy("img").agg(*sums)
 
 
 def blurred_error(pattern: DataFrame, scale: float = 1.0) -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from plumbline.operators import dither, tiles
+from plumbline.plans import dithering
 
 
 def lattice(spark, cols, rows, hexagonal, images):
@@ -110,3 +111,18 @@ def test_tiles_side_by_side_are_swapped_like_each_alone():
     dots = lambda df: df.groupby("img")["drawn"].sum().tolist()
     assert len(alone) == len(was) and dots(alone) == dots(was)
     assert (alone["drawn"].to_numpy() != was["drawn"].to_numpy()).any()
+
+
+def test_wanted_ink_at_a_half_adds_up_from_the_darkest_cell(spark):
+    """However the rows come; sums in these orders lie on both sides of the half."""
+    dark = [0.9, 0.8, 0.7, 0.35005, 0.1, 0.3]
+    rows = [(img, p, k, 0, 0.0) for img in range(8) for p, k in enumerate(dark if img % 2 else dark[::-1])]
+    schema = "img int, pid long, k double, drawn int, ink double"
+    code = {(r["img"], r["pid"]): r["code"] for r in dither.coded(spark.createDataFrame(rows, schema), dithering.SEED).collect()}
+    want = {}
+    for img, _, k, _, _ in sorted(rows, key=lambda r: (r[0], code[r[:2]], r[1])):
+        want[img] = want.get(img, 0.0) + k
+    want = {img: math.floor(s * 1e4 + 0.5) for img, s in want.items()}
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: r[2])):
+        got = dithering.tone(spark.createDataFrame(order, schema).coalesce(1))
+        assert {r["img"]: r["wanted"] for r in got.collect()} == want
