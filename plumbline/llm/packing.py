@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import arrays
-from plumbline.llm.common import materialise, small_batches, table
+from plumbline.llm.common import materialise, release, small_batches, table
 from plumbline.llm.tokens import default_path, encoder
 
 WINDOW, END_ID = 2048, 1
@@ -38,7 +38,8 @@ KEYS, RARE = 3, 2.0
 #: Terms in more than this share of a shard's documents have their scores in full rows.
 HOT = 0.125
 Batches = Iterator[pa.RecordBatch]
-ENCODED = "doc_id long, ids binary, " + ", ".join(f"key{k} long" for k in range(KEYS))
+PLAIN = "doc_id long, ids binary"
+ENCODED = f"{PLAIN}, " + ", ".join(f"key{k} long" for k in range(KEYS))
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -89,23 +90,39 @@ class Index:
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def keys(ids: np.ndarray, offsets: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """KEYS numbers for each document, by consistent weighted sampling of its distinct terms; -1 for none."""
+def keys(ids: np.ndarray, offsets: np.ndarray, drawn: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """KEYS numbers for each document, by consistent weighted sampling of its distinct terms; -1 for none. ``drawn``: the
+    :func:`draws` of each key."""
     n = len(offsets) - 1
-    pair = np.unique(np.repeat(np.arange(n), np.diff(offsets)) << 32 | ids.astype(np.int64))
-    doc, term = pair >> 32, pair & 0xFFFFFFFF
+    doc, term = distinct(ids, offsets)
     out = np.full((KEYS, n), -1, np.int64)
-    weight = np.maximum(idf[term], 1e-6) ** RARE
     first = np.searchsorted(doc, np.arange(n))
     some = np.flatnonzero(np.diff(np.append(first, len(doc))))
-    for k in range(KEYS if len(some) else 0):
-        mixed = arrays.mix(term.astype(np.uint64) + np.uint64((k + 1) << 40))
-        draw = -np.log(((mixed >> np.uint64(11)).astype(np.float64) + 1) / (1 << 53)) / weight
-        order = np.lexsort((draw, doc))
-        out[k, some] = (mixed[order[first[some]]] >> np.uint64(1)).astype(np.int64)
+    for k, (mixed, draw) in enumerate(drawn if len(some) else []):
+        of = draw[term]
+        # The least draw of each document, the first of equal ones.
+        least = np.repeat(np.minimum.reduceat(of, first[some]), np.diff(np.append(first[some], len(doc))))
+        at = np.flatnonzero(of == least)
+        at = at[np.diff(doc[at], prepend=-1) != 0]
+        out[k, some] = (mixed[term[at]] >> np.uint64(1)).astype(np.int64)
     return out
 
 
+def distinct(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, term) once each, in order."""
+    pair = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)) << 32 | ids.astype(np.int64)
+    pair.sort()
+    pair = pair[np.diff(pair, prepend=-1) != 0]
+    return pair >> 32, pair & 0xFFFFFFFF
+
+
+def draws(k: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number and draw of each token id for the ``k``-th key."""
+    mixed = arrays.mix(np.arange(len(idf), dtype=np.uint64) + np.uint64((k + 1) << 40))
+    draw = -np.log(((mixed >> np.uint64(11)).astype(np.float64) + 1) / (1 << 53)) / np.maximum(idf, 1e-6) ** RARE
+    return mixed, draw
+
+
 def pack(ids: np.ndarray, offsets: np.ndarray, window: int = WINDOW, idf: np.ndarray | None = None) -> list[tuple[int, int, int, int, int]]:
     """(document, first id, number of ids, sequence, offset in it) of every piece."""
     n = len(offsets) - 1
@@ -168,14 +185,32 @@ def encoded(path: str, batches: Batches) -> Iterator[tuple[pa.RecordBatch, np.nd
         yield batch, np.insert(got, of[1:], END_ID), of + np.arange(len(of))
 
 
-def count_terms(path: str) -> Callable[[Batches], Batches]:
-    """(term, number of documents that hold it) of a task's rows; the number of documents as that of term -1."""
+def encode(path: str) -> Callable[[Batches], Batches]:
+    """Token ids of each text."""
 
     def run(batches: Batches) -> Batches:
-        df, n = np.zeros(encoder(path).library.get_vocab_size(), np.int64), 0
         for batch, ids, of in encoded(path, batches):
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(of))
-            df += np.bincount(np.unique(doc << 32 | ids.astype(np.int64)) & 0xFFFFFFFF, minlength=len(df))
+            flat = pa.py_buffer(ids.astype("<u4"))
+            blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(4 * of.astype(np.int64)), flat])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), blob.cast(pa.binary())], ["doc_id", "ids"])
+
+    return run
+
+
+def read(batches: Batches) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, token ids, offsets) of encoded texts."""
+    for batch in arrays.pieces(batches, "ids"):
+        data, of = arrays.buffer(batch.column("ids"))
+        yield batch, np.frombuffer(data.tobytes(), "<u4"), of // 4
+
+
+def count_terms(size: int) -> Callable[[Batches], Batches]:
+    """(term, number of documents that hold it) of a task's rows; the number of documents as that of term -1."""
+
+    def run(batches: Batches) -> Batches:
+        df, n = np.zeros(size, np.int64), 0
+        for batch, ids, of in read(batches):
+            df += np.bincount(distinct(ids, of)[1], minlength=size)
             n += batch.num_rows
         term = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(term, -1)), pa.array(np.append(df[term], n))], ["term", "n"])
@@ -183,14 +218,13 @@ def count_terms(path: str) -> Callable[[Batches], Batches]:
     return run
 
 
-def encode(path: str, idf: np.ndarray) -> Callable[[Batches], Batches]:
-    """Token ids and keys of each text."""
+def keyed(idf: np.ndarray) -> Callable[[Batches], Batches]:
+    """Encoded texts with their keys."""
 
     def run(batches: Batches) -> Batches:
-        for batch, ids, of in encoded(path, batches):
-            flat = pa.py_buffer(ids.astype("<u4"))
-            blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(4 * of.astype(np.int64)), flat])
-            columns = [batch.column("doc_id"), blob.cast(pa.binary()), *map(pa.array, keys(ids, of, idf))]
+        drawn = [draws(k, idf) for k in range(KEYS)]
+        for batch, ids, of in read(batches):
+            columns = [batch.column("doc_id"), batch.column("ids"), *map(pa.array, keys(ids, of, drawn))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", *(f"key{k}" for k in range(KEYS))])
 
     return run
@@ -234,9 +268,14 @@ def pack_shards(idf: np.ndarray, window: int, most: int) -> Callable[[Batches],
 
 def frequencies(docs: DataFrame, path: str) -> np.ndarray:
     """Inverse document frequency by token id, over all documents."""
-    every = docs.mapInArrow(count_terms(path), "term long, n long")
+    return counted(docs.select("doc_id", "text").mapInArrow(encode(path), PLAIN), encoder(path).library.get_vocab_size())
+
+
+def counted(ids: DataFrame, size: int) -> np.ndarray:
+    """The same from encoded documents."""
+    every = ids.select("ids").mapInArrow(count_terms(size), "term long, n long")
     got = {r.term: r.n for r in every.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # bounded by the vocabulary
-    df = np.zeros(encoder(path).library.get_vocab_size(), np.int64)
+    df = np.zeros(size, np.int64)
     n = got.pop(-1, 0)
     df[list(got)] = list(got.values())
     return inverse(n, df)
@@ -247,8 +286,11 @@ def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard
     small_batches(docs.sparkSession)
     docs, path = docs.select("doc_id", "text"), path or default_path()
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    idf = frequencies(docs, path)
-    ids = materialise(docs.mapInArrow(encode(path, idf), ENCODED), "ids")
+    # Texts are encoded once; what is counted over all of them, and their keys, come from the ids.
+    plain = materialise(docs.mapInArrow(encode(path), PLAIN), "plain-ids")
+    idf = counted(plain, encoder(path).library.get_vocab_size())
+    ids = materialise(plain.mapInArrow(keyed(idf), ENCODED), "ids")
+    release(plain)
     n_ids = ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     shards, by = max(1, -(-total // shard_bytes)), [f"key{k}" for k in range(KEYS)]
     dealt = ids.repartitionByRange(shards, *by, "doc_id").sortWithinPartitions(*by, "doc_id", "ids")

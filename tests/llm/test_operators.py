@@ -591,3 +591,29 @@ def test_document_frequencies_are_those_of_every_text(spark):
     want = np.zeros(len(got), np.int64)
     want[list(df)] = list(df.values())
     assert n == len(made) and np.allclose(got, packing.inverse(n, want))
+
+
+def test_texts_are_encoded_once_for_packing(spark):
+    """They are read for their size and for their ids, and not again for document frequencies."""
+    made = [(i, " ".join(f"w{(i * 7 + k * k) % 50}" for k in range(1 + i % 30))) for i in range(60)] + [(60, None), (61, "")]
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            met.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame(made, "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    assert {r.doc_id for r in packing.pieces(docs, window=64).collect()} == {d for d, _ in made}
+    assert met.value == 2 * len(made)
+
+
+def test_keys_are_the_terms_of_the_least_draws():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 300, n) for n in (40, 0, 1, 200, 40)]
+    ids, offsets, idf = np.concatenate(texts), np.cumsum([0, *map(len, texts)]), rng.random(300) * 5
+    drawn = [packing.draws(k, idf) for k in range(packing.KEYS)]
+    got = packing.keys(ids, offsets, drawn)
+    for d, text in enumerate(texts):
+        want = [int(mixed[min(set(text.tolist()), key=lambda t: (draw[t], t))] >> np.uint64(1)) if len(text) else -1 for mixed, draw in drawn]  # noqa: B023
+        assert got[:, d].tolist() == want
