@@ -64,25 +64,38 @@ def radial(spark: SparkSession, w: int, h: int) -> DataFrame:
 def counted(rows: DataFrame, w: int, h: int) -> DataFrame:
     """Raster of each image of ``rows`` (img, ix, iy): the more rows a pixel has, the darker it is; the fullest is black.
 
-    Counts are taken before the shuffle; the grid of missing pixels is made from the image names alone.
+    Counts are taken before the shuffle, and an image's full pixels come together as one row, which is filled up with the
+    empty ones there: a whole grid never goes through a shuffle, and whatever is grouped by image next needs none. An image
+    without a name stays white.
     """
-    counts = rows.groupBy("img", "ix", "iy").agg(F.count("*").alias("n"))
-    most = counts.groupBy("img").agg(F.max("n").alias("most"))
-    cells = most.select("img", "most", F.explode(F.sequence(F.lit(0), F.lit(w * h - 1))).alias("c"))
-    cells = cells.select("img", "most", (F.col("c") % w).cast("int").alias("ix"), F.floor(F.col("c") / w).cast("int").alias("iy"))
-    joined = cells.join(counts, ["img", "ix", "iy"], "left")
-    return joined.select("img", "ix", "iy", (1 - F.coalesce("n", F.lit(0)) / F.col("most")).cast("double").alias("v"))
+    cell = (F.col("iy") * w + F.col("ix")).cast("int")
+    counts = rows.groupBy("img", "ix", "iy").agg(F.count("*").alias("n")).select("img", cell.alias("c"), "n")
+    counts = counts.withColumn("n", F.when(F.col("img").isNull(), 0).otherwise(F.col("n")))
+    full = counts.groupBy("img").agg(F.greatest(F.lit(1), F.max("n")).alias("most"), F.array_sort(F.collect_list(F.struct("c", "n"))).alias("s"))
+    none = F.array(F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("n")))
+    full = full.select("img", "most", F.when(F.col("s")[0]["c"] > 0, F.concat(none, "s")).otherwise(F.col("s")).alias("s"))
+    # Each full pixel with the empty ones up to the next.
+    next_ = lambda i: F.coalesce(F.get("s", i + 1)["c"], F.lit(w * h))
+    zero = F.lit(0).cast("long")
+    fill = F.flatten(F.transform("s", lambda e, i: F.concat(F.array(e["n"]), F.array_repeat(zero, next_(i) - e["c"] - 1))))
+    cells = full.select("img", "most", F.posexplode(fill).alias("c", "n"))
+    return cells.select("img", (F.col("c") % w).cast("int").alias("ix"), F.floor(F.col("c") / w).cast("int").alias("iy"), (1 - F.col("n") / F.col("most")).cast("double").alias("v"))
 
 
 LI_W, LI_H, EV_W, EV_H = 50, 11, 24, 30
 
 
-def lineitem_raster(spark: SparkSession, sf_dir: str, img: Column | None = None) -> DataFrame:
-    """Quantity by discount, an image for each return flag."""
+def lineitem_cells(spark: SparkSession, sf_dir: str, img: Column | None = None) -> DataFrame:
+    """(img, ix, iy): each line item's pixel, quantity by discount; an image for each return flag."""
     rows = table(spark, sf_dir, "lineitem").select(
         (F.col("l_returnflag") if img is None else img).alias("img"), (F.col("l_quantity").cast("int") - 1).alias("ix"), F.floor(F.col("l_discount") * 100 + 0.5).cast("int").alias("iy")
     )
-    return counted(rows.where(f"ix between 0 and {LI_W - 1} and iy between 0 and {LI_H - 1}"), LI_W, LI_H)
+    return rows.where(f"ix between 0 and {LI_W - 1} and iy between 0 and {LI_H - 1}")
+
+
+def lineitem_raster(spark: SparkSession, sf_dir: str, img: Column | None = None) -> DataFrame:
+    """Quantity by discount, an image for each return flag."""
+    return counted(lineitem_cells(spark, sf_dir, img), LI_W, LI_H)
 
 
 def whole_lineitem_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
