@@ -216,13 +216,15 @@ def svg_lines(paths: DataFrame, by: str, width: float, height: float, pen: float
     """(layer, line, text): the lines of each layer's SVG drawing in millimetres, one for each path between a head and a
     foot, so that a drawing of any size is rows to be written in order and never one string."""
     order = Window.partitionBy(by).orderBy("path_id")
-    body = svg_paths(paths, [by]).select(by, (F.row_number().over(order) + 1).cast("long").alias("line"), F.concat(F.lit('<path d="'), "d", F.lit('"/>')).alias("text"))
-    last = body.groupBy(by).agg(F.max("line").alias("last"))
+    line = lambda n, t: F.struct(n.cast("long").alias("line"), t.alias("text"))
+    body = svg_paths(paths, [by]).select(by, (F.row_number().over(order) + 1).alias("n"), F.lead(F.lit(1)).over(order).isNull().alias("end"), F.concat(F.lit('<path d="'), "d", F.lit('"/>')).alias("text"))
     head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{width:g}mm" height="{height:g}mm" viewBox="0 0 {width:g} {height:g}">'
     group = f'<g fill="none" stroke="#000" stroke-linecap="round" stroke-linejoin="round" stroke-width="{pen:g}">'
-    frame = [(F.lit(0), head), (F.lit(1), group), (F.col("last") + 1, "</g>"), (F.col("last") + 2, "</svg>")]
-    around = last.select(by, F.explode(F.array(*[F.struct(n.cast("long").alias("line"), F.lit(t).alias("text")) for n, t in frame])).alias("e"))
-    return body.unionByName(around.select(by, "e.line", "e.text"))
+    own, n = F.array(line(F.col("n"), F.col("text"))), F.col("n")
+    # The first path brings the head, the last one the foot, so that paths are gathered once.
+    with_head = F.when(n == 2, F.concat(F.array(line(F.lit(0), F.lit(head)), line(F.lit(1), F.lit(group))), own)).otherwise(own)
+    lines = F.when(F.col("end"), F.concat(with_head, F.array(line(n + 1, F.lit("</g>")), line(n + 2, F.lit("</svg>"))))).otherwise(with_head)
+    return body.select(by, F.explode_outer(lines).alias("e")).select(by, "e.line", "e.text")
 
 
 def _area_kept(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:

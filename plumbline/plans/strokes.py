@@ -83,7 +83,9 @@ def _strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short paths in order, a layer for each supplier: one or two points from a line item's numbers."""
     li = rasters.table(spark, sf_dir, "lineitem")
     x, y = F.floor(F.col("l_quantity")).cast("double"), F.floor(F.col("l_discount") * 100 + 0.5).cast("double")
+    # All that follows goes layer by layer, and needs no other shuffle.
     rows = li.select(F.col("l_suppkey").cast("string").alias("layer"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("path_id"), x.alias("x"), y.alias("y"), "l_partkey")
+    rows = rows.repartition(parts(spark, 2 * li.count()), "layer")
     grouped = rows.groupBy("layer", "path_id").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.min("l_partkey").alias("k"))
     ends = F.array(F.struct(F.lit(0).alias("seq"), F.col("x").alias("x"), F.col("y").alias("y")), F.struct(F.lit(1).alias("seq"), (F.col("x") + F.pmod("k", F.lit(3))).alias("x"), (F.col("y") + 1).alias("y")))
     return grouped.select("layer", "path_id", F.explode(F.when(F.pmod("path_id", F.lit(7)) == 0, F.slice(ends, 1, 1)).otherwise(ends)).alias("e")).select("layer", "path_id", "e.*")
