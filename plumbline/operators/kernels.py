@@ -3,30 +3,77 @@ spreads the groups. Each kernel is a short loop over arrays; everything around i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def visiting_order(ends: DataFrame, by: str) -> DataFrame:
+#: Paths of several layers that are put in order side by side, and steps after which those visited are left behind.
+SIDE_BY_SIDE, STEPS = 1 << 15, 32
+
+
+def nearest_first(layer: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows in the order of visits, layer after layer; whether each is reversed) of paths from ``a`` to ``b``, whose layers
+    (numbers) follow each other. Every layer goes one step at a time, all beside each other."""
+    first = np.flatnonzero(np.diff(layer, prepend=-1))
+    size = np.diff(np.append(first, len(layer)))
+    most = int(size.max())
+    left = first[:, None] + np.arange(most)
+    shut = np.arange(most) >= size[:, None]
+    left[shut] = 0
+    ends = [p[left, c] for p in (a, b) for c in (0, 1)]
+    x, y = np.zeros((2, len(first), 1))
+    rows, out = np.arange(len(first)), np.zeros((2, len(first), most), np.int64)
+    for k in range(most):
+        if k % STEPS == 0 and k:
+            keep = np.argsort(shut, axis=1, kind="stable")[:, : most - k]
+            left, shut, *ends = (np.take_along_axis(v, keep, 1) for v in (left, shut, *ends))
+        ax, ay, bx, by = ends
+        da, db = (ax - x) ** 2 + (ay - y) ** 2, (bx - x) ** 2 + (by - y) ** 2
+        i = np.where(shut, np.inf, np.minimum(da, db)).argmin(1)
+        turn = db[rows, i] < da[rows, i]
+        out[0, :, k], out[1, :, k] = left[rows, i], turn
+        # A layer that is through stays where it is.
+        on = k < size
+        x, y = (np.where(on, np.where(turn, p[rows, i], q[rows, i]), 0.0)[:, None] for p, q in ((ax, bx), (ay, by)))
+        shut[rows, i] = True
+    made = np.arange(most) < size[:, None]
+    return out[0][made], out[1][made].astype(bool)
+
+
+def visiting_order(ends: DataFrame, by: str, parts: int | None = None) -> DataFrame:
     """Order of each layer's paths (path_id, ax, ay, bx, by_) by the nearest end from where the pen is, starting at the
     origin; a path is reversed where its far end is the nearer one."""
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("path_id").reset_index(drop=True)
-        a, b = pdf[["ax", "ay"]].to_numpy(), pdf[["bx", "by_"]].to_numpy()
-        left, at, out = np.ones(len(pdf), bool), np.zeros(2), []
-        for _ in range(len(pdf)):
-            da, db = ((a - at) ** 2).sum(1), ((b - at) ** 2).sum(1)
-            i = int(np.where(left, np.minimum(da, db), np.inf).argmin())
-            turn = bool(db[i] < da[i])
-            out.append((i, turn))
-            at, left[i] = (a if turn else b)[i], False
-        picked = pdf.iloc[[i for i, _ in out]]
-        return pd.DataFrame({by: picked[by], "path_id": picked["path_id"], "place": range(len(out)), "reversed": [t for _, t in out]})
-
-    return ends.select(by, "path_id", "ax", "ay", "bx", "by_").groupBy(by).applyInPandas(solve, f"{by} string, path_id long, place long, reversed boolean")
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        layer = pdf.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+        at, turned = nearest_first(layer, pdf[["ax", "ay"]].to_numpy(), pdf[["bx", "by_"]].to_numpy())
+        place = np.arange(len(pdf)) - np.searchsorted(layer, layer)
+        return pd.DataFrame({by: pdf[by].to_numpy(), "path_id": pdf["path_id"].to_numpy()[at], "place": place, "reversed": turned})
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) < SIDE_BY_SIDE:
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            # The last layer may go on in the next batch.
+            end = rows[by].iloc[-1]
+            last = rows[by].isna() if pd.isna(end) else rows[by] == end
+            if not last.all():
+                yield whole(rows[~last])
+            held = [rows[last]]
+        if held and sum(map(len, held)):
+            yield whole(pd.concat(held, ignore_index=True))
+
+    rows = ends.select(by, "path_id", "ax", "ay", "bx", "by_")
+    # A layer's rows lie together and in order, those of many layers in one task.
+    lying = (rows.repartition(parts, by) if parts else rows.repartition(by)).sortWithinPartitions(by, F.col("path_id").asc_nulls_last())
+    return lying.mapInPandas(solve, f"{by} string, path_id long, place long, reversed boolean")
 
 
 def packed_circles(raster: DataFrame, least: float, most: float) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import scalar as S
 from plumbline.operators import iterative, kernels, paths, trees
+from plumbline.operators.rounds import parts
 from plumbline.plans import sql
 from plumbline.plans.sql import q
 from plumbline.plans.strokes import STROKES, _strokes
@@ -95,7 +96,7 @@ SELECT img, path, n, {q("list_sum(list_transform(p, lambda c: c.m * (c.x + 1)))
 
 def path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = paths.ends_of(_strokes(spark, sf_dir), ["layer"])
-    return kernels.visiting_order(e.select("layer", "path_id", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by_")), "layer")
+    return kernels.visiting_order(e.select("layer", "path_id", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by_")), "layer", parts(spark, rasters.table(spark, sf_dir, "lineitem").count()))
 
 
 def order_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
