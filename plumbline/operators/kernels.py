@@ -134,27 +134,89 @@ def dashes(demand: DataFrame, pen: float, length: float, step: float) -> DataFra
     return demand.select("img", "line", "k", "owed").groupBy("img").applyInPandas(solve, "img string, line int, a double, b double")
 
 
+def _mesh(p: np.ndarray) -> np.ndarray:
+    """(triangles, 3): the Delaunay mesh of points whose last three are the corners of a triangle around all others, which come
+    in one at a time: the triangles whose circles hold a point go, and the hole's border is joined to it.
+
+    The hole is found from the triangle that the point lies in, and that one by a walk from a point near by, so that a point
+    costs about the same however many there are."""
+    if not np.isfinite(p).all():
+        return np.zeros((0, 3), int)
+    n, xy = len(p) - 3, p.tolist()
+    # Corners of each triangle, anticlockwise, and the triangles across the sides opposite to them.
+    tri, near, of = [(n, n + 1, n + 2)], [[-1, -1, -1]], [0] * (n + 3)
+    low, span = p[:n].min(0).tolist(), float(max(np.ptp(p[:n], axis=0).max(), 1e-300))
+    side, grid, last = 1, {}, 0
+
+    def bucket(k: int) -> tuple[int, int]:
+        return int((xy[k][0] - low[0]) / span * side), int((xy[k][1] - low[1]) / span * side)
+
+    def holds(t: int, x: float, y: float) -> bool:
+        (ax, ay), (bx, by), (cx, cy) = (xy[k] for k in tri[t])
+        ax, ay, bx, by, cx, cy = ax - x, ay - y, bx - x, by - y, cx - x, cy - y
+        return (ax * ax + ay * ay) * (bx * cy - by * cx) - (bx * bx + by * by) * (ax * cy - ay * cx) + (cx * cx + cy * cy) * (ax * by - ay * bx) > 0
+
+    def found(t: int, x: float, y: float) -> int:
+        for _ in range(len(tri)):
+            for k in range(3):
+                (ux, uy), (vx, vy) = xy[tri[t][(k + 1) % 3]], xy[tri[t][(k + 2) % 3]]
+                if (vx - ux) * (y - uy) - (vy - uy) * (x - ux) < 0 and near[t][k] >= 0:
+                    t = near[t][k]
+                    break
+            else:
+                break
+        return t if holds(t, x, y) else next((k for k in range(len(tri)) if holds(k, x, y)), -1)
+
+    def bordered(hole: set[int]) -> list[tuple[int, int, int]]:
+        sides = ((tri[t][(k + 1) % 3], tri[t][(k + 2) % 3], near[t][k]) for t in hole for k in range(3))
+        return [(u, v, o) for u, v, o in sides if o not in hole]
+
+    for i in range(n):
+        if i > 2 * side * side:
+            side *= 2
+            grid = {bucket(k): k for k in range(i)}
+        x, y = xy[i]
+        first = found(of[grid.get(bucket(i), last)], x, y)
+        if first < 0:
+            continue
+        hole, todo = {first}, [first]
+        while todo:
+            for o in near[todo.pop()]:
+                if o >= 0 and o not in hole and holds(o, x, y):
+                    hole.add(o)
+                    todo.append(o)
+        ring = bordered(hole)
+        if len(ring) != len(hole) + 2 or len({u for u, _, _ in ring}) < len(ring):
+            # Rounding has torn the hole: the triangle that holds the point is cut alone.
+            hole = {first}
+            ring = bordered(hole)
+        free, made = sorted(hole), {}
+        while len(free) < len(ring):
+            free.append(len(tri))
+            tri.append((0, 0, 0))
+            near.append([-1, -1, -1])
+        for (u, v, o), t in zip(ring, free, strict=True):
+            made[u] = t
+            if o >= 0:
+                # The triangle outside has the side the other way round.
+                near[o][next(k for k in range(3) if tri[o][(k + 1) % 3] == v and tri[o][(k + 2) % 3] == u)] = t
+            tri[t], near[t] = (u, v, i), [-1, -1, o]
+            of[u] = of[i] = t
+        for u, v, _ in ring:
+            near[made[u]][0], near[made[v]][1] = made[v], made[u]
+        grid[bucket(i)] = last = i
+    return np.array(tri)
+
+
 def triangles(points: DataFrame) -> DataFrame:
-    """(key, a, b, c): Delaunay triangulation of each key's points (key, pid, x, y) by inserting one at a time: the
-    triangles whose circles hold the point go, and the hole's border is joined to it."""
+    """(key, a, b, c): Delaunay triangulation of each key's points (key, pid, x, y), which come in by their ids."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pid").drop_duplicates(["x", "y"])
         p = pdf[["x", "y"]].to_numpy(float)
         n, mid = len(p), p.mean(0)
         far = 1e3 * max(1.0, np.ptp(p, axis=0).max())
-        p = np.vstack([p, mid + far * np.array([[-2, -1], [2, -1], [0, 2]])])
-        tri = np.array([[n, n + 1, n + 2]])
-        cross = lambda u, v: u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]
-        for i in range(n):
-            a, b, c = (p[tri[:, k]] - p[i] for k in range(3))
-            det = (a**2).sum(1) * cross(b, c) - (b**2).sum(1) * cross(a, c) + (c**2).sum(1) * cross(a, b)
-            hit = det > 0
-            sides = np.concatenate([tri[hit][:, [0, 1]], tri[hit][:, [1, 2]], tri[hit][:, [2, 0]]])
-            key = np.sort(sides, 1)
-            _, first, count = np.unique(key, axis=0, return_index=True, return_counts=True)
-            border = sides[first[count == 1]]
-            tri = np.vstack([tri[~hit], np.column_stack([border, np.full(len(border), i)])])
+        tri = _mesh(np.vstack([p, mid + far * np.array([[-2, -1], [2, -1], [0, 2]])]))
         tri = tri[(tri < n).all(1)]
         ids = pdf["pid"].to_numpy()[np.sort(tri, 1)] if len(tri) else np.zeros((0, 3), int)
         return pd.DataFrame(ids, columns=["a", "b", "c"]).assign(key=pdf["key"].iloc[0])[["key", "a", "b", "c"]]

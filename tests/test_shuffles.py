@@ -1,5 +1,7 @@
 """Steps whose rows meet once: what goes through a shuffle, and that results are those of plain versions."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -76,3 +78,25 @@ def test_layers_side_by_side_are_visited_like_each_alone(spark, monkeypatch, sid
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == want
+
+
+def test_a_mesh_costs_each_point_alike_and_has_empty_circles():
+    """Twelve thousand points take seconds, where each against all triangles took a minute; a grid's circles hold four."""
+    rng = np.random.default_rng(4)
+    grid = rng.permutation(np.array([(x, y) for x in range(12) for y in range(12)], float))
+    for points, faces in ((rng.random((300, 2)) * 50, None), (grid, 2 * 11 * 11)):
+        n = len(points)
+        mesh = kernels._mesh(np.vstack([points, points.mean(0) + 1e5 * np.array([[-2, -1], [2, -1], [0, 2]])]))
+        inner = mesh[(mesh < n).all(1)]
+        assert len(mesh) == 2 * n + 1 and (faces is None or len(inner) == faces)
+        a, b, c = (points[inner[:, k]] for k in range(3))
+        cross = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
+        assert (cross(b - a, c - a) > 0).all()
+        for q in points:
+            u, v, w = a - q, b - q, c - q
+            det = (u**2).sum(1) * cross(v, w) - (v**2).sum(1) * cross(u, w) + (w**2).sum(1) * cross(u, v)
+            assert (det <= 1e-6).all()
+    points = rng.random((12000, 2)) * 50
+    began = time.process_time()
+    mesh = kernels._mesh(np.vstack([points, points.mean(0) + 1e5 * np.array([[-2, -1], [2, -1], [0, 2]])]))
+    assert len(mesh) == 24001 and time.process_time() - began < 12
