@@ -122,30 +122,52 @@ def halves(cuts: DataFrame) -> DataFrame:
     return c.select("img", "path", "nx", "ny", "at", part(lambda p: p["d"] < 0).alias("below"), part(lambda p: p["d"] >= 0).alias("above"), F.transform(ordered, lambda e: e["p"]).alias("ends"))
 
 
+def whole_pages(images: DataFrame, page: list[tuple[float, float]], pen: float, w: int) -> tuple[DataFrame, DataFrame]:
+    """(img, path, ring) of each image's page, and its pixels, written down."""
+    whole = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in page])
+    pixels = materialise(directed(images, pen, w).withColumn("path", F.lit("")))
+    return pixels.select("img").distinct().select("img", F.lit("").alias("path"), whole.alias("ring")), pixels
+
+
+def cut(asking: DataFrame, pixels: DataFrame, pen: float) -> DataFrame:
+    """The halves of the polygons that ask for a cut and are bettered by one."""
+    along = F.col("nx") * F.col("x") + F.col("ny") * F.col("y")
+    number = F.greatest(F.lit(0), F.least(F.lit(SWEEP), F.floor((along - F.col("low")) / F.col("span") * (SWEEP + 1)).cast("int")))
+    slices = pixels.join(asking.select("img", "path", "nx", "ny", "low", "span"), ["img", "path"]).groupBy("img", "path", number.alias("slice")).agg(F.sum("k").alias("dark"))
+    return halves(placed(asking, slices, pen))
+
+
+def chords(made: DataFrame) -> DataFrame:
+    """(img, path, x1, y1, x2, y2) of the cuts of :func:`cut`."""
+    return made.select("img", "path", *[F.col("ends")[i][c].alias(f"{c}{i + 1}") for i in (0, 1) for c in "xy"])
+
+
+def first_cuts(images: DataFrame, page: list[tuple[float, float]], pen: float, w: int) -> DataFrame:
+    """The cuts of :func:`cut_up`'s first round; what they leave isn't judged."""
+    polygons, pixels = whole_pages(images, page, pen, w)
+    judged = materialise(aimed(polygons, pixels, pen))
+    return chords(materialise(cut(judged.where("asks"), pixels, pen)))
+
+
 def cut_up(images: DataFrame, page: list[tuple[float, float]], pen: float, w: int, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """The cuts (img, path, x1, y1, x2, y2) that draw each image within a convex page, and the pieces (img, path, ring, n, dark,
     area) that they leave. A piece below a cut has a 0 added to its path, one above a 1."""
-    whole = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in page])
-    pixels = materialise(directed(images, pen, w).withColumn("path", F.lit("")))
-    polygons = pixels.select("img").distinct().select("img", F.lit("").alias("path"), whole.alias("ring"))
+    polygons, pixels = whole_pages(images, page, pen, w)
     cuts: list[DataFrame] = []
     pieces: list[DataFrame] = []
     left = ["img", "path", "ring", "n", "dark", "area"]
     for depth in range(rounds + 1):
         judged = materialise(aimed(polygons, pixels, pen))
-        asking = judged.where("asks" if depth < rounds else "false")
-        proj = F.col("nx") * F.col("x") + F.col("ny") * F.col("y")
-        number = F.greatest(F.lit(0), F.least(F.lit(SWEEP), F.floor((proj - F.col("low")) / F.col("span") * (SWEEP + 1)).cast("int")))
-        slices = pixels.join(asking.select("img", "path", "nx", "ny", "low", "span"), ["img", "path"]).groupBy("img", "path", number.alias("slice")).agg(F.sum("k").alias("dark"))
-        made = materialise(halves(placed(asking, slices, pen)))
+        made = materialise(cut(judged.where("asks" if depth < rounds else "false"), pixels, pen))
         pieces.append(judged.join(made.select("img", "path"), ["img", "path"], "left_anti").select(*left))
         if made.isEmpty():
             break
-        cuts.append(made.select("img", "path", *[F.col("ends")[i][c].alias(f"{c}{i + 1}") for i in (0, 1) for c in "xy"]))
+        cuts.append(chords(made))
         two = F.explode(F.array(*[F.struct(F.concat("path", F.lit(s)).alias("path"), F.col(c).alias("ring")) for s, c in (("0", "below"), ("1", "above"))]))
         polygons = made.select("img", two.alias("h")).select("img", "h.*")
+        along = F.col("nx") * F.col("x") + F.col("ny") * F.col("y")
         after = pixels.join(made.select("img", "path", "nx", "ny", "at"), ["img", "path"])
-        after = materialise(after.withColumn("path", F.concat("path", F.when(proj < F.col("at"), "0").otherwise("1"))).drop("nx", "ny", "at"))
+        after = materialise(after.withColumn("path", F.concat("path", F.when(along < F.col("at"), "0").otherwise("1"))).drop("nx", "ny", "at"))
         release(pixels)
         pixels = after
     none = images.select("img", F.lit("").alias("path"), *[F.lit(0.0).alias(c) for c in ("x1", "y1", "x2", "y2")]).limit(0)

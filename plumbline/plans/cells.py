@@ -57,7 +57,8 @@ def _cut_up(spark: SparkSession, sf_dir: str, rounds: int = subdivision.ROUNDS)
 
 def first_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cut that halves each supplier's whole page, where one is called for."""
-    return _cut_up(spark, sf_dir, 1)[0].select("img", *[S.quantised(F.col(c), 1e2).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    made = subdivision.first_cuts(rasters.supplier_raster(spark, sf_dir), CUT_PAGE, PEN, LI_W)
+    return made.select("img", *[S.quantised(F.col(c), 1e2).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 def cut_balance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,3 +93,11 @@ def test_tone_of_a_cut_up_ramp_is_within_its_published_shortfall(spark):
     drawn = render.rendered(cuts, ramp, w, h, pen, 4)
     off = [r["target"] - r["rendered"] for r in render.bands(ramp, drawn, w, 10).collect()]
     assert max(map(abs, off)) <= 0.225 and (sum(x * x for x in off) / 10) ** 0.5 <= 0.118, off
+
+
+def test_first_cuts_are_those_of_the_first_round(spark):
+    w, h = 12, 9
+    page = [(0.5, 0.5), (w + 0.5, 0.5), (w + 0.5, h + 0.5), (0.5, h + 0.5)]
+    images = spark.createDataFrame([(img, x, y, (x * (3 + img) + y * y) % 11 / 11) for img in (1, 2) for x in range(w) for y in range(h)], "img int, ix int, iy int, v double")
+    got = sorted(map(tuple, subdivision.first_cuts(images, page, 0.8, w).collect()))
+    assert got and got == sorted(map(tuple, subdivision.cut_up(images, page, 0.8, w, 1)[0].collect()))
