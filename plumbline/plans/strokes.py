@@ -256,12 +256,14 @@ SELECT label, {q("CASE WHEN t < 0 THEN t + pi() ELSE t END", "1e4")} AS theta FR
 def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours among triangles: two for each cell of a supplier's raster that has line items."""
     # Neither grids nor counts are needed: cells with line items are those of their pixels.
-    cell = rasters.lineitem_cells(spark, sf_dir, F.col("l_suppkey")).where("img is not null").distinct()
+    n = rasters.table(spark, sf_dir, "lineitem").count()
+    cell = rasters.lineitem_cells(spark, sf_dir, F.col("l_suppkey")).where("img is not null")
+    cell = cell.repartition(parts(spark, n), "img", "ix", "iy").distinct()
     a = (F.col("img").cast("long") * (LI_H + 1) + F.col("iy")) * (LI_W + 1) + F.col("ix")
     two = F.array(F.struct(F.lit(0).alias("h"), a.alias("v0"), (a + 1).alias("v1"), (a + LI_W + 1).alias("v2")), F.struct(F.lit(1).alias("h"), (a + 1).alias("v0"), (a + LI_W + 2).alias("v1"), (a + LI_W + 1).alias("v2")))
     number = (F.col("img").cast("long") * LI_H + F.col("iy")) * LI_W + F.col("ix")
     f = cell.select(number.alias("n"), F.explode(two).alias("t")).select((F.col("n") * 2 + F.col("t.h")).alias("f"), "t.v0", "t.v1", "t.v2")
-    return geometry.face_neighbours(f, parts(spark, 6 * rasters.table(spark, sf_dir, "lineitem").count()))
+    return geometry.face_neighbours(f, parts(spark, 6 * n))
 
 
 FACE_SQL = f"""
