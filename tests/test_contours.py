@@ -3,7 +3,11 @@
 import random
 from collections import defaultdict
 
-from plumbline.operators import contours
+import pytest
+
+from plumbline.operators import contours, raster
+from plumbline.plans import contours as plan
+from plumbline.sources import rasters
 
 
 def chains(spark, links):
@@ -68,3 +72,39 @@ def test_saddles_part_by_their_middle(spark):
         pairs[r["img"]].add((r["a"], r["b"]))
     # Edges: 0 top, 1 left, 3 right, 4 bottom.
     assert pairs == {"high": {(0, 3), (1, 4)}, "low": {(0, 1), (3, 4)}}
+
+
+def shuffles(df):
+    """Shuffles of the physical plan."""
+    return sum(" Exchange " in f" {line.strip(' +-:*')} " for line in df._jdf.queryExecution().executedPlan().toString().splitlines())
+
+
+def test_cells_meet_their_corners_without_a_shuffle(spark):
+    rows = spark.createDataFrame([("a", x, y) for x in range(5) for y in range(x)], "img string, ix int, iy int")
+    smooth = raster.blur(rasters.counted(rows, 5, 4), 5, 1.2)
+    assert shuffles(contours.segments(smooth, [0.5], 5)) == shuffles(smooth)
+
+
+@pytest.mark.parametrize("side", [1, 3, 128])
+def test_chains_do_not_depend_on_tiles(spark, monkeypatch, side):
+    """Nor on how many stretches are walked at once; a hole in the raster ends a line."""
+    rng = random.Random(6)
+    w, h = 9, 8
+    rows = [(img, x, y, rng.random()) for img in "ab" for x in range(w) for y in range(h) if img != "b" or (x, y) not in {(3, 3), (6, 2)}]
+    df = spark.createDataFrame(rows, "img string, ix int, iy int, v double")
+    parts = contours.segments(df, [0.4, 0.6], w).cache()
+    want = {tuple(r) for r in contours.linked(parts, ["img", "level"]).select("img", "level", "line", "seq", "node", "closed").collect()}
+    at = {(r["img"], r["level"], r[c]): (r[f"x{c}"], r[f"y{c}"]) for r in parts.collect() for c in "ab"}
+    want = {(img, level, line, seq, closed, *at[img, level, node]) for img, level, line, seq, node, closed in want}
+    monkeypatch.setattr(contours, "TILE", side)
+    monkeypatch.setattr(contours, "SIDE_BY_SIDE", 40)
+    got = [tuple(r) for r in contours.lines(df, [0.4, 0.6], w).select("img", "level", "line", "seq", "closed", "x", "y").collect()]
+    assert len(got) == len(want) and set(got) == want and {r[4] for r in got} == {True, False}
+
+
+def test_lines_within_a_tile_are_written_once(spark, monkeypatch):
+    """Rounds of joins are for what crosses a tile's border only."""
+    written = []
+    monkeypatch.setattr(contours, "materialise", lambda df: written.append(df) or df)
+    df = spark.createDataFrame([("a", x, y, float(abs(x - 20) + abs(y - 18))) for x in range(41) for y in range(37)], "img string, ix int, iy int, v double")
+    assert contours.lines(df, [7.5, plan.LEVELS[0]], 41).count() == 4 * 15 + 1 + 5 and len(written) == 1
