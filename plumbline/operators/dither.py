@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import draw
-from plumbline.operators.rounds import materialise, release
+from plumbline.operators.rounds import materialise, release, spread
 
 #: Equal cells are put in order by a draw of at most half this size.
 JITTER = 1e-6
@@ -32,12 +32,14 @@ def coded(cells: DataFrame, seed: int) -> DataFrame:
 
 
 def gains(cells: DataFrame, links: DataFrame, share: float) -> DataFrame:
-    """``cells`` with ``gain``, the ink that each adds when all darker ones are drawn."""
-    asked = cells.select("img", "pid", "code").join(links, "pid")
-    near = cells.select("img", F.col("pid").alias("near"), F.col("code").alias("ncode"))
+    """``cells`` with ``gain``, the ink that each adds when all darker ones are drawn. They are read several times, and so are
+    better written down; tasks grow in number with the links to be met."""
+    met = cells.count() * links.groupBy("pid").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    asked = spread(cells.select("img", "pid", "code").join(links, "pid"), met, "img", "near")
+    near = spread(cells.select("img", F.col("pid").alias("near"), F.col("code").alias("ncode")), met, "img", "near")
     darker = (F.col("ncode") < F.col("code")) | ((F.col("ncode") == F.col("code")) & (F.col("near") < F.col("pid")))
-    met = asked.join(near, ["img", "near"]).groupBy("img", "pid").agg(F.sum(F.when(darker, -share).otherwise(share)).alias("spill"))
-    return cells.join(met, ["img", "pid"], "left").withColumn("gain", 1 + F.coalesce("spill", F.lit(0.0))).drop("spill")
+    spill = spread(asked.join(near, ["img", "near"]).select("img", "pid", F.when(darker, -share).otherwise(share).alias("s")), met, "img", "pid").groupBy("img", "pid").agg(F.sum("s").alias("spill"))
+    return spread(cells, met, "img", "pid").join(spill, ["img", "pid"], "left").withColumn("gain", 1 + F.coalesce("spill", F.lit(0.0))).drop("spill")
 
 
 def threshold(cells: DataFrame, links: DataFrame, extra: float, degree: int, seed: int = 1) -> DataFrame:
@@ -46,7 +48,9 @@ def threshold(cells: DataFrame, links: DataFrame, extra: float, degree: int, see
     The place where the ink reaches that is searched digit by digit of the darkness: each round adds up the gains of one
     image's open digit range in at most 4096 sums, until a range holds few cells; only those are put in order.
     """
-    made = materialise(gains(coded(cells, seed), links, extra / degree))
+    dark = materialise(coded(cells, seed))
+    made = materialise(gains(dark, links, extra / degree))
+    release(dark)
     state = materialise(made.groupBy("img").agg(F.sum("k").alias("want"), F.count("*").alias("n")).select("img", "want", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("at"), "n"))
     left = BITS
     while left > 0 and (state.agg(F.max("n")).first()[0] or 0) > FEW:
@@ -64,7 +68,8 @@ def threshold(cells: DataFrame, links: DataFrame, extra: float, degree: int, see
         release(state)
         state, left = after, shift
     order = Window.partitionBy("img").orderBy("code", "pid").rowsBetween(Window.unboundedPreceding, 0)
-    last = made.join(state, "img").where(F.shiftright("code", left) == F.col("at")).withColumn("run", F.col("base") + F.sum("gain").over(order))
+    placed = spread(made, made.count(), "img")
+    last = placed.join(state, "img").where(F.shiftright("code", left) == F.col("at")).withColumn("run", F.col("base") + F.sum("gain").over(order))
     # Of the two patterns around the wanted ink the nearer one.
     with_it, without = F.abs(F.col("run") - F.col("want")), F.abs(F.col("run") - F.col("gain") - F.col("want"))
     taken = (F.col("run") < F.col("want")) | ((F.col("run") - F.col("gain") < F.col("want")) & (with_it < without))
@@ -73,7 +78,7 @@ def threshold(cells: DataFrame, links: DataFrame, extra: float, degree: int, see
     cut = state.select("img", F.col("at").alias("range")).join(cut, "img", "left")
     before = F.shiftright("code", left) < F.col("range")
     drawn = before | F.coalesce(F.struct("code", "pid") <= F.col("cut"), F.lit(False))
-    return made.join(cut, "img").select("img", "pid", "k", drawn.cast("int").alias("drawn"))
+    return placed.join(cut, "img").select("img", "pid", "k", drawn.cast("int").alias("drawn"))
 
 
 def seeded(cells: DataFrame, extra: float, seed: int = 1) -> DataFrame:

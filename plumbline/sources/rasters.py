@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.rounds import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -61,16 +63,18 @@ def radial(spark: SparkSession, w: int, h: int) -> DataFrame:
     return formula(spark, "radial", w, h)
 
 
-def counted(rows: DataFrame, w: int, h: int) -> DataFrame:
+def counted(rows: DataFrame, w: int, h: int, images: int | None = None) -> DataFrame:
     """Raster of each image of ``rows`` (img, ix, iy): the more rows a pixel has, the darker it is; the fullest is black.
 
     Counts are taken before the shuffle, and an image's full pixels come together as one row, which is filled up with the
     empty ones there: a whole grid never goes through a shuffle, and whatever is grouped by image next needs none. An image
-    without a name stays white.
+    without a name stays white. Where the number of ``images`` is given, tasks grow in number with their pixels.
     """
     cell = (F.col("iy") * w + F.col("ix")).cast("int")
     counts = rows.groupBy("img", "ix", "iy").agg(F.count("*").alias("n")).select("img", cell.alias("c"), "n")
     counts = counts.withColumn("n", F.when(F.col("img").isNull(), 0).otherwise(F.col("n")))
+    if images is not None:
+        counts = spread(counts, images * w * h, "img")
     full = counts.groupBy("img").agg(F.greatest(F.lit(1), F.max("n")).alias("most"), F.array_sort(F.collect_list(F.struct("c", "n"))).alias("s"))
     none = F.array(F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("n")))
     full = full.select("img", "most", F.when(F.col("s")[0]["c"] > 0, F.concat(none, "s")).otherwise(F.col("s")).alias("s"))
@@ -105,7 +109,8 @@ def whole_lineitem_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supplier_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantity by discount, an image for each supplier: there are more with more data."""
-    return lineitem_raster(spark, sf_dir, F.col("l_suppkey"))
+    cells = lineitem_cells(spark, sf_dir, F.col("l_suppkey"))
+    return counted(cells, LI_W, LI_H, cells.agg(F.approx_count_distinct("img")).first()[0])
 
 
 def event_raster(spark: SparkSession, sf_dir: str) -> DataFrame:

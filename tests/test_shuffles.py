@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pytest
 
-from plumbline.operators import geometry, kernels, paths, raster, rounds
+from plumbline.operators import dither, geometry, kernels, paths, raster, rounds
 from plumbline.sources import rasters
 
 
@@ -38,6 +38,20 @@ def test_partitions_grow_with_the_rows(spark):
     assert rounds.parts(spark, 10) == few and rounds.parts(spark, 100 * rounds.TASK_ROWS + 1) == 101
 
 
+def test_tasks_grow_in_number_with_pixels_and_links(spark, monkeypatch):
+    """However few bytes the counts are that pixels come from."""
+    monkeypatch.setattr(rounds, "TASK_ROWS", 2)
+    rows = spark.createDataFrame([("a", 1, 0), ("a", 3, 2), ("b", 0, 0), ("c", 3, 2)], "img string, ix int, iy int")
+    got = rasters.counted(rows, 4, 3, 3)
+    assert got.rdd.getNumPartitions() == 18 and shuffles(raster.blur(got, 5, 1.2)) == 2
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rasters.counted(rows, 4, 3).collect()))
+    cells = spark.createDataFrame([(i, p, 0.5, p) for i in "ab" for p in range(6)], "img string, pid long, k double, code long")
+    links = spark.createDataFrame([(p, q) for p in range(6) for q in (p - 1, p + 1) if 0 <= q < 6], "pid long, near long")
+    got = dither.gains(cells, links, 0.25)
+    assert got.rdd.getNumPartitions() == 12
+    assert {(r["img"], r["pid"]): r["gain"] for r in got.collect()} == {(i, p): 1.25 if p == 0 else 0.75 if p == 5 else 1.0 for i in "ab" for p in range(6)}
+
+
 def test_a_drawing_s_paths_are_gathered_once(spark):
     rows = [(layer, p, k, float(p + k), 1.0) for layer, n in (("a", 3), ("b", 1)) for p in range(n) for k in range(2)]
     points = spark.createDataFrame(rows, "layer string, path_id long, seq int, x double, y double").repartition(5, "layer")
