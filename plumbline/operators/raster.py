@@ -20,31 +20,29 @@ def gaussian(size: int, sigma: float) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
-def _line(raster: DataFrame, along: str, value: str) -> DataFrame:
-    """One row for each line of pixels along ``along``, the values in order as ``line``."""
-    other = "iy" if along == "ix" else "ix"
-    lines = raster.groupBy("img", other).agg(F.array_sort(F.collect_list(F.struct(along, value))).alias("s"))
-    return lines.select("img", other, F.transform("s", lambda p: p[value].cast("double")).alias("line"))
-
-
-def filtered(raster: DataFrame, along: str, taps: list[float], store: str = "float") -> DataFrame:
-    """Weighted sum of each pixel's neighbours along one axis, edges repeated outwards."""
+def filtered(raster: DataFrame, along: str, taps: list[float], store: str = "float", values: tuple[str, ...] = ("v",), kept: tuple[str, ...] = ()) -> DataFrame:
+    """Weighted sum of each pixel's neighbours along one axis, edges repeated outwards, of each of ``values``; the columns
+    ``kept`` stay as they are."""
     other, half = "iy" if along == "ix" else "ix", len(taps) // 2
     weights = F.array(*[F.lit(t) for t in taps])
-    line = F.col("line")
+    lines = raster.groupBy("img", other).agg(F.array_sort(F.collect_list(F.struct(along, *values, *kept))).alias("s"))
+    line = lambda c: F.transform("s", lambda p: p[c].cast("double")).alias(f"line_{c}")
+    lines = lines.select("img", other, *map(line, values), *(["s"] if kept else []))
+    n = F.size(f"line_{values[0]}")
 
     def at(x: Column) -> Column:
         reach = F.sequence(F.lit(0), F.lit(len(taps) - 1))
-        near = lambda j: F.get(line, F.greatest(F.lit(0), F.least(F.size(line) - 1, x + j - half)))
-        return F.aggregate(reach, F.lit(0.0), lambda s, j: s + F.get(weights, j) * near(j))
+        near = lambda c, j: F.get(f"line_{c}", F.greatest(F.lit(0), F.least(n - 1, x + j - half)))
+        mean = lambda c: F.aggregate(reach, F.lit(0.0), lambda s, j: s + F.get(weights, j) * near(c, j)).cast(store).alias(c)
+        return F.struct(*map(mean, values), *[F.get("s", x)[c].alias(c) for c in kept])
 
-    made = _line(raster, along, "v").select("img", other, F.posexplode(F.transform(F.sequence(F.lit(0), F.size(line) - 1), at)).alias(along, "v"))
-    return made.select("img", "ix", "iy", F.col("v").cast(store).alias("v"))
+    made = lines.select("img", other, F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), at)).alias(along, "made"))
+    return made.select("img", "ix", "iy", *[F.col(f"made.{c}").alias(c) for c in (*values, *kept)])
 
 
-def blur(raster: DataFrame, size: int, sigma: float, store: str = "float") -> DataFrame:
+def blur(raster: DataFrame, size: int, sigma: float, store: str = "float", values: tuple[str, ...] = ("v",), kept: tuple[str, ...] = ()) -> DataFrame:
     taps = gaussian(size, sigma)
-    return filtered(filtered(raster, "ix", taps, store), "iy", taps, store)
+    return filtered(filtered(raster, "ix", taps, store, values, kept), "iy", taps, store, values, kept)
 
 
 def shrink(raster: DataFrame, w: int, h: int, new_w: int, new_h: int) -> DataFrame:
@@ -109,18 +107,17 @@ def gradients(raster: DataFrame) -> DataFrame:
     return raster.withColumn("gx", diff(row)).withColumn("gy", diff(column))
 
 
-def structure_tensor(raster: DataFrame, r_gradient: float, r_tensor: float) -> DataFrame:
+def structure_tensor(raster: DataFrame, r_gradient: float, r_tensor: float, kept: tuple[str, ...] = ()) -> DataFrame:
     """(img, ix, iy, t11, t12, t22, theta, coherence): the smoothed outer product of gradients, the direction along
-    which the image changes least, and how clear it is."""
-    smooth = blur(raster, max(3, math.floor(3 * r_gradient + 0.5)), max(0.5, r_gradient))
+    which the image changes least, and how clear it is; the raster's columns ``kept`` go along."""
+    smooth = blur(raster, max(3, math.floor(3 * r_gradient + 0.5)), max(0.5, r_gradient), kept=kept)
     g = gradients(smooth)
     size, sigma = max(3, math.floor(3 * r_tensor + 0.5)), max(0.5, r_tensor)
     parts = {"t11": F.col("gx") * F.col("gx"), "t12": F.col("gx") * F.col("gy"), "t22": F.col("gy") * F.col("gy")}
-    # The three products are blurred as three images of one pass.
-    stacked = g.select(F.struct("img", F.lit("").alias("p")).alias("img"), "ix", "iy", F.explode(F.array(*[F.struct(F.lit(n).alias("p"), v.cast("float").alias("v")) for n, v in parts.items()])).alias("q"))
-    stacked = stacked.select(F.struct(F.col("img.img"), F.col("q.p").alias("p")).alias("img"), "ix", "iy", F.col("q.v").alias("v"))
-    blurred = blur(stacked, size, sigma).groupBy(F.col("img.img").alias("img"), "ix", "iy")
-    t = blurred.agg(*[F.max(F.when(F.col("img.p") == n, F.col("v").cast("double"))).alias(n) for n in parts])
+    # The three products are blurred in one pass.
+    products = g.select("img", "ix", "iy", *[v.cast("float").alias(n) for n, v in parts.items()], *kept)
+    blurred = blur(products, size, sigma, values=tuple(parts), kept=kept)
+    t = blurred.select("img", "ix", "iy", *[F.col(n).cast("double").alias(n) for n in parts], *kept)
     spread = F.sqrt((F.col("t11") - F.col("t22")) * (F.col("t11") - F.col("t22")) + 4 * F.col("t12") * F.col("t12"))
     theta = F.atan2(2 * F.col("t12"), F.col("t11") - F.col("t22")) / 2 + math.pi / 2
     return t.withColumn("theta", theta).withColumn("coherence", spread / (F.col("t11") + F.col("t22") + 1e-12))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import maps
 from plumbline.functions.scalar import half_up
 from plumbline.operators import raster
-from plumbline.operators.rounds import materialise, release
+from plumbline.operators.rounds import materialise, release, spread
 
 #: Places that are tried for a cut, deepest round, and least pixels of a polygon that is cut.
 SWEEP, ROUNDS, LEAST = 30, 13, 4
@@ -27,24 +27,27 @@ EVEN = 1e9
 OFF_GRID = 1e-5
 
 
-def directed(images: DataFrame, pen: float, w: int) -> DataFrame:
-    """(img, ix, iy, x, y, k, c2, s2): each pixel's place, darkness, and doubled direction."""
-    field = raster.structure_tensor(images, max(1.0, pen), max(1.5, 2 * pen)).select("img", "ix", "iy", "theta")
+def directed(images: DataFrame, pen: float) -> DataFrame:
+    """(img, ix, iy, k, theta): each pixel's darkness and direction."""
+    toned = images.withColumn("k", 1 - F.col("v").cast("double"))
+    return raster.structure_tensor(toned, max(1.0, pen), max(1.5, 2 * pen), ("k",)).select("img", "ix", "iy", "k", "theta")
+
+
+def set_off(pixels: DataFrame, w: int) -> DataFrame:
+    """``pixels`` with their places (x, y), which are worked out wherever they are needed and never written."""
     number = F.col("iy").cast("long") * w + F.col("ix")
-    x = F.col("ix") + 1 + (number * 2654435761) % 1000 / 1000.0 * OFF_GRID
-    made = images.join(field, ["img", "ix", "iy"])
-    return made.select("img", "ix", "iy", x.alias("x"), (F.col("iy") + 1.0).alias("y"), (1 - F.col("v").cast("double")).alias("k"), F.cos(2 * F.col("theta")).alias("c2"), F.sin(2 * F.col("theta")).alias("s2"))
+    return pixels.withColumn("x", F.col("ix") + 1 + (number * 2654435761) % 1000 / 1000.0 * OFF_GRID).withColumn("y", F.col("iy") + 1.0)
 
 
-def aimed(polygons: DataFrame, pixels: DataFrame, pen: float) -> DataFrame:
+def aimed(polygons: DataFrame, pixels: DataFrame, pen: float, w: int) -> DataFrame:
     """``polygons`` (img, path, ring) with their pixels' ``n`` and ink ``dark``, ``perimeter``, whether they ask for a cut, and
     the cut's normal (nx, ny) with the span [low, low + span] of the ring along it."""
-    sums = pixels.groupBy("img", "path").agg(
+    sums = set_off(pixels, w).groupBy("img", "path").agg(
         F.count("*").alias("n"),
         F.sum("k").alias("dark"),
         *[F.avg(c).alias(n) for n, c in (("ax", F.col("x")), ("ay", F.col("y")), ("xx", F.col("x") * F.col("x")), ("xy", F.col("x") * F.col("y")), ("yy", F.col("y") * F.col("y")))],
-        F.sum("c2").alias("c2"),
-        F.sum("s2").alias("s2"),
+        F.sum(F.cos(2 * F.col("theta"))).alias("c2"),
+        F.sum(F.sin(2 * F.col("theta"))).alias("s2"),
     )
     axis = F.atan2(2 * (F.col("xy") - F.col("ax") * F.col("ay")), (F.col("xx") - F.col("ax") * F.col("ax")) - (F.col("yy") - F.col("ay") * F.col("ay"))) / 2
     mean = F.atan2("s2", "c2") / 2
@@ -122,18 +125,19 @@ def halves(cuts: DataFrame) -> DataFrame:
     return c.select("img", "path", "nx", "ny", "at", part(lambda p: p["d"] < 0).alias("below"), part(lambda p: p["d"] >= 0).alias("above"), F.transform(ordered, lambda e: e["p"]).alias("ends"))
 
 
-def whole_pages(images: DataFrame, page: list[tuple[float, float]], pen: float, w: int) -> tuple[DataFrame, DataFrame]:
+def whole_pages(images: DataFrame, page: list[tuple[float, float]], pen: float) -> tuple[DataFrame, DataFrame]:
     """(img, path, ring) of each image's page, and its pixels, written down."""
     whole = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in page])
-    pixels = materialise(directed(images, pen, w).withColumn("path", F.lit("")))
+    pixels = materialise(directed(images, pen).withColumn("path", F.lit("")))
     return pixels.select("img").distinct().select("img", F.lit("").alias("path"), whole.alias("ring")), pixels
 
 
-def cut(asking: DataFrame, pixels: DataFrame, pen: float) -> DataFrame:
-    """The halves of the polygons that ask for a cut and are bettered by one."""
+def cut(asking: DataFrame, pixels: DataFrame, pen: float, w: int) -> DataFrame:
+    """The halves of the polygons that ask for a cut and are bettered by one; tasks grow in number with the pixels."""
     along = F.col("nx") * F.col("x") + F.col("ny") * F.col("y")
     number = F.greatest(F.lit(0), F.least(F.lit(SWEEP), F.floor((along - F.col("low")) / F.col("span") * (SWEEP + 1)).cast("int")))
-    slices = pixels.join(asking.select("img", "path", "nx", "ny", "low", "span"), ["img", "path"]).groupBy("img", "path", number.alias("slice")).agg(F.sum("k").alias("dark"))
+    of = spread(pixels.select("img", "path", "ix", "iy", "k"), pixels.count(), "img", "path")
+    slices = set_off(of, w).join(asking.select("img", "path", "nx", "ny", "low", "span"), ["img", "path"]).groupBy("img", "path", number.alias("slice")).agg(F.sum("k").alias("dark"))
     return halves(placed(asking, slices, pen))
 
 
@@ -144,21 +148,21 @@ def chords(made: DataFrame) -> DataFrame:
 
 def first_cuts(images: DataFrame, page: list[tuple[float, float]], pen: float, w: int) -> DataFrame:
     """The cuts of :func:`cut_up`'s first round; what they leave isn't judged."""
-    polygons, pixels = whole_pages(images, page, pen, w)
-    judged = materialise(aimed(polygons, pixels, pen))
-    return chords(materialise(cut(judged.where("asks"), pixels, pen)))
+    polygons, pixels = whole_pages(images, page, pen)
+    judged = materialise(aimed(polygons, pixels, pen, w))
+    return chords(materialise(cut(judged.where("asks"), pixels, pen, w)))
 
 
 def cut_up(images: DataFrame, page: list[tuple[float, float]], pen: float, w: int, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """The cuts (img, path, x1, y1, x2, y2) that draw each image within a convex page, and the pieces (img, path, ring, n, dark,
     area) that they leave. A piece below a cut has a 0 added to its path, one above a 1."""
-    polygons, pixels = whole_pages(images, page, pen, w)
+    polygons, pixels = whole_pages(images, page, pen)
     cuts: list[DataFrame] = []
     pieces: list[DataFrame] = []
     left = ["img", "path", "ring", "n", "dark", "area"]
     for depth in range(rounds + 1):
-        judged = materialise(aimed(polygons, pixels, pen))
-        made = materialise(cut(judged.where("asks" if depth < rounds else "false"), pixels, pen))
+        judged = materialise(aimed(polygons, pixels, pen, w))
+        made = materialise(cut(judged.where("asks" if depth < rounds else "false"), pixels, pen, w))
         pieces.append(judged.join(made.select("img", "path"), ["img", "path"], "left_anti").select(*left))
         if made.isEmpty():
             break
@@ -166,8 +170,8 @@ def cut_up(images: DataFrame, page: list[tuple[float, float]], pen: float, w: in
         two = F.explode(F.array(*[F.struct(F.concat("path", F.lit(s)).alias("path"), F.col(c).alias("ring")) for s, c in (("0", "below"), ("1", "above"))]))
         polygons = made.select("img", two.alias("h")).select("img", "h.*")
         along = F.col("nx") * F.col("x") + F.col("ny") * F.col("y")
-        after = pixels.join(made.select("img", "path", "nx", "ny", "at"), ["img", "path"])
-        after = materialise(after.withColumn("path", F.concat("path", F.when(along < F.col("at"), "0").otherwise("1"))).drop("nx", "ny", "at"))
+        after = set_off(spread(pixels, pixels.count(), "img", "path"), w).join(made.select("img", "path", "nx", "ny", "at"), ["img", "path"])
+        after = materialise(after.withColumn("path", F.concat("path", F.when(along < F.col("at"), "0").otherwise("1"))).drop("nx", "ny", "at", "x", "y"))
         release(pixels)
         pixels = after
     none = images.select("img", F.lit("").alias("path"), *[F.lit(0.0).alias(c) for c in ("x1", "y1", "x2", "y2")]).limit(0)

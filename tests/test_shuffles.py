@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pytest
 
-from plumbline.operators import dither, geometry, kernels, paths, raster, rounds
+from plumbline.operators import dither, geometry, kernels, paths, raster, rounds, subdivision
 from plumbline.sources import rasters
 
 
@@ -52,6 +52,25 @@ def test_tasks_grow_in_number_with_pixels_and_links(spark, monkeypatch):
     assert {(r["img"], r["pid"]): r["gain"] for r in got.collect()} == {(i, p): 1.25 if p == 0 else 0.75 if p == 5 else 1.0 for i in "ab" for p in range(6)}
 
 
+def test_directions_come_with_their_pixels_without_a_shuffle(spark):
+    """The three products go along the image's own lines, and so does its darkness."""
+    rows = spark.createDataFrame([("a", 1, 0)] * 3 + [("a", 3, 2), ("b", 0, 0)], "img string, ix int, iy int")
+    image = rasters.counted(rows, 4, 3)
+    got = subdivision.directed(image, 0.8)
+    assert shuffles(got) == shuffles(image) == 2
+    # Nothing that can be worked out from a pixel's number is written.
+    assert got.columns == ["img", "ix", "iy", "k", "theta"]
+    own = {(r["img"], r["ix"], r["iy"]): 1 - r["v"] for r in image.collect()}
+    assert {(r["img"], r["ix"], r["iy"]): r["k"] for r in got.collect()} == own
+    field = raster.structure_tensor(image, 1.0, 1.6)
+    for c in ("t11", "t12", "t22"):
+        assert field.columns[3:] == ["t11", "t12", "t22", "theta", "coherence"]
+        alone = raster.gradients(raster.blur(image, 3, 1.0))
+        gx, gy = ("gx", "gx") if c == "t11" else ("gx", "gy") if c == "t12" else ("gy", "gy")
+        alone = raster.blur(alone.selectExpr("img", "ix", "iy", f"cast({gx} * {gy} as float) as v"), 5, 1.6)
+        assert {(r["img"], r["ix"], r["iy"]): r["v"] for r in alone.collect()} == {(r["img"], r["ix"], r["iy"]): r[c] for r in field.collect()}
+
+
 def test_a_drawing_s_paths_are_gathered_once(spark):
     rows = [(layer, p, k, float(p + k), 1.0) for layer, n in (("a", 3), ("b", 1)) for p in range(n) for k in range(2)]
     points = spark.createDataFrame(rows, "layer string, path_id long, seq int, x double, y double").repartition(5, "layer")
