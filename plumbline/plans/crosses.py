@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import scalar as S
 from plumbline.operators import quadtree
 from plumbline.operators.quadtree import SIDE
+from plumbline.operators.rounds import materialise
 from plumbline.plans import sql
 from plumbline.plans.sql import q
 from plumbline.sources import rasters
@@ -24,7 +25,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ink of each image in pixels: what is asked, laid down by crosses, and owed; crosses, and blocks without one."""
-    images = rasters.supplier_raster(spark, sf_dir)
+    images = materialise(rasters.supplier_raster(spark, sf_dir))
     made = quadtree.crossed(images, LI_W, LI_H, PEN)[1]
     asked = images.groupBy("img").agg(F.sum(1 - F.col("v")).alias("asked"))
     laid = made.groupBy("img").agg((F.sum(F.when(F.col("kept"), F.col("inked")).otherwise(0)) / (SIDE * SIDE)).alias("laid"), F.sum(F.col("kept").cast("long")).alias("crosses"), F.sum((~F.col("kept")).cast("long")).alias("declined"))

@@ -109,8 +109,8 @@ def whole_lineitem_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supplier_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantity by discount, an image for each supplier: there are more with more data."""
-    cells = lineitem_cells(spark, sf_dir, F.col("l_suppkey"))
-    return counted(cells, LI_W, LI_H, cells.agg(F.approx_count_distinct("img")).first()[0])
+    images = table(spark, sf_dir, "lineitem").agg(F.approx_count_distinct("l_suppkey")).first()[0]
+    return counted(lineitem_cells(spark, sf_dir, F.col("l_suppkey")), LI_W, LI_H, images)
 
 
 def event_raster(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 
 from plumbline.operators import quadtree
 from plumbline.operators.quadtree import SIDE
+from plumbline.plans import crosses
 
 
 def plain(image, w, h, pen, depth):
@@ -54,3 +55,9 @@ def test_no_image_no_blocks(spark):
     none = spark.createDataFrame([], "img string, ix int, iy int, v double")
     arms, blocks = quadtree.crossed(none, 8, 8, 1.0)
     assert arms.count() == blocks.count() == 0
+
+
+def test_a_tally_s_raster_is_counted_once(spark):
+    """What is asked comes from the same pixels as what is laid."""
+    made = crosses.tally(spark, "/root/testdata/sf0.001")
+    assert made.count() and not [f for f in made.inputFiles() if "lineitem" in f]
