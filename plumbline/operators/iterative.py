@@ -81,10 +81,23 @@ def components(links: DataFrame) -> DataFrame:
             return name.select(F.col("x").alias("node"), F.col("m").alias("component"))
 
 
+def topmost(up: DataFrame) -> DataFrame:
+    """(node, top): where the way up from each node of ``up`` (node, top), a forest whose roots lead to themselves, ends; in each
+    round a node goes up as far again as it has come."""
+    up = materialise(up)
+    while True:
+        above = up.select(F.col("node").alias("top"), F.col("top").alias("higher"))
+        after = materialise(up.join(above, "top").select("node", F.col("higher").alias("top"), (F.col("higher") != F.col("top")).alias("news")))
+        release(up)
+        up = after.drop("news")
+        if after.where("news").isEmpty():
+            return up
+
+
 def forest(edges: DataFrame) -> DataFrame:
     """(a, b, w) of the least spanning forest of ``edges`` (a, b, w), ties by the smaller nodes, by Borůvka's rounds:
-    each tree takes its lightest edge out, and trees joined by those become one. Edges inside a tree are dropped from
-    the rounds after."""
+    each tree takes its lightest edge out, and trees joined by those become one. These lead from tree to tree up to two that
+    took the same edge, of which the smaller one is the root. Edges inside a tree are dropped from the rounds after."""
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").where("a < b").groupBy("a", "b").agg(F.min("w").alias("w"))
     left = materialise(edges.select("a", "b", "w", F.col("a").alias("ta"), F.col("b").alias("tb")))
     taken: list[DataFrame] = []
@@ -92,8 +105,11 @@ def forest(edges: DataFrame) -> DataFrame:
         light = left.select(F.explode(F.array("ta", "tb")).alias("tree"), F.struct("w", "a", "b", "ta", "tb").alias("e"))
         light = materialise(light.groupBy("tree").agg(F.min("e").alias("e")).select("tree", "e.*"))
         taken.append(light.select("a", "b", "w").distinct())
-        name = components(light.select(F.col("ta").alias("x"), F.col("tb").alias("y")))
-        renamed = lambda c: name.select(F.col("node").alias(c), F.col("component").alias(f"new_{c}"))
+        hooked = light.select("tree", F.when(F.col("ta") == F.col("tree"), F.col("tb")).otherwise(F.col("ta")).alias("up"))
+        back = hooked.select(F.col("tree").alias("up"), F.col("up").alias("back"))
+        root = (F.col("back") == F.col("tree")) & (F.col("tree") < F.col("up"))
+        name = topmost(hooked.join(back, "up").select(F.col("tree").alias("node"), F.when(root, F.col("tree")).otherwise(F.col("up")).alias("top")))
+        renamed = lambda c: name.select(F.col("node").alias(c), F.col("top").alias(f"new_{c}"))
         moved = left.join(renamed("ta"), "ta").join(renamed("tb"), "tb").select("a", "b", "w", F.col("new_ta").alias("ta"), F.col("new_tb").alias("tb"))
         after = materialise(moved.where("ta <> tb"))
         release(left)

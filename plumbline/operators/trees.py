@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.contours import ranked
+from plumbline.operators.iterative import topmost
 from plumbline.operators.rounds import materialise, release
 
 
@@ -58,14 +59,7 @@ def heavy_paths(edges: DataFrame) -> DataFrame:
     best = tree.where("parent is not null").groupBy("parent").agg(F.min(F.struct((-F.col("height")).alias("h"), "node")).alias("b"))
     heavy = best.select(F.col("b.node").alias("node"), F.lit(True).alias("heavy"))
     top = tree.join(heavy, "node", "left").select("node", F.when(F.col("heavy"), F.col("parent")).otherwise(F.col("node")).alias("top"))
-    top = materialise(top)
-    while True:
-        above = top.select(F.col("node").alias("top"), F.col("top").alias("higher"))
-        after = materialise(top.join(above, "top").select("node", F.col("higher").alias("top"), (F.col("higher") != F.col("top")).alias("news")))
-        release(top)
-        top = after.drop("news")
-        if after.where("news").isEmpty():
-            break
+    top = topmost(top)
     head = tree.select(F.col("node").alias("top"), F.col("depth").alias("start"), F.col("parent").alias("before"))
     on = tree.select("node", "depth").join(top, "node").join(head, "top")
     own = F.struct((F.col("depth") - F.col("start") + F.col("before").isNotNull().cast("int")).alias("seq"), F.col("node").alias("node"))

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from plumbline.operators import trees
+from plumbline.operators import iterative, trees
 
 
 def plain(edges):
@@ -64,3 +64,13 @@ def test_heavy_paths_are_the_plain_ones(spark, kind):
 
 def test_no_edges_no_paths(spark):
     assert trees.heavy_paths(spark.createDataFrame([], "a long, b long, len double")).count() == 0
+
+
+def test_ways_up_end_at_roots_and_a_forest_names_trees_by_them(spark, monkeypatch):
+    """A tree's own lightest edges lead to its root, so that no components are searched."""
+    way = spark.createDataFrame([(0, 0), (7, 7), *[(k, k - 1) for k in (1, 2, 3, 4, 5, 6, 8)]], "node long, top long")
+    assert {r["node"]: r["top"] for r in iterative.topmost(way).collect()} == {k: 0 if k < 7 else 7 for k in range(9)}
+    monkeypatch.setattr(iterative, "components", lambda links: pytest.fail("components"))
+    ring = [(k, (k + 1) % 12, float(k * 5 % 12)) for k in range(12)] + [(20, 21, 1.0), (21, 22, 1.0), (20, 22, 1.0)]
+    got = iterative.forest(spark.createDataFrame(ring, "a long, b long, w double")).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == sorted((min(a, b), max(a, b)) for a, b, w in ring if w < 11 and (a, b) != (21, 22))
