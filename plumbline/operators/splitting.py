@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import half_up
 from plumbline.operators import tiles
-from plumbline.operators.rounds import materialise, release
+from plumbline.operators.rounds import large, materialise, release
 
 #: Running darkness counts as past a whole number from this on, and lines slant over at most so many band heights.
 PAST, STEEPEST = 1e-9, 4
@@ -63,9 +63,10 @@ def slanted(lines: DataFrame, frames: DataFrame, places: int, first: float) -> D
     """(img, band, m, cos): how much of a line's length goes along ``u`` at each place, from the steps between the lines
     (img, band, vs) of a band and the next, or the last and itself; between two lines it changes evenly."""
     none = F.array().cast("array<double>")
-    own = frames.select("img", "height", "bands", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)).alias("band")).join(lines, ["img", "band"], "left")
+    own = frames.select("img", "height", "bands", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)).alias("band"))
+    own = large(own).join(lines, ["img", "band"], "left")
     after = lines.select("img", (F.col("band") - 1).alias("band"), F.col("vs").alias("next"))
-    both = own.join(after, ["img", "band"], "left").withColumn("vs", F.coalesce("vs", none))
+    both = own.join(large(after), ["img", "band"], "left").withColumn("vs", F.coalesce("vs", none))
     both = both.withColumn("next", F.when(F.col("band") == F.col("bands") - 1, F.col("vs")).otherwise(F.coalesce("next", none)))
     step = lambda p: F.least(STEEPEST * F.col("height"), F.abs(F.get("next", p["j"]) - F.get("vs", p["i"])))
     both = both.withColumn("pairs", matched(F.col("vs"), F.col("next")))
@@ -94,15 +95,15 @@ def split_merge(images: DataFrame, page: list[tuple[float, float]], angle: float
     frames = materialise(tiles.band_frames(images, page, angle, scale, pen))
     # Places off the image have no darkness, but the running sum passes them.
     every = frames.select("img", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)).alias("band")).withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
-    dark = every.join(tiles.band_darkness(images, page, angle, scale, pen), ["img", "band", "m"], "left").na.fill(0.0, ["k"])
+    dark = large(every).join(tiles.band_darkness(images, page, angle, scale, pen), ["img", "band", "m"], "left").na.fill(0.0, ["k"])
     dark = materialise(dark)
     release(images)
     even = materialise(crossings(dark, pen, first))
     slant = slanted(even, frames, places, first)
-    lines = materialise(crossings(dark.join(slant, ["img", "band", "m"]).withColumn("k", F.col("k") * F.col("cos")), pen, first))
+    lines = materialise(crossings(large(dark).join(slant, ["img", "band", "m"]).withColumn("k", F.col("k") * F.col("cos")), pen, first))
     release(dark, even)
     after = lines.select("img", (F.col("band") - 1).alias("band"), F.col("vs").alias("next"))
-    pair = lines.join(after, ["img", "band"]).join(frames.select("img", "bands", "height"), "img")
+    pair = large(lines).join(after, ["img", "band"]).join(large(frames.select("img", "bands", "height")), "img")
     pair = pair.withColumn("p", F.explode(matched(F.col("vs"), F.col("next"))))
     if not splits:
         pair = pair.where("not p.again")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.maps import HEX_DENSITY
 from plumbline.functions.scalar import clamp, half_up
 from plumbline.operators import lookup, raster
+from plumbline.operators.rounds import large
 
 
 def dark() -> Column:
@@ -40,7 +41,7 @@ def band_darkness(images: DataFrame, page: list[tuple[float, float]], angle: flo
     u, v = u_lo + F.col("band") * F.col("height") + (F.col("s") + 0.5) * F.col("height") / F.col("n"), v_lo + F.col("m")
     at = lambda a: (F.floor(a + 0.5) - 1).cast("int")
     asked = sample.select("img", "band", "m", "n", at(u * c - v * s).alias("ix"), at(u * s + v * c).alias("iy"))
-    return asked.join(images, ["img", "ix", "iy"]).groupBy("img", "band", "m").agg((F.sum(dark()) / F.max("n")).alias("k"))
+    return large(asked).join(images, ["img", "ix", "iy"]).groupBy("img", "band", "m").agg((F.sum(dark()) / F.max("n")).alias("k"))
 
 
 def lattice(w: int, h: int, dot: float, hexagonal: bool) -> tuple[int, int, float, float, float, float]:

@@ -71,3 +71,14 @@ def test_no_step_is_planned_more_than_once(spark):
     lines = splitting.split_merge(image, page, math.pi / 2, 1.0, 1.5)
     assert lines._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 2
     assert lines.count()
+
+
+def test_no_side_that_grows_with_the_images_is_broadcast(spark, monkeypatch):
+    """Places of an image are many rows of few bytes: the driver must not gather them, though a plan holds them for small."""
+    page = [(1.0, 1.0), (20.0, 1.0), (20.0, 10.0), (1.0, 10.0)]
+    image = spark.createDataFrame([("a", x, y, 0.3) for x in range(20) for y in range(10)], "img string, ix int, iy int, v double")
+    planned, write = [], splitting.materialise
+    monkeypatch.setattr(splitting, "materialise", lambda df: planned.append(df) or write(df))
+    planned.append(splitting.split_merge(image, page, math.pi / 2, 1.0, 1.5))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in planned]
+    assert sum(p.count("SortMergeJoin") for p in plans) == 7 and not any("Broadcast" in p for p in plans)
