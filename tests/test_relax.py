@@ -74,3 +74,24 @@ def test_a_half_is_rounded_up_in_whatever_order_the_ink_is_added(spark):
     at = spark.createDataFrame([(i, 1, 4.0, 2.0) for i in range(n)], "img long, pid long, x double, y double")
     got = relax.relaxed(df, at, w, h, 1, 0.5, 1.5).collect()
     assert len(got) == n and {(r["x"], r["y"]) for r in got} == {((9 * 999983 + 1) / 2 / relax.GRAIN, 2.0)}
+
+
+def test_pixels_are_written_once_and_no_round_leaves_a_table(spark, monkeypatch):
+    """What lies on disk doesn't add up from round to round, and what grows with the images isn't broadcast."""
+    w, h = 40, 30
+    df = spark.createDataFrame([(i, x, y, ((x * 7 + y * 3 + i) % 11) / 11) for i in range(3) for x in range(w) for y in range(h)], "img long, ix int, iy int, v double")
+    at = spark.createDataFrame([(i, p, 1.0 + p % 9, 1.0 + p // 9) for i in range(3) for p in range(20)], "img long, pid long, x double, y double")
+    written, plans, gone = [], [], []
+    write, free = relax.materialise, relax.release
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        written.append(write(df))
+        return written[-1]
+
+    monkeypatch.setattr(relax, "materialise", noted)
+    monkeypatch.setattr(relax, "release", lambda *tables: gone.extend(map(id, tables)) or free(*tables))
+    assert relax.relaxed(df, at, w, h, 3).count() == 60
+    assert sum(id(t) not in gone for t in written) == 1
+    assert not any("Broadcast" in p for p in plans)
+    assert sum("ms" in t.columns for t in written) == 1 and not any({"m", "ix", "xs"} & set(t.columns) for t in written if "ms" not in t.columns)
