@@ -90,9 +90,9 @@ LI_W, LI_H, EV_W, EV_H = 50, 11, 24, 30
 
 
 def lineitem_cells(spark: SparkSession, sf_dir: str, img: Column | None = None) -> DataFrame:
-    """(img, ix, iy): each line item's pixel, quantity by discount; an image for each return flag."""
+    """(img, ix, iy): each line item's pixel, quantity (rounded, halves to even) by discount; an image for each return flag."""
     rows = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_returnflag") if img is None else img).alias("img"), (F.col("l_quantity").cast("int") - 1).alias("ix"), F.floor(F.col("l_discount") * 100 + 0.5).cast("int").alias("iy")
+        (F.col("l_returnflag") if img is None else img).alias("img"), (F.rint("l_quantity").cast("int") - 1).alias("ix"), F.floor(F.col("l_discount") * 100 + 0.5).cast("int").alias("iy")
     )
     return rows.where(f"ix between 0 and {LI_W - 1} and iy between 0 and {LI_H - 1}")
 

@@ -4,9 +4,11 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 
 from plumbline.operators import relax
+from plumbline.plans import cells
 
 
 def plain(image, seeds, rounds, damping, longest):
@@ -95,3 +97,15 @@ def test_pixels_are_written_once_and_no_round_leaves_a_table(spark, monkeypatch)
     assert sum(id(t) not in gone for t in written) == 1
     assert not any("Broadcast" in p for p in plans)
     assert sum("ms" in t.columns for t in written) == 1 and not any({"m", "ix", "xs"} & set(t.columns) for t in written if "ms" not in t.columns)
+
+
+def test_line_items_without_a_supplier_and_broken_quantities_are_those_of_the_sql(spark, tmp_path):
+    """An image without a name is white, and its points rest where they are."""
+    rng = random.Random(6)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE lineitem (l_suppkey BIGINT, l_quantity DOUBLE, l_discount DOUBLE)")
+    con.executemany("INSERT INTO lineitem VALUES (?, ?, ?)", [(rng.choice([1, 2, None]), rng.randint(2, 200) / 4, rng.randint(0, 10) / 100) for _ in range(300)])
+    con.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    want = con.execute(cells.RELAX_SQL).fetchall()
+    got = [tuple(r) for r in cells.relaxed_points(spark, str(tmp_path)).collect()]
+    assert len(got) == 36 and Counter(got) == Counter(want)
