@@ -27,7 +27,8 @@ ARC_SQL = f"WITH {sql.PATH}, {sql.LENGTH} SELECT path_id, seq, {q('s', '1e3')} A
 
 
 def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = paths.resampled(rasters.user_paths(spark, sf_dir), 50.0)
+    # Events without a user are no path.
+    r = paths.resampled(rasters.user_paths(spark, sf_dir).where("path_id is not null"), 50.0)
     return r.select("path_id", "seq", S.quantised(F.col("x"), 1e3).alias("x"), S.quantised(F.col("y"), 1e3).alias("y"))
 
 

@@ -131,11 +131,13 @@ def embedding_points(spark: SparkSession, sf_dir: str, w: int = LI_W, h: int = L
 
 
 def user_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path_id, seq, x, y): each user's events in order, hours since the first of 2024 against their value."""
+    """(path_id, seq, x, y): each user's events in order, hours since the first of 2024 against their value;
+    those without a time come last."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    seconds = F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200
+    order = Window.partitionBy("user_id").orderBy(F.col("ts").asc_nulls_last(), F.col("event_id").asc_nulls_last())
+    # Whole seconds go down, also before 1970.
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp")) - 1704067200
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("path_id"), (F.row_number().over(order) - 1).alias("seq"), (seconds / 3600.0).alias("x"), F.col("value").alias("y")
     )

@@ -32,3 +32,15 @@ def test_spans_without_a_start_or_an_end_are_merged_as_by_the_sql(spark, tmp_pat
     got = [tuple(r) for r in strokes.merged_intervals(spark, str(tmp_path)).collect()]
     assert Counter(got) == Counter(con.execute(strokes.MERGE_SQL).fetchall())
     assert [r for r in got if r[0] == 7] == [(7, 1, None, None, 2)]
+
+
+def test_events_without_user_or_time_and_early_ones_are_resampled_as_by_the_sql(spark, tmp_path):
+    rng = random.Random(9)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, value DOUBLE)")
+    at = lambda k: f"1969-12-31 {k % 24:02}:30:00.{k % 7}"
+    rows = [(k, None if rng.random() < 0.1 else at(rng.randrange(1000)), rng.choice([1, 2, 3, None]), rng.choice([None, 10.25, 80.5, 400.0, 7.0])) for k in range(120)]
+    con.executemany("INSERT INTO events VALUES (?, ?, ?, ?)", rows)
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = [tuple(r) for r in strokes.resampled(spark, str(tmp_path)).collect()]
+    assert len(got) > 100 and Counter(got) == Counter(con.execute(strokes.RESAMPLE_SQL).fetchall())
