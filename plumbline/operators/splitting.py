@@ -95,7 +95,9 @@ def split_merge(images: DataFrame, page: list[tuple[float, float]], angle: float
     frames = materialise(tiles.band_frames(images, page, angle, scale, pen))
     # Places off the image have no darkness, but the running sum passes them.
     every = frames.select("img", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)).alias("band")).withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
-    dark = large(every).join(tiles.band_darkness(images, page, angle, scale, pen), ["img", "band", "m"], "left").na.fill(0.0, ["k"])
+    box = images.agg(F.min("ix"), F.max("ix"), F.min("iy"), F.max("iy")).first()
+    got = tiles.band_darkness(images, page, angle, scale, pen, None if None in box else tuple(box))
+    dark = large(every).join(got, ["img", "band", "m"], "left").na.fill(0.0, ["k"])
     dark = materialise(dark)
     release(images)
     even = materialise(crossings(dark, pen, first))

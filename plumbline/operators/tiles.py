@@ -28,9 +28,10 @@ def band_frames(images: DataFrame, page: list[tuple[float, float]], angle: float
     return mean.withColumn("bands", bands).withColumn("height", span / F.col("bands"))
 
 
-def band_darkness(images: DataFrame, page: list[tuple[float, float]], angle: float, scale: float, pen: float) -> DataFrame:
+def band_darkness(images: DataFrame, page: list[tuple[float, float]], angle: float, scale: float, pen: float, box: tuple[int, int, int, int] | None = None) -> DataFrame:
     """(img, band, m, k): darkness of each band at each unit along it: the mean of samples across the band, of which those
-    off the image count as white. Only places with a pixel have a row. Samples meet pixels by an equi-join."""
+    off the image count as white. Only places with a pixel have a row. Samples meet pixels by an equi-join; where the least
+    and greatest ``ix`` and ``iy`` of all images are given as a ``box``, those beyond it aren't shuffled."""
     c, s = math.cos(angle), math.sin(angle)
     u_lo = min(x * c + y * s for x, y in page)
     across = [y * c - x * s for x, y in page]
@@ -41,6 +42,8 @@ def band_darkness(images: DataFrame, page: list[tuple[float, float]], angle: flo
     u, v = u_lo + F.col("band") * F.col("height") + (F.col("s") + 0.5) * F.col("height") / F.col("n"), v_lo + F.col("m")
     at = lambda a: (F.floor(a + 0.5) - 1).cast("int")
     asked = sample.select("img", "band", "m", "n", at(u * c - v * s).alias("ix"), at(u * s + v * c).alias("iy"))
+    if box is not None:
+        asked = asked.where(F.col("ix").between(*box[:2]) & F.col("iy").between(*box[2:]))
     return large(asked).join(images, ["img", "ix", "iy"]).groupBy("img", "band", "m").agg((F.sum(dark()) / F.max("n")).alias("k"))
 
 

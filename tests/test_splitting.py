@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import render, splitting
+from plumbline.operators import render, splitting, tiles
 from plumbline.sources import rasters
 
 
@@ -82,3 +82,13 @@ def test_no_side_that_grows_with_the_images_is_broadcast(spark, monkeypatch):
     planned.append(splitting.split_merge(image, page, math.pi / 2, 1.0, 1.5))
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in planned]
     assert sum(p.count("SortMergeJoin") for p in plans) == 7 and not any("Broadcast" in p for p in plans)
+
+
+def test_samples_beyond_all_images_are_left_out_before_they_meet_pixels(spark):
+    """A page turned by an eighth has as many samples off the image as on it; none of a place's darkness is lost."""
+    page = [(1.0, 1.0), (20.0, 1.0), (20.0, 10.0), (1.0, 10.0)]
+    image = spark.createDataFrame([(i, x, y, ((x + y * i) % 5) / 5) for i in (1, 2) for x in range(20) for y in range(10)], "img int, ix int, iy int, v double")
+    whole = tiles.band_darkness(image, page, math.pi / 4, 1.0, 1.5)
+    boxed = tiles.band_darkness(image, page, math.pi / 4, 1.0, 1.5, (0, 19, 0, 9))
+    rows = lambda df: {(r["img"], r["band"], r["m"]): round(r["k"], 9) for r in df.collect()}
+    assert rows(whole) == rows(boxed) and len(rows(boxed)) > 20
